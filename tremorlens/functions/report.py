@@ -290,10 +290,8 @@ def is_national(name: Column, domain: Column, url: Column) -> Column:
 def issuer(title: Column) -> Column:
     """Issuer of an institutional item from its title."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    out = F
-    for needle, name in ISSUERS:
-        out = out.when(low.contains(needle), name)
-    return out.otherwise(UNKNOWN_ISSUER)
+    named = [F.when(low.contains(needle), name) for needle, name in ISSUERS]
+    return F.coalesce(*named, F.lit(UNKNOWN_ISSUER))
 
 
 def _victim_patterns(stem: str) -> list[str]:

@@ -38,10 +38,13 @@ def count_alert(rows: DataFrame, condition: Column, kind: str, level: str) -> Da
 
 def registry_alert(now: DataFrame, before: DataFrame) -> DataFrame:
     """Registry growth against the previous capture; both sides (municipality, families)."""
-    def total(df: DataFrame, prefix: str) -> DataFrame:
-        return df.agg(F.count("*").alias(f"{prefix}_m"), F.coalesce(F.sum("families"), F.lit(0)).alias(f"{prefix}_f"))
-
-    both = total(now, "now").join(F.broadcast(total(before, "old")))
+    sides = now.select("families", F.lit(True).alias("_now")).unionByName(before.select("families", F.lit(False).alias("_now")))
+    families = F.coalesce("families", F.lit(0))
+    both = sides.agg(
+        F.count_if("_now").alias("now_m"), F.count_if(~F.col("_now")).alias("old_m"),
+        F.sum(F.when(F.col("_now"), families).otherwise(0)).alias("now_f"),
+        F.sum(F.when(F.col("_now"), 0).otherwise(families)).alias("old_f"),
+    )
     changed = (F.col("now_m") != F.col("old_m")) | (F.col("now_f") != F.col("old_f"))
     kind = F.when(F.col("old_m") == 0, "rud_activo").when(changed, "rud_actualizado")
     return both.filter("now_m > 0").select(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, plane_m
 from tremorlens.plans.grid import near_keys, near_probes
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import skew_join, with_scalar
 from tremorlens.session import cut_lineage
 
 MAX_SOURCES = 64
@@ -193,7 +193,7 @@ def satellite_totals(points: DataFrame, units: DataFrame, place: str, source: st
         F.sum("points").alias("points"), F.max("sources").alias("sources"), F.sum("units").alias("units"),
         F.sum("agreements").alias("agreements"), F.sum("grade_disagreements").alias("grade_disagreements"),
     ).withColumn("place", F.lit(None).cast("string"))
-    total = overall.join(F.broadcast(lost))
+    total = with_scalar(overall, lost)
     return rows.withColumn("without_place", F.lit(None).cast("bigint")).unionByName(total)
 
 

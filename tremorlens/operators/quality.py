@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import skew_join, with_scalar
 
 # Fixed values.
 DECAY_FACTOR = 2
@@ -37,7 +37,7 @@ def citizen_peak_later(volume: DataFrame) -> DataFrame:
 def deliveries_in_low_attention(volume: DataFrame, delivered: DataFrame, share: float = LATE_SHARE) -> DataFrame:
     """Some delivery fell on a day under ``share`` of the press peak."""
     peak = volume.agg(F.max("press").alias("peak"))
-    days = delivered.join(volume.select("day", "press"), "day").join(F.broadcast(peak))
+    days = with_scalar(delivered.join(volume.select("day", "press"), "day"), peak)
     return _row("deliveries_in_low_attention", days.agg(F.count_if(F.col("press") < F.col("peak") * share).alias("n")), F.col("n") > 0)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import skew_join, with_scalar
 
 
 def latest_snapshot(df: DataFrame, day: str = "snapshot_date") -> DataFrame:
@@ -48,7 +48,7 @@ def product_changes(
     now = products.filter(F.col(day) == current).select(*keys, *values)
     prior_day = previous_day(products, day, current)
     before = products.join(F.broadcast(prior_day), day, "left_semi").select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
-    guarded = now.join(F.broadcast(prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior"))))
+    guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
     marked = before.withColumn("_seen", F.lit(True))
     condition = [now[k].eqNullSafe(marked[k]) for k in keys]
     joined = guarded.join(marked, condition, "left").drop(*[marked[k] for k in keys])
@@ -64,7 +64,7 @@ def new_items(items: DataFrame, keys: list[str], current: str, day: str = "snaps
     now = items.filter(F.col(day) == current)
     prior_day = previous_day(items, day, current)
     before = items.join(F.broadcast(prior_day), day, "left_semi").select(*keys).distinct()
-    guarded = now.join(F.broadcast(prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior"))))
+    guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
     condition = [guarded[k].eqNullSafe(before[k]) for k in keys]
     return guarded.join(before, condition, "left_anti").drop("_prior")
 

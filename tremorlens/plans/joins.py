@@ -38,3 +38,12 @@ def skew_join(
     left = big.withColumn("_bucket", bucket.cast("int"))
     right = small.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_bucket"], how).drop("_bucket")
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the single row of a global aggregate to every row (an inner join on a constant).
+
+    ``one_row`` may be empty, in which case nothing remains.
+    """
+    left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
+    return left.join(F.broadcast(right), "_one").drop("_one")

@@ -7,8 +7,6 @@ terms need a second look.  Texts without any anchor never leave their partition.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +54,7 @@ def match_terms(
     if at_most(anchors, ANCHOR_LIMIT):
         known = [r[0] for r in anchors.collect()]
         if not known:
-            return source.join(prepared, F.lit(False)).drop("_text", "_anchor", "_plain", "_pattern")
+            known = [""]
         hits = F.array_intersect(words_of(F.col("_text")), F.array(*[F.lit(a) for a in known]))
         probes = (
             source.withColumn("_hits", hits)
@@ -75,7 +73,3 @@ def match_terms(
 def literal_terms(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A small dictionary given in code, folded on the way in."""
     return spark.createDataFrame(rows, schema).withColumn("term", fold(F.col("term")))
-
-
-def java_quote(text: str) -> str:
-    return re.escape(text)
