@@ -329,10 +329,14 @@ def read_figures(df: DataFrame, text: str, out: str = "figures") -> DataFrame:
     Adds ``out`` (struct), ``attempts`` (array of structs) and ``discarded``.
     """
     attempt = "struct<attempt:int,input:string,broken:array<string>>"
-    first = df.withColumn("_f1", figures(strip_links(F.col(text)))).withColumn(
-        "_b1", broken_relations(F.col("_f1"))
-    )
-    retry = first.withColumn("_f2", F.when(F.size("_b1") > 0, figures(F.col(text)))).withColumn(
+    # one lambda reads both inputs, so the long rule list is planned once; a text without
+    # links would only repeat the first reading and is not read again
+    clean = strip_links(F.col(text))
+    inputs = F.array(clean, F.when(F.col(text) != clean, F.col(text)))
+    read = df.withColumn("_in", inputs).withColumn("_f", F.transform("_in", lambda t: figures(t)))
+    first = read.withColumn("_f1", F.col("_f")[0]).withColumn("_b1", broken_relations(F.col("_f")[0]))
+    again = F.when(F.col("_in")[1].isNull(), F.col("_f")[0]).otherwise(F.col("_f")[1])
+    retry = first.withColumn("_f2", F.when(F.size("_b1") > 0, again)).withColumn(
         "_b2", F.when(F.size("_b1") > 0, broken_relations(F.col("_f2")))
     )
     failed = F.coalesce(F.size("_b2") > 0, F.lit(False))
@@ -354,7 +358,7 @@ def read_figures(df: DataFrame, text: str, out: str = "figures") -> DataFrame:
             F.when(F.size("_b1") == 0, F.array(log1)).otherwise(F.array(log1, log2)).cast(f"array<{attempt}>"),
         )
         .withColumn("discarded", F.when(failed, culprits))
-        .drop("_f1", "_b1", "_f2", "_b2")
+        .drop("_in", "_f", "_f1", "_b1", "_f2", "_b2")
     )
 
 

@@ -203,22 +203,19 @@ def day_disputes(captures: DataFrame, metrics: list[str] = DISPUTED, margin: flo
     return spread.filter((F.col("n") >= 2) & (F.col("low") > 0) & (F.col("high") > F.col("low") * margin))
 
 
-def balance_alert(series: DataFrame, metric: str, today: str, yesterday: str) -> DataFrame:
+def balance_alert(series: DataFrame, today: str, yesterday: str) -> DataFrame:
     """Latest consolidated value against the previous captured day, when it moved.
 
-    One row per event whose last day is recent and whose value changed.
+    One row per event and metric whose last day is recent and whose value changed.
     """
-    order = Window.partitionBy("event_key").orderBy("day")
-    one = series.filter(F.col("metric") == metric).withColumn("previous", F.lag("value").over(order)).withColumn(
-        "n_days", F.row_number().over(order)
-    )
-    last = one.groupBy("event_key").agg(F.max_by(F.struct("day", "value", "previous", "n_days"), "day").alias("l")).select(
-        "event_key", "l.*"
-    )
+    keys = ["event_key", "metric"]
+    order = Window.partitionBy(*keys).orderBy("day")
+    lagged = series.withColumn("previous", F.lag("value").over(order)).withColumn("n_days", F.row_number().over(order))
+    last = lagged.groupBy(*keys).agg(F.max_by(F.struct("day", "value", "previous", "n_days"), "day").alias("l")).select(*keys, "l.*")
     fresh = F.col("day").cast("string").isin(today, yesterday)
     moved = (F.col("n_days") == 1) | ~F.col("value").eqNullSafe(F.col("previous"))
     return last.filter(fresh & moved).select(
-        "event_key", "day", "value", "previous", (F.col("value") - F.col("previous")).alias("delta")
+        *keys, "day", "value", "previous", (F.col("value") - F.col("previous")).alias("delta")
     )
 
 
