@@ -77,6 +77,13 @@ VICTIM_STEMS = {
     "desaparecidos": "desaparecid", "rescatados": "rescatad",
 }
 FIGURES = [*FIGURE_PATTERNS, *VICTIM_STEMS]
+# A noun without which no pattern of the metric can match.
+FIGURE_NOUNS = {
+    "departamentos_afectados": ["departamento"], "municipios_afectados": ["municipio"],
+    "personas_afectadas": ["personas", "habitantes"], "familias_afectadas": ["familia"],
+    "viviendas_averiadas": ["vivienda"], "viviendas_destruidas": ["vivienda"], "heridos": ["herid"],
+    "fallecidos": ["fallecid", "muert"], "desaparecidos": ["desaparecid"], "rescatados": ["rescatad"],
+}
 # Fixed values: "left side can never be below right side".
 FIGURE_RELATIONS = [
     ("personas_afectadas", "familias_afectadas"), ("personas_afectadas", "fallecidos"),
@@ -302,17 +309,27 @@ def _victim_patterns(stem: str) -> list[str]:
     ]
 
 
-def figure(text: Column, metric: str) -> Column:
-    """P25: one figure; later patterns are tried only when earlier ones miss."""
+def _figure(text: Column, low: Column, metric: str) -> Column:
+    """One figure: no pattern runs unless its noun occurs, later ones only after a miss."""
     patterns = FIGURE_PATTERNS.get(metric) or _victim_patterns(VICTIM_STEMS[metric])
     hits = [F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in patterns]
-    return F.regexp_replace(F.coalesce(*hits), "[.,]", "").try_cast("bigint")
+    named = [low.contains(noun) for noun in FIGURE_NOUNS[metric]]
+    present = named[0] if len(named) == 1 else named[0] | named[1]
+    return F.when(present, F.regexp_replace(F.coalesce(*hits), "[.,]", "").try_cast("bigint"))
+
+
+def figures_of(texts: Column) -> Column:
+    """P25: the ten figures of each text of an array.
+
+    Two nested steps, so that the normalised text is computed once per text.
+    """
+    prepared = F.transform(texts, lambda t: F.struct(plain_spaces(t).alias("t"), F.lower(t).alias("low")))
+    return F.transform(prepared, lambda s: F.struct(*[_figure(s["t"], s["low"], m).alias(m) for m in FIGURES]))
 
 
 def figures(text: Column) -> Column:
-    """P25: the ten figures as a struct."""
-    clean = plain_spaces(text)
-    return F.struct(*[figure(clean, m).alias(m) for m in FIGURES])
+    """P25: the ten figures of one text as a struct."""
+    return figures_of(F.array(text))[0]
 
 
 def broken_relations(values: Column) -> Column:
@@ -333,7 +350,7 @@ def read_figures(df: DataFrame, text: str, out: str = "figures") -> DataFrame:
     # links would only repeat the first reading and is not read again
     clean = strip_links(F.col(text))
     inputs = F.array(clean, F.when(F.col(text) != clean, F.col(text)))
-    read = df.withColumn("_in", inputs).withColumn("_f", F.transform("_in", lambda t: figures(t)))
+    read = df.withColumn("_in", inputs).withColumn("_f", figures_of(F.col("_in")))
     first = read.withColumn("_f1", F.col("_f")[0]).withColumn("_b1", broken_relations(F.col("_f")[0]))
     again = F.when(F.col("_in")[1].isNull(), F.col("_f")[0]).otherwise(F.col("_f")[1])
     retry = first.withColumn("_f2", F.when(F.size("_b1") > 0, again)).withColumn(
@@ -365,29 +382,26 @@ def read_figures(df: DataFrame, text: str, out: str = "figures") -> DataFrame:
 def _cutoff_pattern() -> str:
     """A day-month date that a report word governs and no event word precedes.
 
-    Bounded look-around keeps the whole rule inside one JVM regular expression.
+    Bounded look-around keeps the whole rule inside one JVM regular expression; the
+    look-ahead in front makes sure the costly part runs at dates only.
     """
     months = "|".join(MONTHS_ES)
+    date = rf"\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+20\d{{2}})?(?![A-Za-z0-9_])"
+    gate = rf"(?<![A-Za-z0-9_])(?=\d{{1,2}}\s+de\s+(?:{months}))"
     no_event = "".join(rf"(?<!{w}[^.]{{0,24}})" for w in EVENT_WORDS)
     before = "|".join(rf"(?<={w}[\s\S]{{0,{70 - len(w)}}})" for w in REPORT_WORDS)
     after = "|".join(rf"(?=[\s\S]{{0,{45 - len(w)}}}{w})" for w in REPORT_WORDS)
-    date = rf"(\d{{1,2}})\s+de\s+({months})(?:\s+de\s+(20\d{{2}}))?(?![A-Za-z0-9_])"
-    start = r"(?<![A-Za-z0-9_])"
-    return f"(?i){start}{no_event}(?:(?:{before}){date}|{date}(?:{after}))"
+    return f"(?i){gate}{no_event}(?:(?:{before}){date}|{date}(?:{after}))"
 
 
 def cutoff_day(text: Column, default_year: str) -> Column:
     """Day the report speaks of, as ISO text; NULL when the text does not say."""
-    clean = plain_spaces(text)
-    pattern = _cutoff_pattern()
-
-    def part(i: int) -> Column:
-        direct, ahead = (F.regexp_extract(clean, pattern, g) for g in (i, i + 3))
-        return F.coalesce(F.nullif(direct, F.lit("")), F.nullif(ahead, F.lit("")))
-
-    month = month_number(F.lower(part(2)), MONTHS_ES)
-    written = iso_day(F.coalesce(part(3), F.lit(default_year)), month, part(1))
-    return F.when(clean.rlike(pattern), written)
+    hit = F.regexp_extract(plain_spaces(text), _cutoff_pattern(), 0)
+    words = F.split(F.lower(hit), r"\s+")
+    return F.when(
+        hit != "",
+        iso_day(F.coalesce(F.get(words, F.lit(4)), F.lit(default_year)), month_number(F.get(words, F.lit(2)), MONTHS_ES), F.get(words, F.lit(0))),
+    )
 
 
 def prose_day(text: Column) -> Column:
