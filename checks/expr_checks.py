@@ -349,8 +349,9 @@ def p27(spark, d):
         .when(k % 4 == 2, ". El terremoto del 10 de agosto dejó cientos de muertos").otherwise(". A 2 de enero de 2025 las cifras no cambian")
     )
     day = report.cutoff_day(F.concat(F.col("text"), tail), "2026")
-    dated = report.dated_cutoff(day, F.concat(F.lit("https://x.example/2026/08/20/"), k.cast("string")), F.lit(None).cast("string"))
-    return table(spark, d, "documents").select("doc_id", day.alias("cutoff"), dated["signal"].alias("signal"))
+    address = F.concat(F.lit("https://x.example/2026/08/20/"), k.cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", day.alias("cutoff"), address.alias("url"))
+    return rows.select("doc_id", "cutoff", report.dated_cutoff(F.col("cutoff"), F.col("url"), F.lit(None).cast("string"))["signal"].alias("signal"))
 
 
 @query(

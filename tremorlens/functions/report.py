@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlens.functions.dates import MONTHS_ES, iso_day, month_number
-from tremorlens.functions.text import contains_any, fold, plain_spaces, strip_accents, strip_links
+from tremorlens.functions.text import contains_any, fold, let, plain_spaces, strip_accents, strip_links
 
 # Vocabulary of the event gate.
 KEYWORDS = [
@@ -396,12 +396,12 @@ def _cutoff_pattern() -> str:
 
 def cutoff_day(text: Column, default_year: str) -> Column:
     """Day the report speaks of, as ISO text; NULL when the text does not say."""
+    def written(words: Column) -> Column:
+        month = month_number(F.get(words, F.lit(2)), MONTHS_ES)
+        return F.when(month.isNotNull(), iso_day(F.coalesce(F.get(words, F.lit(4)), F.lit(default_year)), month, F.get(words, F.lit(0))))
+
     hit = F.regexp_extract(plain_spaces(text), _cutoff_pattern(), 0)
-    words = F.split(F.lower(hit), r"\s+")
-    return F.when(
-        hit != "",
-        iso_day(F.coalesce(F.get(words, F.lit(4)), F.lit(default_year)), month_number(F.get(words, F.lit(2)), MONTHS_ES), F.get(words, F.lit(0))),
-    )
+    return let(F.split(F.lower(hit), r"\s+"), written)
 
 
 def prose_day(text: Column) -> Column:

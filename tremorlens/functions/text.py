@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,9 +105,19 @@ def is_liveblog(title: Column, url: Column, flag: Column | None = None) -> Colum
     return found if flag is None else F.coalesce(flag, F.lit(False)) | found
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+# Unicode blanks other than the ordinary one.
+_BLANKS = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def plain_spaces(text: Column) -> Column:
     """Unicode spaces become an ordinary blank, so that ``\\s`` sees them."""
-    return F.regexp_replace(text, "[\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]", " ")
+    mapped = F.translate(text, _BLANKS, " " * len(_BLANKS))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(mapped)
 
 
 def strip_html(html: Column) -> Column:

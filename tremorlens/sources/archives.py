@@ -1,6 +1,6 @@
 """Vendor archives: ZIPs of point shapefiles or GeoJSON layers.
 
-One ``mapInPandas`` job unpacks archives in parallel, one file per row; everything
+One ``mapInArrow`` job unpacks archives in parallel, one file per row; everything
 after the raw features (aliases, places, grades) is column expressions.
 """
 
@@ -121,9 +121,13 @@ def unpack(archives: DataFrame, kind: str, fragment: str = "", batch_rows: int =
 
     An archive over the size limit or broken yields one row naming the problem.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    columns = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")]
+    text, real = pa.string(), pa.float64()
+    schema = pa.schema([
+        ("path", text), ("package_sha", text), ("layer", text), ("idx", pa.int64()), ("geometry_type", text), ("lon", real), ("lat", real),
+        ("properties", pa.map_(text, text)), ("problem", text),
+    ])
 
     def read(path: str, sha: str, length: int, content: bytes) -> Iterator[dict]:
         if length > MAX_ARCHIVE_BYTES:
@@ -138,18 +142,20 @@ def unpack(archives: DataFrame, kind: str, fragment: str = "", batch_rows: int =
             yield {"path": path, "package_sha": sha, "problem": type(error).__name__}
 
     def run(batches):
-        for frame in batches:
-            pending: list[dict] = []
-            for row in frame.itertuples(index=False):
-                for feature in read(row.path, row.package_sha, row.length, row.content):
+        pending: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                for feature in read(row["path"], row["package_sha"], row["length"], row["content"]):
+                    if feature.get("properties"):
+                        feature["properties"] = list(feature["properties"].items())
                     pending.append(feature)
                     if len(pending) >= batch_rows:
-                        yield pd.DataFrame(pending, columns=columns)
+                        yield pa.RecordBatch.from_pylist(pending, schema=schema)
                         pending = []
-            if pending:
-                yield pd.DataFrame(pending, columns=columns)
+        if pending:
+            yield pa.RecordBatch.from_pylist(pending, schema=schema)
 
-    return archives.select("path", "package_sha", "length", "content").mapInPandas(run, FEATURE_SCHEMA)
+    return archives.select("path", "package_sha", "length", "content").mapInArrow(run, FEATURE_SCHEMA)
 
 
 def aliased(properties: Column, *names: str) -> Column:
