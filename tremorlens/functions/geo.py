@@ -92,7 +92,7 @@ def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) ->
     chord = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(
         F.sin(half_lon), 2
     )
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord)))
 
 
 def grid_index(value: Column, start: Column, stop: Column, num: Column) -> Column:

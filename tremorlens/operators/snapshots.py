@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import skew_join, with_scalar
+from tremorlens.plans.joins import null_safe_join, skew_join, with_scalar
 
 
 def latest_snapshot(df: DataFrame, day: str = "snapshot_date") -> DataFrame:
@@ -50,8 +50,7 @@ def product_changes(
     before = products.join(F.broadcast(prior_day), day, "left_semi").select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
     guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
     marked = before.withColumn("_seen", F.lit(True))
-    condition = [now[k].eqNullSafe(marked[k]) for k in keys]
-    joined = guarded.join(marked, condition, "left").drop(*[marked[k] for k in keys])
+    joined = null_safe_join(guarded, marked, keys, "left")
     changed = F.lit(False)
     for v in values:
         changed = changed | ~F.col(v).eqNullSafe(F.col(f"old_{v}"))
@@ -65,8 +64,7 @@ def new_items(items: DataFrame, keys: list[str], current: str, day: str = "snaps
     prior_day = previous_day(items, day, current)
     before = items.join(F.broadcast(prior_day), day, "left_semi").select(*keys).distinct()
     guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
-    condition = [guarded[k].eqNullSafe(before[k]) for k in keys]
-    return guarded.join(before, condition, "left_anti").drop("_prior")
+    return null_safe_join(guarded, before, keys, "left_anti").drop("_prior")
 
 
 def current_package(points: DataFrame, products: DataFrame, group: str, package: str, order: list[str]) -> DataFrame:
@@ -110,8 +108,7 @@ def changed_pages(rows: DataFrame, key: str, columns: list[str], state: DataFram
 
 def vanished_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of an accumulating table that a rewrite would lose; must be empty."""
-    left, right = old.select(*keys).distinct(), new.select(*keys).distinct()
-    return left.join(right, [left[k].eqNullSafe(right[k]) for k in keys], "left_anti")
+    return null_safe_join(old.select(*keys).distinct(), new.select(*keys).distinct(), keys, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str] = (), fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
@@ -135,7 +132,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str] =
 def resync_history(dump: DataFrame, log: DataFrame, keys: list[str], replace: bool) -> DataFrame:
     """Dump rows replace stored rows, or are added only where their key is absent."""
     first, second = (dump, log) if replace else (log, dump)
-    absent = second.join(first.select(*keys).distinct(), [second[k].eqNullSafe(first[k]) for k in keys], "left_anti")
+    absent = null_safe_join(second, first.select(*keys).distinct(), keys, "left_anti")
     return first.unionByName(absent)
 
 

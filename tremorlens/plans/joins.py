@@ -47,3 +47,10 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """
     left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
     return left.join(F.broadcast(right), "_one").drop("_one")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which NULL equals NULL; the keys of ``left`` remain."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, condition, how).drop(*[f"_right_{k}" for k in keys])

@@ -66,7 +66,7 @@ def match_terms(
         probes = source.select(key, F.explode(F.array_distinct(words_of(F.col("_text")))).alias("_anchor"))
         found = skew_join(probes, prepared, ["_anchor"], spread=F.col(key))
         pairs = found.join(source, key)
-    matched = pairs.filter(F.col("_plain") | F.col("_text").rlike(F.col("_pattern")))
+    matched = pairs.filter(F.col("_plain") | F.regexp_like("_text", F.col("_pattern")))
     return matched.drop("_text", "_anchor", "_plain", "_pattern")
 
 
