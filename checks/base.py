@@ -279,13 +279,29 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in rows)
 
 
-FOLD = "lower(strip_accents({}))"
-TERM_SQL = f"""toponyms AS (SELECT zone, lower(strip_accents(term)) AS term FROM (VALUES {values(TOPONYMS)}) AS t(zone, term)),
-gazetteer AS (SELECT municipality, department, lower(strip_accents(term)) AS term, needs, homonym
-  FROM (VALUES {values(GAZETTEER)}) AS g(municipality, department, term, needs, homonym)),
-texts AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents)"""
+def _fold(text: str) -> str:
+    import unicodedata
 
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+
+
+def _word_sql(term: str) -> str:
+    import re
 
-def word_sql(text: str, term: str) -> str:
     edge = r"[^\p{L}\p{N}\p{M}_]"
-    return rf"regexp_matches({text}, '(^|{edge})' || regexp_escape({term}) || '($|{edge})')"
+    return f"regexp_matches(t, '(^|{edge}){re.escape(_fold(term))}($|{edge})')"
+
+
+def _hits(rows: list[tuple], columns: list[str], term: int) -> str:
+    """One branch per term, so that each pattern is a constant."""
+    return " UNION ALL ".join(
+        "SELECT doc_id, " + ", ".join(f"{quoted(row[i])} AS {c}" for i, c in enumerate(columns) if i != term) + f" FROM texts WHERE {_word_sql(row[term])}"
+        for row in rows
+    )
+
+
+DEPARTMENTS = sorted({(row[1], row[1]) for row in GAZETTEER})
+TERM_SQL = f"""texts AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents),
+zone_hits AS ({_hits(TOPONYMS, ["zone", "term"], 1)}),
+place_hits AS ({_hits(GAZETTEER, ["municipality", "department", "term", "needs", "homonym"], 2)}),
+backed AS (SELECT DISTINCT doc_id, department FROM ({_hits(DEPARTMENTS, ["department", "term"], 1)}))"""

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import POINTS_SQL, REGISTRY_SQL, TERM_SQL, gazetteer, haversine_sql, points, query, registry, table, toponyms, word_sql
+from checks.base import POINTS_SQL, REGISTRY_SQL, TERM_SQL, gazetteer, haversine_sql, points, query, registry, table, toponyms
 from tremorlens.functions.web import url_host
 from tremorlens.operators import attribution, coverage, snapshots
 
-HIT_SQL = f"""named AS (SELECT DISTINCT doc_id, municipality, department, needs FROM texts, gazetteer WHERE NOT homonym AND {word_sql("t", "term")}),
-depts AS (SELECT DISTINCT department, lower(strip_accents(department)) AS term FROM gazetteer),
-backed AS (SELECT DISTINCT doc_id, department FROM texts, depts WHERE {word_sql("t", "term")}),
+HIT_SQL = """named AS (SELECT DISTINCT doc_id, municipality, department, needs FROM place_hits WHERE NOT homonym),
 places AS (SELECT DISTINCT n.doc_id, n.municipality, n.department FROM named n LEFT JOIN backed b USING (doc_id, department) WHERE NOT n.needs OR b.doc_id IS NOT NULL)"""
 
 
@@ -18,7 +16,7 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source")
 
 
-@query("J01", f"WITH {TERM_SQL} SELECT DISTINCT doc_id, zone FROM texts, toponyms WHERE {word_sql('t', 'term')}")
+@query("J01", f"WITH {TERM_SQL} SELECT DISTINCT doc_id, zone FROM zone_hits")
 def j01(spark, d):
     return attribution.match_zones(_docs(spark, d), "doc_id", "text", toponyms(spark))
 
@@ -47,7 +45,7 @@ FEED_ROWS = [("src1", ["Alpha", "Zeta"], ["the"]), ("src2", ["Omega"], ["Norte"]
     fd(source, dep) AS (VALUES ('src1', 'the'), ('src2', 'Norte')),
     m AS (SELECT doc_id, municipality AS v FROM places UNION SELECT d.doc_id, f.m FROM documents d JOIN f USING (source)),
     p AS (SELECT doc_id, department AS v FROM places UNION SELECT doc_id, department FROM backed UNION SELECT d.doc_id, fd.dep FROM documents d JOIN fd USING (source)),
-    z AS (SELECT DISTINCT doc_id, zone FROM texts, toponyms WHERE {word_sql("t", "term")})
+    z AS (SELECT DISTINCT doc_id, zone FROM zone_hits)
     SELECT d.doc_id, coalesce((SELECT string_agg(zone, ',' ORDER BY zone) FROM z WHERE z.doc_id = d.doc_id), '') AS zones,
       coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM m WHERE m.doc_id = d.doc_id), '') AS municipalities,
       coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM p WHERE p.doc_id = d.doc_id), '') AS departments FROM documents d""",

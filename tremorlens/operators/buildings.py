@@ -15,6 +15,8 @@ the number of edges follows distinct places, not rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ from tremorlens.session import cut_lineage
 
 MAX_SOURCES = 64
 _PLANE = {"per_lat": M_PER_DEG_LAT, "per_lon": M_PER_DEG_LON}
-_UNROLL = 3
+# Steps of the running sums per written round: few at first, most systems are settled then.
+_UNROLL = (4, 8, 16)
 
 
 def grade_bucket(grade: Column) -> Column:
@@ -98,9 +101,9 @@ def _allocate(edges: DataFrame) -> DataFrame:
     settled = counted.filter(lone).drop("_dq", "_du")
     state = counted.filter(~lone).drop("_dq", "_du")
     zero = F.lit(0).cast("bigint")
-    while True:
+    for steps in itertools.chain(_UNROLL, itertools.repeat(_UNROLL[-1])):
         step = state
-        for _ in range(_UNROLL):
+        for _ in range(steps):
             taken = F.coalesce(F.sum("x").over(by_q.orderBy("u").rowsBetween(*before)), zero)
             given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
             step = (
@@ -112,7 +115,8 @@ def _allocate(edges: DataFrame) -> DataFrame:
         moved = step.filter(F.col("x") != F.col("_old")).limit(1).count()
         state = step.drop("_old")
         if not moved:
-            return settled.unionByName(state).filter(F.col("x") > 0)
+            break
+    return settled.unionByName(state).filter(F.col("x") > 0)
 
 
 def _next_units(units: DataFrame, nodes: DataFrame, given: DataFrame) -> DataFrame:

@@ -59,7 +59,10 @@ def facet_counts(rows: DataFrame, arrays: list[str], scalars: list[str]) -> Data
         return F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"))
 
     singles = F.array(*[entry(s, F.col(s)) for s in scalars]) if scalars else F.array()
-    parts = [F.transform(F.array_distinct(a), lambda v, a=a: entry(a, v)) for a in arrays]
+    def listing(name: str) -> Column:
+        return F.transform(F.array_distinct(name), lambda v: entry(name, v))
+
+    parts = [listing(a) for a in arrays]
     listed = rows.select(F.explode(F.concat(singles, *parts) if scalars else F.concat(*parts)).alias("_f"))
     return listed.select("_f.*").filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
