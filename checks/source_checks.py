@@ -13,9 +13,6 @@ from checks.base import GAZETTEER, POINTS_SQL, gazetteer, points, query, scratch
 from tremorlens.operators import citizen, snapshots
 from tremorlens.sources import archives, documents, feeds, landing, sinks, tables
 
-DAY = F.lit("2026-08-22").cast("date")
-
-
 def _json(column):
     return F.to_json(column, {"ignoreNullFields": "false"})
 
@@ -43,7 +40,7 @@ def _activation_bodies(spark, d):
         F.concat(F.lit("EMSR"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("closed"),
         F.array(F.struct(F.col("n_regionkey").cast("string").alias("name"))).alias("countries"), "aois",
     )
-    return named.select(DAY.alias("snapshot_date"), _json(F.struct(F.array(act).alias("results"))).alias("body"))
+    return named.select(F.lit("2026-08-22").cast("date").alias("snapshot_date"), _json(F.struct(F.array(act).alias("results"))).alias("body"))
 
 
 _SEGMENTS = "c AS (SELECT 'EMSR' || c_nationkey AS code, c_mktsegment AS aoi_name, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)"

@@ -15,20 +15,20 @@ the number of edges follows distinct places, not rows.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlens.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, plane_m
 from tremorlens.plans.grid import near_keys, near_probes
-from tremorlens.plans.joins import skew_join, with_scalar
+from tremorlens.plans.joins import at_most, skew_join, with_scalar
 from tremorlens.session import cut_lineage
 
 MAX_SOURCES = 64
 _PLANE = {"per_lat": M_PER_DEG_LAT, "per_lon": M_PER_DEG_LON}
-# Steps of the running sums per written round: few at first, most systems are settled then.
-_UNROLL = (4, 8, 16)
+# Contested pairs that fit one ordinary partition need no exchange between the sums, so
+# more steps of them go into one written round.
+_ONE_PARTITION = 50_000
+_STEPS_APART, _STEPS_TOGETHER = 4, 10
 
 
 def grade_bucket(grade: Column) -> Column:
@@ -94,29 +94,27 @@ def _allocate(edges: DataFrame) -> DataFrame:
     by_q = Window.partitionBy("g", "q")
     by_u = Window.partitionBy("g", "u")
     before = (Window.unboundedPreceding, -1)
-    counted = edges.withColumn("_dq", F.count("*").over(by_q)).withColumn("_du", F.count("*").over(by_u))
-    lone = (F.col("_dq") == 1) & (F.col("_du") == 1)
-    start = F.least("n", "cap")
-    counted = cut_lineage(counted.withColumn("x", F.when(lone, start).otherwise(F.lit(0).cast("bigint"))))
-    settled = counted.filter(lone).drop("_dq", "_du")
-    state = counted.filter(~lone).drop("_dq", "_du")
+    columns = ["g", "u", "q", "cap", "n"]
     zero = F.lit(0).cast("bigint")
-    for steps in itertools.chain(_UNROLL, itertools.repeat(_UNROLL[-1])):
-        step = state
-        for _ in range(steps):
-            taken = F.coalesce(F.sum("x").over(by_q.orderBy("u").rowsBetween(*before)), zero)
-            given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
-            step = (
-                step.withColumn("_taken", taken).withColumn("_given", given).withColumn("_old", F.col("x"))
-                .withColumn("x", F.greatest(F.least(F.col("n") - F.col("_taken"), F.col("cap") - F.col("_given")), zero))
-                .drop("_taken", "_given")
-            )
+    lone = (F.count("*").over(by_q) == 1) & (F.count("*").over(by_u) == 1)
+    counted = edges.select(*columns, lone.alias("lone")).withColumn("x", F.when(F.col("lone"), F.least("n", "cap")).otherwise(zero))
+    counted = cut_lineage(counted)
+    settled = counted.filter("lone").drop("lone")
+    state = counted.filter("NOT lone").drop("lone")
+    taken = F.coalesce(F.sum("x").over(by_q.orderBy("u").rowsBetween(*before)), zero)
+    given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
+    solved = F.greatest(F.least(F.col("n") - taken, F.col("cap") - given), zero).alias("x")
+    if at_most(state, 0):
+        return settled
+    together = at_most(state, _ONE_PARTITION)
+    while True:
+        step = state.coalesce(1) if together else state
+        for _ in range(_STEPS_TOGETHER if together else _STEPS_APART):
+            step = step.select(*columns, solved, F.col("x").alias("old"))
         step = cut_lineage(step)
-        moved = step.filter(F.col("x") != F.col("_old")).limit(1).count()
-        state = step.drop("_old")
-        if not moved:
-            break
-    return settled.unionByName(state).filter(F.col("x") > 0)
+        state = step.drop("old")
+        if at_most(step.filter("x <> old"), 0):
+            return settled.unionByName(state).filter("x > 0")
 
 
 def _next_units(units: DataFrame, nodes: DataFrame, given: DataFrame) -> DataFrame:

@@ -37,7 +37,6 @@ COMPARISON = [
 ]
 
 KEYS = ["event_key", "day"]
-_NO_VALUE = F.lit(None).cast("bigint")
 
 
 def attributed(captures: DataFrame) -> Column:
@@ -133,8 +132,9 @@ def accepted_values(long: DataFrame, ceiling: int = JUMP_CEILING) -> DataFrame:
     )
     dtype = per_metric.schema["steps"].dataType.elementType.simpleString()
     day_type = long.schema["day"].dataType.simpleString()
+    nothing = F.lit(None).cast("bigint")
     start = F.struct(
-        _NO_VALUE.alias("value"), _NO_VALUE.alias("base"), F.lit(None).cast(day_type).alias("day"),
+        nothing.alias("value"), nothing.alias("base"), F.lit(None).cast(day_type).alias("day"),
         F.lit(False).alias("taken"), F.array().cast(f"array<{dtype}>").alias("trail"),
     )
 
