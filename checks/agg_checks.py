@@ -371,17 +371,17 @@ def a24_new(spark, d):
 
 @query(
     "A26",
-    """WITH a AS (SELECT CAST(ts AS DATE) AS day, event_id AS position, CASE event_type WHEN 'error' THEN 'rud_actualizado' ELSE event_type END AS kind, CASE WHEN value > 150 THEN 'alta' ELSE 'info' END AS level, 'texto ' || event_id AS text FROM events WHERE user_id % 5 = 0),
-    n AS (SELECT * FROM a WHERE level = 'alta' OR kind IN ('rud_actualizado', 'balance_en_medios')),
+    """WITH a AS (SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'error' THEN 'rud_actualizado' ELSE event_type END AS kind, count(*) AS n, min(event_id) AS position FROM events GROUP BY 1, 2),
+    n AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'alta' ELSE 'info' END AS level, n || ' avisos' AS text FROM a WHERE n % 3 = 0 OR kind IN ('rud_actualizado', 'balance_en_medios')),
     p AS (SELECT day, count(*) AS n_alerts, '[' || string_agg('["' || kind || '","' || text || '"]', ',' ORDER BY position) || ']' AS payload, list(CASE WHEN level = 'alta' THEN '⚠️ ' ELSE '' END || text ORDER BY position) AS lines FROM n GROUP BY day)
-    SELECT day, n_alerts, sha256(payload) AS payload_sha, substring(array_to_string(lines[1:3], chr(10)) || CASE WHEN n_alerts > 3 THEN chr(10) || '… y ' || (n_alerts - 3) || ' más' ELSE '' END, 1, 500) AS body FROM p""",
+    SELECT day, n_alerts, sha256(payload) AS payload_sha, substring(array_to_string(lines[1:2], chr(10)) || CASE WHEN n_alerts > 2 THEN chr(10) || '… y ' || (n_alerts - 2) || ' más' ELSE '' END, 1, 500) AS body FROM p""",
 )
 def a26(spark, d):
-    rows = table(spark, d, "events").filter("user_id % 5 = 0").select(
-        F.to_date("ts").alias("day"), F.col("event_id").alias("position"), F.when(F.col("event_type") == "error", "rud_actualizado").otherwise(F.col("event_type")).alias("kind"),
-        F.when(F.col("value") > 150, "alta").otherwise("info").alias("level"), F.concat(F.lit("texto "), F.col("event_id").cast("string")).alias("text"),
-    )
-    return alerts.digest(rows, "day")
+    fired = table(spark, d, "events").groupBy(
+        F.to_date("ts").alias("day"), F.when(F.col("event_type") == "error", "rud_actualizado").otherwise(F.col("event_type")).alias("kind")
+    ).agg(F.count("*").alias("n"), F.min("event_id").alias("position"))
+    rows = fired.select("day", "position", "kind", F.when(F.col("n") % 3 == 0, "alta").otherwise("info").alias("level"), F.concat(F.col("n").cast("string"), F.lit(" avisos")).alias("text"))
+    return alerts.digest(rows, "day", 2)
 
 
 @query(

@@ -121,7 +121,26 @@ def _edge_sql(metres: float) -> str:
     )
 
 
-@query("J18")
+_UNIT = "STRUCT(s VARCHAR, x DOUBLE, y DOUBLE, g VARCHAR)[][]"
+_FITS = (
+    "list_transform(a.units, lambda m: NOT list_contains(list_transform(m, lambda q: q.s), p.s) AND len(list_filter(m, lambda q: "
+    f"pow((q.x - p.x) * 111320.0 * cos(radians((q.y + p.y) / 2)), 2) + pow((q.y - p.y) * 110570.0, 2) < pow({METRES}, 2))) > 0)"
+)
+UNITS_SQL = f"""seq AS (
+  SELECT place, list({{'s': source, 'x': lon, 'y': lat, 'g': lower(grade), 'units': CAST([] AS {_UNIT})}} ORDER BY source, lon, lat, lower(grade)) AS xs FROM located GROUP BY place),
+walked AS (
+  SELECT place, list_reduce(list_prepend({{'s': '', 'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'g': '', 'units': CAST([] AS {_UNIT})}}, xs), lambda a, p:
+    {{'s': p.s, 'x': p.x, 'y': p.y, 'g': p.g, 'units': CASE WHEN coalesce(list_position({_FITS}, true), 0) = 0
+        THEN list_append(a.units, [{{'s': p.s, 'x': p.x, 'y': p.y, 'g': p.g}}])
+        ELSE list_concat(list_concat(a.units[1:list_position({_FITS}, true) - 1],
+             [list_append(a.units[list_position({_FITS}, true)], {{'s': p.s, 'x': p.x, 'y': p.y, 'g': p.g}})]), a.units[list_position({_FITS}, true) + 1:]) END}}).units AS units
+  FROM seq),
+unit AS (SELECT place, len(list_distinct(list_transform(m, lambda q: q.s))) AS services, len(list_distinct(list_filter(list_transform(m, lambda q: q.g), lambda g: g <> ''))) AS grades
+  FROM (SELECT place, unnest(units) AS m FROM walked)),
+solved AS (SELECT place, count(*) AS units, count(*) FILTER (services > 1) AS agreements, count(*) FILTER (services > 1 AND grades > 1) AS grade_disagreements, count(*) FILTER (services = 1) AS single_source FROM unit GROUP BY place)"""
+
+
+@query("J18", f"WITH {POINTS_SQL}, located AS (SELECT * FROM points), {UNITS_SQL} SELECT place AS group_key, units, agreements, grade_disagreements, single_source FROM solved")
 def j18(spark, d):
     units = buildings.building_units(points(spark, d), "place", "source", "lon", "lat", "grade", METRES)
     return buildings.unit_summary(units)
@@ -173,7 +192,14 @@ def u06(spark, d):
     return buildings.stack_layers({s: p.filter(F.col("source") == s) for s in ("s0", "s1", "s2")})
 
 
-@query("A07")
+@query(
+    "A07",
+    f"""WITH {POINTS_SQL}, stacked AS (SELECT * FROM points WHERE grade <> 'Not Applicable'), located AS (SELECT * FROM stacked WHERE place IS NOT NULL), {UNITS_SQL},
+    r AS (SELECT place, count(*) AS points, count(DISTINCT source) AS sources FROM located GROUP BY place),
+    f AS (SELECT r.*, units, agreements, grade_disagreements FROM r JOIN solved USING (place))
+    SELECT place, points, sources, units, agreements, grade_disagreements, CAST(NULL AS BIGINT) AS without_place FROM f UNION ALL
+    SELECT NULL, CAST(sum(points) AS BIGINT), max(sources), CAST(sum(units) AS BIGINT), CAST(sum(agreements) AS BIGINT), CAST(sum(grade_disagreements) AS BIGINT), (SELECT count(*) FROM stacked WHERE place IS NULL) FROM f""",
+)
 def a07(spark, d):
     p = points(spark, d)
     stacked = buildings.stack_layers({s: p.filter(F.col("source") == s) for s in ("s0", "s1", "s2")})

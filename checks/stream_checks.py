@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import captures, query, scratch, table
+from checks.base import CAPTURES_SQL, captures, query, scratch, table
 from tremorlens.operators import consensus
 from tremorlens.streaming import jobs
 
@@ -30,9 +30,11 @@ def t02(spark, d):
     return jobs.run_once(jobs.suppress_repeats(events, "ts", ["day", "event_type"]).select("day", "event_type"), scratch(spark, "t02"))
 
 
-@query("T03")
+@query(
+    "T03",
+    f"WITH {CAPTURES_SQL} SELECT a.event_key, a.metric, CAST(a.day AS VARCHAR) AS day, a.value, r.outlet FROM accepted a JOIN ranked r ON r.event_key = a.event_key AND r.day = a.day AND r.rk = a.rk",
+)
 def t03(spark, d):
-    """The stream's final values equal the batch fold (tested); here the accepted changes."""
     rows = consensus.candidates(consensus.with_order(captures(spark, d))).filter("attributed AND NOT quarantined")
     path = scratch(spark, "t03-in")
     parts = F.concat_ws("|", *[F.lpad((F.col(f"rank_key.{c}") + 10**16).cast("string"), 18, "0") for c in ("regress", "no_anchor", "incoherent", "source", "live", "national", "filled", "recency", "item_id")])
@@ -42,7 +44,12 @@ def t03(spark, d):
     return jobs.run_once(jobs.running_maximum(stream), scratch(spark, "t03"))
 
 
-@query("T04")
+@query(
+    "T04",
+    """SELECT CAST(user_id AS VARCHAR) AS source, max(ts) AS last_seen FROM events GROUP BY user_id
+    HAVING max(ts) + INTERVAL 24 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
 def t04(spark, d):
     events = _stream(spark, d).select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.run_once(jobs.silent_sources(events, "user_id", "ts", hours=24), scratch(spark, "t04"))
+    silent = jobs.run_once(jobs.silent_sources(events, "user_id", "ts", hours=24), scratch(spark, "t04"))
+    return silent.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))

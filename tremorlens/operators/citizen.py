@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlens.functions.web import AV_SUFFIXES
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import derived_join, skew_join
 
 # Fixed values.
 FELT_THRESHOLD = 5
@@ -25,7 +25,7 @@ def duplicate_media(reports: DataFrame, key: str, sha: str, order: str) -> DataF
         .agg(F.min_by(key, F.struct(order, key)).alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1").drop("_n")
     )
-    joined = skew_join(reports, first, [sha], "left", spread=F.col(key))
+    joined = derived_join(reports, first, [sha], "left")
     return joined.withColumn("duplicate_of", F.when(F.col("_first") != F.col(key), F.col("_first"))).drop("_first")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.report import FIGURES, broken_relations, is_national
 from tremorlens.functions.text import is_liveblog
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import derived_join
 
 # Fixed values.
 ANCHORS = ["fallecidos", "familias_afectadas"]
@@ -63,7 +63,7 @@ def with_order(captures: DataFrame, anchors: list[str] = ANCHORS, metrics: list[
     """Adds ``rank_key``, an ascending struct that ranks the candidates of a day."""
     figures = F.col("figures")
     maxima = anchor_maxima(captures, anchors)
-    joined = skew_join(captures, maxima, KEYS, "left", spread=F.col("item_id"))
+    joined = derived_join(captures, maxima, KEYS, "left")
     regress = F.lit(False)
     without = F.lit(True)
     for a in anchors:
@@ -179,7 +179,7 @@ def rejected_values(long: DataFrame, series: DataFrame, accepted: DataFrame, cei
     base = series.select(*KEYS, "metric", F.lag("value").over(before).alias("base"))
     winner = accepted.select(*KEYS, "metric", F.col("rank_key").alias("_win"))
     limits = base.join(winner, [*KEYS, "metric"], "left")
-    judged = skew_join(long, limits, [*KEYS, "metric"], "left", spread=F.col("rank_key.item_id"))
+    judged = derived_join(long, limits, [*KEYS, "metric"], "left")
     inspected = judged.filter(F.col("_win").isNull() | (F.col("rank_key") < F.col("_win")))
     reason = (
         F.when(F.col("quarantined"), REASONS["incoherent"])

@@ -109,11 +109,8 @@ def top_scored(rows: DataFrame, keys: list[str], score: str, tie: list[str], n:
 
 def group_extreme(rows: DataFrame, keys: list[str], item: str, by: str) -> DataFrame:
     """The item with the greatest value; the first name wins a tie."""
-    best = rows.groupBy(*keys).agg(F.max(by).alias(by), F.count("*").alias("n"))
-    from tremorlens.plans.joins import skew_join
-
-    tied = skew_join(rows.select(*keys, item, by), best, [*keys, by])
-    return tied.groupBy(*keys, by).agg(F.min(item).alias(item))
+    leading = F.struct(-F.col(by), F.col(item))
+    return rows.groupBy(*keys).agg(F.max(by).alias(by), F.min_by(item, leading).alias(item))
 
 
 def source_cards(satellite: DataFrame, registry: DataFrame, media: DataFrame, citizen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import skew_join, with_scalar
+from tremorlens.plans.joins import derived_join, with_scalar
 
 # Fixed values.
 DECAY_FACTOR = 2
@@ -73,7 +73,7 @@ def log_integrity(log: DataFrame, bodies: DataFrame, exempt_notes: list[str] = (
     checked = log.filter((F.col("status") == 200) & (F.col("bytes") > 0))
     if exempt_notes:
         checked = checked.filter(F.col("note").isNull() | ~F.col("note").isin(list(exempt_notes)))
-    joined = skew_join(checked, bodies, ["path"], "left")
+    joined = derived_join(checked, bodies, ["path"], "left")
     problem = (
         F.when(F.col("path").isNull(), "missing_path").when(F.col("body_sha").isNull(), "missing_body")
         .when(F.col("body_sha") != F.col("sha256"), "hash_mismatch")

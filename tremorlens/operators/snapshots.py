@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import null_safe_join, skew_join, with_scalar
+from tremorlens.plans.joins import derived_join, null_safe_join, skew_join, with_scalar
 
 
 def latest_snapshot(df: DataFrame, day: str = "snapshot_date") -> DataFrame:
@@ -18,7 +18,7 @@ def latest_snapshot(df: DataFrame, day: str = "snapshot_date") -> DataFrame:
 def latest_per_key(df: DataFrame, keys: list[str], day: str = "snapshot_date") -> DataFrame:
     """Rows of the newest day of each key."""
     newest = df.groupBy(*keys).agg(F.max(day).alias(day))
-    return skew_join(df, newest, [*keys, day], "left_semi")
+    return derived_join(df, newest, [*keys, day], "left_semi")
 
 
 def latest_product(products: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from tremorlens.functions.geo import (
     ring_bounds, wkt_rings,
 )
 from tremorlens.plans.grid import box_keys, box_level, near_keys, near_probes, point_keys
-from tremorlens.plans.joins import BROADCAST_ROWS, skew_join
+from tremorlens.plans.joins import BROADCAST_ROWS, derived_join, skew_join
 
 # Metres per degree on the 6371 km sphere, for grids that serve haversine distances.
 SPHERE_M_PER_DEG = 111194.0
@@ -167,7 +167,7 @@ def chance_rate(
     targets = clean.select(group, F.col(source).alias("_target"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).distinct()
     left = near_keys(targets, "_lon", "_lat", metres, **plane)
     right = near_probes(throws, "_qlon", "_qlat", metres, **plane)
-    near = skew_join(left, right, [group, "_target", "_band", "_cell"]).filter(
+    near = derived_join(left, right, [group, "_target", "_band", "_cell"]).filter(
         plane_m(F.col("_qlon"), F.col("_qlat"), F.col("_lon"), F.col("_lat")) < metres
     )
     hits = near.groupBy(group).agg(F.count_distinct("_draw").alias("_hits"))

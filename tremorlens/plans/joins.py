@@ -1,4 +1,9 @@
-"""Joins whose strategy follows the measured size of the small side."""
+"""Joins whose strategy follows the measured size of the small side.
+
+``skew_join`` is for dimensions: counting them first is cheap.  ``derived_join`` is for
+a side computed from the big one: counting it would compute it twice, so its size and
+any hot key are settled by adaptive execution from the shuffle it needs anyway.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +45,15 @@ def skew_join(
     return left.join(right, [*on, "_bucket"], how).drop("_bucket")
 
 
+def derived_join(big: DataFrame, derived: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join with a side aggregated from ``big`` (one row per key).
+
+    Adaptive execution broadcasts it when the written shuffle proves small and splits
+    the partitions of ``big`` that a hot (or NULL) key makes too large.
+    """
+    return big.join(derived, on, how)
+
+
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the single row of a global aggregate to every row (an inner join on a constant).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlens.plans.joins import skew_join
+from tremorlens.plans.joins import derived_join
 
 
 def landing_plan(arrivals: DataFrame) -> DataFrame:
@@ -17,8 +17,8 @@ def landing_plan(arrivals: DataFrame) -> DataFrame:
     """
     first = arrivals.groupBy("day", "name").agg(F.min_by("sha256", "seq").alias("_first"))
     writer = arrivals.groupBy("day", "name", "sha256").agg(F.min("seq").alias("_writer"))
-    joined = skew_join(arrivals, first, ["day", "name"], "left", spread=F.col("seq"))
-    joined = skew_join(joined, writer, ["day", "name", "sha256"], "left", spread=F.col("seq"))
+    joined = derived_join(arrivals, first, ["day", "name"], "left")
+    joined = derived_join(joined, writer, ["day", "name", "sha256"], "left")
     mark = F.substring("sha256", 1, 8)
     beside = F.when(
         F.col("name").contains("."), F.concat(F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.lit("_"), mark, F.lit("."), F.element_at(F.split("name", r"\."), -1))
