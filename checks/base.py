@@ -126,7 +126,7 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 def registry(spark, folder) -> DataFrame:
     """Orders as a registry: department and municipality per captured day."""
     return table(spark, folder, "orders").groupBy(
-        F.lit("E1").alias("event_key"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("department"),
+        F.concat(F.lit("E"), (F.col("o_custkey") % 1 + 1).cast("string")).alias("event_key"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("department"),
         F.col("o_orderpriority").alias("municipality"),
     ).agg(F.count("*").alias("families"), F.sum("o_custkey").cast("bigint").alias("persons"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from dataclasses import dataclass, field
 
@@ -158,27 +160,24 @@ def ascii_words(terms: list[str]) -> str:
     return rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"
 
 
-def _place_pattern(names: list[str]) -> str:
+def _mentions_place(folded: Column, names: list[str]) -> Column:
+    """Any name between word boundaries; texts that hold none skip the pattern."""
     import unicodedata
 
-    plain = [
-        "".join(c for c in unicodedata.normalize("NFD", n) if unicodedata.category(c) != "Mn").lower()
-        for n in names
-    ]
-    return ascii_words(sorted(set(plain)))
+    plain = sorted({
+        "".join(c for c in unicodedata.normalize("NFD", n) if unicodedata.category(c) != "Mn").lower() for n in names
+    })
+    return contains_any(folded, plain) & folded.rlike(ascii_words(plain))
 
 
-def gate_signals(text: Column, profile: EventProfile = DEFAULT_PROFILE) -> dict[str, Column]:
-    """The separate signals, so that each can be stored and audited."""
-    whole, prose = fold(text), fold(strip_links(text))
+def _signals(whole: Column, prose: Column, profile: EventProfile) -> dict[str, Column]:
     opening = F.substring(whole, 1, 500)
-    place = prose.rlike(_place_pattern(profile.places))
+    place = _mentions_place(prose, profile.places)
     return {
         "generic": contains_any(whole, profile.generic_terms),
         "unrelated": contains_any(opening, profile.unrelated_terms)
         & ~contains_any(opening, profile.context_terms[:2]),
-        "event": contains_any(prose, profile.event_terms)
-        | prose.rlike(_place_pattern(profile.event_places)),
+        "event": contains_any(prose, profile.event_terms) | _mentions_place(prose, profile.event_places),
         "context": contains_any(whole, profile.context_terms) | place,
         "damage": contains_any(whole, profile.damage_terms),
         "place": place,
@@ -186,18 +185,28 @@ def gate_signals(text: Column, profile: EventProfile = DEFAULT_PROFILE) -> dict[
     }
 
 
+def gate_signals(text: Column, profile: EventProfile = DEFAULT_PROFILE) -> Column:
+    """The separate signals as a struct, so that each can be stored and audited.
+
+    The two folded texts are computed once per row.
+    """
+    folded = F.struct(fold(text).alias("whole"), fold(strip_links(text)).alias("prose"))
+    return let(folded, lambda t: F.struct(*[v.alias(k) for k, v in _signals(t["whole"], t["prose"], profile).items()]))
+
+
 def is_event_evidence(text: Column, profile: EventProfile = DEFAULT_PROFILE) -> Column:
     """Specific evidence of the event."""
-    s = gate_signals(text, profile)
-    return ~s["generic"] & ~s["unrelated"] & s["event"] & s["context"] & (
-        s["damage"] | s["place"] | s["date"]
-    )
+
+    def decide(t: Column) -> Column:
+        s = _signals(t["whole"], t["prose"], profile)
+        return ~s["generic"] & ~s["unrelated"] & s["event"] & s["context"] & (s["damage"] | s["place"] | s["date"])
+
+    return let(F.struct(fold(text).alias("whole"), fold(strip_links(text)).alias("prose")), decide)
 
 
 def is_candidate_link(text: Column, profile: EventProfile = DEFAULT_PROFILE) -> Column:
     """Worth following, before the page itself has been read."""
-    s = gate_signals(text, profile)
-    return ~s["generic"] & s["event"] & (s["damage"] | s["place"] | s["date"])
+    return let(gate_signals(text, profile), lambda s: ~s["generic"] & s["event"] & (s["damage"] | s["place"] | s["date"]))
 
 
 def _lower(url: Column) -> Column:
@@ -231,39 +240,39 @@ def search_score(
     from tremorlens.functions.text import LIVEBLOG_PHRASES
 
     empty = F.lit("")
-    text = fold(F.concat_ws(" ", F.coalesce(title, empty), F.coalesce(description, empty), F.coalesce(url, empty)))
-    signals = gate_signals(text, profile)
-    official = is_agency_channel(url, text) | contains_any(_lower(url), INSTITUTION_CHANNELS)
+    written = fold(F.concat_ws(" ", F.coalesce(title, empty), F.coalesce(description, empty), F.coalesce(url, empty)))
 
     def points(flag: Column, weight: int) -> Column:
         return F.when(flag, weight).otherwise(0)
 
-    terms = [points(text.contains(t), 2) for t in SCORE_TERMS]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return (
-        total
-        + points(text.rlike(r"\d"), 2)
-        + points(signals["context"], 3)
-        + points(official, 4)
-        + points(source_level(url, text) == "temporal_prensa", 1)
-        + points(signals["unrelated"], -20)
-        + points(text.rlike(LIVEBLOG_PHRASES), -6)
-    )
+    def total(t: Column) -> Column:
+        text, prose = t["whole"], t["prose"]
+        signals = _signals(text, prose, profile)
+        official = is_agency_channel(url, text) | contains_any(_lower(url), INSTITUTION_CHANNELS)
+        parts = [points(text.contains(term), 2) for term in SCORE_TERMS]
+        parts += [
+            points(text.rlike(r"\d"), 2), points(signals["context"], 3), points(official, 4),
+            points(source_level(url, text) == "temporal_prensa", 1), points(signals["unrelated"], -20), points(text.rlike(LIVEBLOG_PHRASES), -6),
+        ]
+        return functools.reduce(operator.add, parts)
+
+    folded = let(written, lambda w: F.struct(w.alias("whole"), fold(strip_links(w)).alias("prose")))
+    return let(folded, total)
 
 
 def cited_sources(text: Column) -> Column:
     """Official bodies named in the text, as an array of structs without repeats."""
-    folded = fold(text)
-    found = []
-    for ident, name, kind, needles in CITED_SOURCES:
-        hit = contains_any(folded, needles)
-        if ident == "SGC":
-            hit = hit | text.rlike(r"(?i)(?<![A-Za-z0-9_])sgc(?![A-Za-z0-9_])")
-        entry = F.struct(F.lit(ident).alias("id"), F.lit(name).alias("name"), F.lit(kind).alias("type"))
-        found.append(F.when(hit, entry))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+    def named(folded: Column) -> Column:
+        found = []
+        for ident, name, kind, needles in CITED_SOURCES:
+            hit = contains_any(folded, needles)
+            if ident == "SGC":
+                hit = hit | (folded.contains("sgc") & F.lower(text).rlike(ascii_words(["sgc"])))
+            entry = F.struct(F.lit(ident).alias("id"), F.lit(name).alias("name"), F.lit(kind).alias("type"))
+            found.append(F.when(hit, entry))
+        return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+    return let(fold(text), named)
 
 
 def channel(url: Column) -> Column:
@@ -309,13 +318,13 @@ def _victim_patterns(stem: str) -> list[str]:
     ]
 
 
-def _figure(text: Column, low: Column, metric: str) -> Column:
+def _figure(low: Column, metric: str) -> Column:
     """One figure: no pattern runs unless its noun occurs, later ones only after a miss."""
     patterns = FIGURE_PATTERNS.get(metric) or _victim_patterns(VICTIM_STEMS[metric])
-    hits = [F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in patterns]
-    named = [low.contains(noun) for noun in FIGURE_NOUNS[metric]]
-    present = named[0] if len(named) == 1 else named[0] | named[1]
-    return F.when(present, F.regexp_replace(F.coalesce(*hits), "[.,]", "").try_cast("bigint"))
+    # a look-ahead lets the engine skip everything that is no digit at once
+    quick = [(r"(?=\d)" + p if p.startswith(NUMBER) else p) for p in patterns]
+    hits = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in quick]
+    return F.when(contains_any(low, FIGURE_NOUNS[metric]), F.regexp_replace(F.coalesce(*hits), "[.,]", "").try_cast("bigint"))
 
 
 def figures_of(texts: Column) -> Column:
@@ -323,8 +332,8 @@ def figures_of(texts: Column) -> Column:
 
     Two nested steps, so that the normalised text is computed once per text.
     """
-    prepared = F.transform(texts, lambda t: F.struct(plain_spaces(t).alias("t"), F.lower(t).alias("low")))
-    return F.transform(prepared, lambda s: F.struct(*[_figure(s["t"], s["low"], m).alias(m) for m in FIGURES]))
+    prepared = F.transform(texts, lambda t: F.lower(plain_spaces(t)))
+    return F.transform(prepared, lambda low: F.struct(*[_figure(low, m).alias(m) for m in FIGURES]))
 
 
 def figures(text: Column) -> Column:
@@ -387,7 +396,7 @@ def _cutoff_pattern() -> str:
     """
     months = "|".join(MONTHS_ES)
     date = rf"\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+20\d{{2}})?(?![A-Za-z0-9_])"
-    gate = rf"(?<![A-Za-z0-9_])(?=\d{{1,2}}\s+de\s+(?:{months}))"
+    gate = rf"(?=\d{{1,2}}\s+de\s+(?:{months}))(?<![A-Za-z0-9_])"
     no_event = "".join(rf"(?<!{w}[^.]{{0,24}})" for w in EVENT_WORDS)
     before = "|".join(rf"(?<={w}[\s\S]{{0,{70 - len(w)}}})" for w in REPORT_WORDS)
     after = "|".join(rf"(?=[\s\S]{{0,{45 - len(w)}}}{w})" for w in REPORT_WORDS)
@@ -439,15 +448,12 @@ def report_lag_days(published: Column, cutoff: Column) -> Column:
 
 def report_status(text: Column) -> Column:
     """What kind of report the wording suggests."""
-    folded = fold(text)
-    return (
-        F.when(contains_any(folded, ["edan", "rud", "damnific"]), "oficial_posible_edan_rud")
-        .when(
-            contains_any(folded, ["vivienda", "afectad", "herido", "fallecid"]),
-            "oficial_con_posibles_cifras",
-        )
+    return let(
+        fold(text),
+        lambda folded: F.when(contains_any(folded, ["edan", "rud", "damnific"]), "oficial_posible_edan_rud")
+        .when(contains_any(folded, ["vivienda", "afectad", "herido", "fallecid"]), "oficial_con_posibles_cifras")
         .when(contains_any(folded, ["sismo", "terremoto", "temblor"]), "oficial_menciona_evento")
-        .otherwise("oficial_no_relacionado")
+        .otherwise("oficial_no_relacionado"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import unicodedata
 from collections.abc import Callable
@@ -21,23 +22,28 @@ LIVEBLOG_PHRASES = (
 
 @functools.cache
 def _accent_map() -> tuple[str, str]:
-    """Precomposed letter -> base letter, derived from Unicode decompositions."""
-    source, target = [], []
-    for point in range(0x00C0, 0x2000):
+    """Precomposed letter -> base letter, and every combining mark -> nothing.
+
+    Derived from Unicode decompositions; marks stand last, where ``translate`` deletes.
+    """
+    source, target, marks = [], [], []
+    for point in range(0x00C0, 0x10000):
         char = chr(point)
+        if unicodedata.category(char) == "Mn":
+            marks.append(char)
+            continue
         base = "".join(
             c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn"
         )
         if len(base) == 1 and base != char:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+    return "".join(source + marks), "".join(target)
 
 
 def strip_accents(text: Column) -> Column:
     """Drop diacritics.  Pure-ASCII values skip the character map altogether."""
-    source, target = _accent_map()
-    mapped = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), source, target)
+    mapped = F.translate(text, *_accent_map())
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(mapped)
 
 
@@ -86,8 +92,8 @@ def mentions_word(folded: Column, terms: list[str]) -> Column:
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
-    """True when any term occurs anywhere (plain containment)."""
-    return text.rlike("|".join(re.escape(t) for t in terms))
+    """True when any term occurs anywhere; plain containment needs no pattern engine."""
+    return functools.reduce(operator.or_, [text.contains(t) for t in terms])
 
 
 def is_relevant(title: Column, summary: Column, keywords: list[str]) -> Column:
@@ -131,8 +137,24 @@ def strip_html(html: Column) -> Column:
 
 
 def strip_links(text: Column) -> Column:
-    """Drop images, addresses and media paths; keep the linked wording."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"!\[[^\]]*\]\([^)]*\)", " ")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"https?://\S+", " ")
-    return F.regexp_replace(out, r"(?i)/\S*\.(?:jpe?g|png|webp|gif|svg|pdf|mp4|avif)\b", " ")
+    """Drop images, addresses and media paths; keep the linked wording.
+
+    Each pattern runs only on texts that hold the mark it needs.
+    """
+
+    def where(mark: str, value: Column, *replacements: tuple[str, str]) -> Column:
+        out = value
+        for pattern, replacement in replacements:
+            out = F.regexp_replace(out, pattern, replacement)
+        return F.when(value.contains(mark), out).otherwise(value)
+
+    def markdown(value: Column) -> Column:
+        return where("](", value, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"))
+
+    def address(value: Column) -> Column:
+        return where("://", value, (r"https?://\S+", " "))
+
+    def path(value: Column) -> Column:
+        return where("/", value, (r"(?i)/\S*\.(?:jpe?g|png|webp|gif|svg|pdf|mp4|avif)\b", " "))
+
+    return let(let(let(F.coalesce(text, F.lit("")), markdown), address), path)

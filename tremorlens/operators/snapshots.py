@@ -48,7 +48,7 @@ def product_changes(
     now = products.filter(F.col(day) == current).select(*keys, *values)
     prior_day = previous_day(products, day, current)
     before = products.join(F.broadcast(prior_day), day, "left_semi").select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
-    guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
+    guarded = with_scalar(now, prior_day.select(F.col(day).alias("_prior"))).filter("_prior IS NOT NULL")
     marked = before.withColumn("_seen", F.lit(True))
     joined = null_safe_join(guarded, marked, keys, "left")
     changed = F.lit(False)
@@ -63,7 +63,7 @@ def new_items(items: DataFrame, keys: list[str], current: str, day: str = "snaps
     now = items.filter(F.col(day) == current)
     prior_day = previous_day(items, day, current)
     before = items.join(F.broadcast(prior_day), day, "left_semi").select(*keys).distinct()
-    guarded = with_scalar(now, prior_day.filter(F.col(day).isNotNull()).select(F.lit(1).alias("_prior")))
+    guarded = with_scalar(now, prior_day.select(F.col(day).alias("_prior"))).filter("_prior IS NOT NULL")
     return null_safe_join(guarded, before, keys, "left_anti").drop("_prior")
 
 

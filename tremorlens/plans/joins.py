@@ -55,12 +55,13 @@ def derived_join(big: DataFrame, derived: DataFrame, on: list[str], how: str = "
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the single row of a global aggregate to every row (an inner join on a constant).
+    """Attach the columns of a global aggregate to every row, as a scalar subquery.
 
-    ``one_row`` may be empty, in which case nothing remains.
+    The aggregate runs once and its value is inlined, so nothing is joined.  All columns
+    are NULL when ``one_row`` is empty.
     """
-    left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
-    return left.join(F.broadcast(right), "_one").drop("_one")
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.withColumn("_s", packed).select(*df.columns, *[F.col("_s")[c].alias(c) for c in one_row.columns])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
