@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlens.functions.text import strip_html
+from tremorlens.plans.rows import unnest_at
 
 # Fixed values.
 AGGREGATOR_HOST = "news.google.com"
@@ -96,10 +97,7 @@ def absolute_url(href: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """``(key, url, link_url, link_title)``, first title per absolute address."""
     anchor = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-    found = pages.select(
-        key, F.col(url).alias("_base"),
-        F.posexplode(F.regexp_extract_all(html, F.lit(anchor), F.lit(0))).alias("_pos", "_a"),
-    )
+    found = unnest_at(pages, [key, F.col(url).alias("_base")], F.regexp_extract_all(html, F.lit(anchor), F.lit(0)), "_pos", "_a")
     href = F.regexp_extract("_a", anchor, 1)
     text = F.trim(strip_html(F.regexp_extract("_a", anchor, 2)))
     rows = found.withColumn("_href", href).filter(~F.col("_href").rlike(r"^(#|mailto:|tel:)"))
@@ -115,10 +113,8 @@ def page_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 def feed_items(bodies: DataFrame, key: str, base: str, xml: str) -> DataFrame:
     """Items of loosely written feeds, read without an XML parser."""
-    raw = bodies.select(
-        key, F.col(base).alias("_base"),
-        F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0))).alias("_pos", "_item"),
-    )
+    items = F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0))
+    raw = unnest_at(bodies, [key, F.col(base).alias("_base")], items, "_pos", "_item")
 
     def between(tag: str) -> Column:
         inner = F.regexp_extract("_item", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)

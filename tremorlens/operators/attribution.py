@@ -17,35 +17,46 @@ def match_zones(texts: DataFrame, key: str, text: str, toponyms: DataFrame) -> D
     return match_terms(texts, key, text, toponyms.select("zone", "term")).select(key, "zone").distinct()
 
 
-def match_municipalities(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
-    """Distinct ``(key, municipality, department)``.
+def place_arrays(texts: DataFrame, key: str, text: str, gazetteer: DataFrame, toponyms: DataFrame | None = None) -> DataFrame:
+    """J01-J03 in one pass over the texts: per key the arrays zones, places, departments.
 
     ``gazetteer``: municipality, department, term, needs_department, homonym.  An
-    ambiguous name counts only beside its department; a name shared with a
-    department never counts.
+    ambiguous name counts only beside its department; a name shared with a department
+    never counts.  Only the hits are shuffled; an array is at most as long as the
+    dictionary.  Texts that name nothing are absent.
     """
-    usable = gazetteer.filter(~F.col("homonym"))
-    named = match_terms(texts, key, text, usable).select(
-        key, "municipality", "department", "needs_department"
-    ).distinct()
-    departments = gazetteer.select("department", fold(F.col("department")).alias("term")).distinct()
-    backed = match_terms(texts, key, text, departments).select(key, "department").distinct()
-    ambiguous = named.filter("needs_department").join(backed, [key, "department"], "left_semi")
-    return named.filter(~F.col("needs_department")).unionByName(ambiguous).select(
-        key, "municipality", "department"
+    none = F.lit(None).cast("string")
+    terms = gazetteer.filter(~F.col("homonym")).select("term", F.lit("place").alias("kind"), F.col("municipality").alias("name"), "department", "needs_department")
+    own_names = gazetteer.select(
+        fold(F.col("department")).alias("term"), F.lit("department").alias("kind"), none.alias("name"), "department", F.lit(False).alias("needs_department")
     ).distinct()
+    terms = terms.unionByName(own_names)
+    if toponyms is not None:
+        terms = terms.unionByName(
+            toponyms.select("term", F.lit("zone").alias("kind"), F.col("zone").alias("name"), none.alias("department"), F.lit(False).alias("needs_department"))
+        )
+    kind = F.col("kind")
+    grouped = match_terms(texts, key, text, terms).groupBy(key).agg(
+        F.collect_set(F.when(kind == "zone", F.col("name"))).alias("zones"),
+        F.collect_set(F.when(kind == "place", F.struct("name", "department", "needs_department"))).alias("_named"),
+        F.collect_set(F.when(kind == "department", F.col("department"))).alias("_own"),
+    )
+    kept = F.filter("_named", lambda m: ~m["needs_department"] | F.array_contains("_own", m["department"]))
+    places = F.transform(kept, lambda m: F.struct(m["name"].alias("municipality"), m["department"].alias("department")))
+    return grouped.select(
+        key, "zones", F.array_distinct(places).alias("places"), F.array_union("_own", F.transform(kept, lambda m: m["department"])).alias("departments")
+    )
 
 
-def match_departments(texts: DataFrame, key: str, text: str, gazetteer: DataFrame, matched: DataFrame) -> DataFrame:
-    """``(key, department)`` from matched municipalities and from the text itself."""
-    departments = gazetteer.select("department", fold(F.col("department")).alias("term")).distinct()
-    own = match_terms(texts, key, text, departments).select(key, "department")
-    return matched.select(key, "department").unionByName(own).distinct()
+def match_municipalities(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
+    """Distinct ``(key, municipality, department)``."""
+    return place_arrays(texts, key, text, gazetteer).select(key, F.inline("places"))
 
 
-def sorted_set(pairs: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Pairs to one sorted array per key (places named in one text: a short list)."""
-    return pairs.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(out))
+def match_departments(texts: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
+    """``(key, departments)``: those of matched municipalities and those the text names, sorted."""
+    found = place_arrays(texts, key, text, gazetteer).select(key, F.array_sort("departments").alias("departments"))
+    return found.filter(F.size("departments") > 0)
 
 
 def add_declared(tagged: DataFrame, feed: str, feeds: DataFrame) -> DataFrame:
@@ -69,15 +80,11 @@ def add_declared(tagged: DataFrame, feed: str, feeds: DataFrame) -> DataFrame:
 
 def tag_headlines(news: DataFrame, key: str, text: str, feed: str, toponyms: DataFrame, gazetteer: DataFrame, feeds: DataFrame) -> DataFrame:
     """J01-J04 together: each headline with sorted arrays of zones, municipalities, departments."""
-    zones = sorted_set(match_zones(news, key, text, toponyms), key, "zone", "zones")
-    places = match_municipalities(news, key, text, gazetteer)
-    departments = match_departments(news, key, text, gazetteer, places)
-    tagged = (
-        news.join(zones, key, "left")
-        .join(sorted_set(places, key, "municipality", "municipalities"), key, "left")
-        .join(sorted_set(departments, key, "department", "departments"), key, "left")
-        .withColumn("zones", F.coalesce("zones", F.array().cast("array<string>")))
+    found = place_arrays(news, key, text, gazetteer, toponyms).select(
+        key, F.array_sort("zones").alias("zones"), F.array_sort(F.transform("places", lambda p: p["municipality"])).alias("municipalities"), "departments"
     )
+    empty = F.array().cast("array<string>")
+    tagged = news.join(found, key, "left").withColumn("zones", F.coalesce("zones", empty))
     return add_declared(tagged, feed, feeds)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tremorlens.functions.report import FIGURES, broken_relations, is_national
 from tremorlens.functions.text import is_liveblog
 from tremorlens.plans.joins import derived_join
+from tremorlens.plans.rows import unnest
 
 # Fixed values.
 ANCHORS = ["fallecidos", "familias_afectadas"]
@@ -95,11 +96,11 @@ def candidates(ranked: DataFrame, metrics: list[str] = FIGURES) -> DataFrame:
     """One row per capture and stated figure, with the two acceptance flags."""
     broken = F.size(broken_relations(F.col("figures"))) > 0
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("figures")[m].cast("bigint").alias("value")) for m in metrics])
-    long = ranked.select(
+    keep = [
         *KEYS, "rank_key", F.coalesce("publisher_name", "publisher_domain").alias("outlet"), "url",
         attributed(ranked).alias("attributed"), broken.alias("_broken"),
-        F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("_e"),
-    )
+    ]
+    long = unnest(ranked, keep, F.filter(entries, lambda e: e["value"].isNotNull()), "_e")
     return long.select(
         *KEYS, F.col("_e.metric").alias("metric"), F.col("_e.value").alias("value"), "rank_key", "outlet", "url",
         "attributed", (F.col("_broken") & (F.col("_e.metric") == "personas_afectadas")).alias("quarantined"),

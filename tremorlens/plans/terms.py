@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.text import fold
 from tremorlens.plans.joins import at_most, skew_join
+from tremorlens.plans.rows import unnest
 
+# Beyond so many anchors the dictionary no longer travels in the plan.
 ANCHOR_LIMIT = 20_000
 
 
@@ -52,22 +54,16 @@ def match_terms(
     anchors = prepared.select("_anchor").distinct()
     source = texts.select(F.col(key), fold(F.col(text)).alias("_text"))
     if at_most(anchors, ANCHOR_LIMIT):
-        known = [r[0] for r in anchors.collect()]
-        if not known:
-            known = [""]
+        known = [r[0] for r in anchors.collect()] or [""]
         hits = F.array_intersect(words_of(F.col("_text")), F.array(*[F.lit(a) for a in known]))
-        probes = (
-            source.withColumn("_hits", hits)
-            .filter(F.size("_hits") > 0)
-            .select(key, "_text", F.explode("_hits").alias("_anchor"))
-        )
+        probes = unnest(source, [key, "_text"], hits, "_anchor")
         pairs = probes.join(F.broadcast(prepared), "_anchor")
     else:
-        probes = source.select(key, F.explode(F.array_distinct(words_of(F.col("_text")))).alias("_anchor"))
+        probes = unnest(source, [key], F.array_distinct(words_of(F.col("_text"))), "_anchor")
         found = skew_join(probes, prepared, ["_anchor"], spread=F.col(key))
         pairs = found.join(source, key)
-    matched = pairs.filter(F.col("_plain") | F.regexp_like("_text", F.col("_pattern")))
-    return matched.drop("_text", "_anchor", "_plain", "_pattern")
+    spelled = F.contains(F.col("_text"), F.col(term)) & F.regexp_like("_text", F.col("_pattern"))
+    return pairs.filter(F.col("_plain") | spelled).drop("_text", "_anchor", "_plain", "_pattern")
 
 
 def literal_terms(spark, rows: list[tuple], schema: str) -> DataFrame:

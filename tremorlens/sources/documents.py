@@ -14,6 +14,7 @@ from tremorlens.functions.geo import public_coordinate
 from tremorlens.functions.numbers import parse_count, parse_number
 from tremorlens.functions.web import present, vendor_link
 from tremorlens.operators.spatial import grid_cells
+from tremorlens.plans.rows import unnest, unnest_at, unnest_map
 
 # Kinds of damage layer by the fragment their names carry.
 LAYER_KINDS = {"builtUpP": "points", "ancillaryCrisisInfoP": "points", "transportationL": "lines", "notAnalysedA": "areas"}
@@ -42,7 +43,7 @@ def _rest(df: DataFrame) -> list[str]:
 
 def activations(bodies: DataFrame) -> DataFrame:
     """One row per activation."""
-    rows = bodies.select(*_rest(bodies), F.explode(F.from_json("body", _ACTIVATION)["results"]).alias("a"))
+    rows = unnest(bodies, _rest(bodies), F.from_json("body", _ACTIVATION)["results"], "a")
     return rows.select(
         *_rest(bodies), "a.code", "a.name", "a.category", F.col("a.subCategory").alias("sub_category"),
         F.col("a.eventTime").alias("event_time"), F.col("a.activationTime").alias("activation_time"),
@@ -92,7 +93,7 @@ def stats(acts: DataFrame) -> DataFrame:
 
 def features(bodies: DataFrame) -> DataFrame:
     """GeoJSON features: properties as a map, geometry as type and raw coordinates."""
-    return bodies.select(*_rest(bodies), F.posexplode(F.from_json("body", _FEATURES)["features"]).alias("idx", "f")).select(
+    return unnest_at(bodies, _rest(bodies), F.from_json("body", _FEATURES)["features"], "idx", "f").select(
         *_rest(bodies), "idx", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("properties"),
         F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"),
     )
@@ -143,7 +144,7 @@ def registry_rows(bodies: DataFrame) -> DataFrame:
     items = F.when(F.trim("body").startswith("["), F.from_json("body", f"array<struct<{row}>>")).otherwise(
         F.from_json("body", f"struct<data:array<struct<{row}>>>")["data"]
     )
-    rows = bodies.select(*_rest(bodies), F.explode(items).alias("r"))
+    rows = unnest(bodies, _rest(bodies), items, "r")
     typed = rows.select(
         *_rest(bodies), F.trim(F.coalesce("r.departamento", F.lit(""))).alias("departamento"), F.trim(F.coalesce("r.municipio", F.lit(""))).alias("municipio"),
         slash_day(F.col("r.fecha_evento")).alias("fecha"), F.col("r.evento").alias("evento"), parse_count(F.col("r.familias")).alias("familias"),
@@ -160,7 +161,7 @@ def attribute_pages(bodies: DataFrame, fields: dict[str, tuple[str, str]], key:
     ``fields``: output name -> (attribute, type); ``epoch`` names the millisecond dates.
     """
     schema = "struct<features:array<struct<attributes:struct<" + ",".join(f"`{a}`:{t}" for a, t in fields.values()) + ">>>>"
-    rows = bodies.select(*_rest(bodies), F.explode(F.from_json("body", schema)["features"]).alias("f"))
+    rows = unnest(bodies, _rest(bodies), F.from_json("body", schema)["features"], "f")
 
     def value(name: str, attribute: str) -> Column:
         raw = F.col("f.attributes")[attribute]
@@ -173,15 +174,15 @@ def attribute_pages(bodies: DataFrame, fields: dict[str, tuple[str, str]], key:
 def volume_timeline(bodies: DataFrame) -> DataFrame:
     """Attention per day."""
     shape = "struct<timeline:array<struct<data:array<struct<date:string,value:double>>>>>"
-    lines = bodies.select(*_rest(bodies), F.explode(F.from_json("body", shape)["timeline"]).alias("t"))
-    points = lines.select(*_rest(bodies), F.explode("t.data").alias("p"))
+    lines = unnest(bodies, _rest(bodies), F.from_json("body", shape)["timeline"], "t")
+    points = unnest(lines, _rest(bodies), F.col("t.data"), "p")
     return points.select(*_rest(bodies), compact_day(F.col("p.date")).try_cast("date").alias("day"), F.col("p.value").alias("value")).filter("day IS NOT NULL")
 
 
 def news_list(bodies: DataFrame) -> DataFrame:
     """Aggregated news; an empty source is absence, not an outlet."""
     shape = "array<struct<title:string,description:string,source:string,pubdate:string,link:string>>"
-    rows = bodies.select(*_rest(bodies), F.explode(F.from_json("body", shape)).alias("n"))
+    rows = unnest(bodies, _rest(bodies), F.from_json("body", shape), "n")
     return rows.select(
         *_rest(bodies), F.trim("n.title").alias("title"), F.substring("n.description", 1, 300).alias("summary"),
         F.nullif(F.trim("n.source"), F.lit("")).alias("outlet"), F.substring("n.pubdate", 1, 19).alias("published"), F.col("n.link").alias("url"),
@@ -216,7 +217,8 @@ def embedded_products(bodies: DataFrame, variable: str = "js_data") -> DataFrame
     product = "struct<nProduit:string,nomAnnexes:string,echelle:string,type:string,imgPrincipale:string,dateProduction:string>"
     shape = f"struct<itemAction:struct<id:int,charte:string,produits:map<string,{product}>>>"
     doc = embedded_json(bodies, variable).withColumn("d", F.from_json("object", shape))
-    rows = doc.select(*_rest(bodies), F.col("d.itemAction.id").alias("accion_id"), F.col("d.itemAction.charte").alias("charter"), F.explode("d.itemAction.produits").alias("_id", "p"))
+    keep = [*_rest(bodies), F.col("d.itemAction.id").alias("accion_id"), F.col("d.itemAction.charte").alias("charter")]
+    rows = unnest_map(doc, keep, F.col("d.itemAction.produits"), "_id", "p")
     return rows.select(
         *_rest(bodies), F.col("_id").try_cast("bigint").alias("producto_id"), "accion_id", "charter", F.col("p.nProduit").alias("n_producto"),
         F.col("p.nomAnnexes").alias("nombre_base"), F.col("p.echelle").alias("escala"), F.col("p.type").alias("tipo"),
@@ -227,7 +229,7 @@ def embedded_products(bodies: DataFrame, variable: str = "js_data") -> DataFrame
 def vendor_listing(bodies: DataFrame, event_code: str) -> DataFrame:
     """Product ids of the event in the vendor's listing."""
     shape = "struct<products:array<struct<map_event:struct<id:bigint,glide:string,title:string>>>>"
-    rows = bodies.select(F.explode(F.from_json("body", shape)["products"]).alias("p"))
+    rows = unnest(bodies, [], F.from_json("body", shape)["products"], "p")
     return rows.filter(F.upper("p.map_event.glide") == event_code).select(F.col("p.map_event.id").alias("product_id")).filter("product_id IS NOT NULL").distinct()
 
 
@@ -256,7 +258,7 @@ def exposure_bands(bodies: DataFrame) -> DataFrame:
     levels = F.coalesce("d.population_exposure.mmi", "d.mmi")
     people = F.coalesce("d.population_exposure.aggregated_exposure", "d.aggregated_exposure")
     zipped = doc.select(*_rest(bodies), levels.alias("intensity"), people.alias("people"))
-    return zipped.select(*_rest(bodies), F.explode(F.arrays_zip("intensity", "people")).alias("b")).select(*_rest(bodies), "b.*").filter("intensity IS NOT NULL AND people IS NOT NULL")
+    return unnest(zipped, _rest(bodies), F.arrays_zip("intensity", "people"), "b").select(*_rest(bodies), "b.*").filter("intensity IS NOT NULL AND people IS NOT NULL")
 
 
 def event_details(bodies: DataFrame) -> DataFrame:

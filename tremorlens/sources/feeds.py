@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremorlens.functions.dates import feed_stamp
 from tremorlens.functions.text import fold, slug
 from tremorlens.functions.web import url_host
+from tremorlens.plans.rows import unnest
 
 _SOURCE = "source:struct<_VALUE:string,_url:string>"
 _ITEM = f"array<struct<title:string,link:string,pubDate:string,description:string,{_SOURCE}>>"
@@ -34,13 +35,13 @@ def feed_entries(bodies: DataFrame) -> DataFrame:
     """
     rest = [c for c in bodies.columns if c != "body"]
     rss = bodies.select(*rest, F.from_xml("body", _RSS, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("d"))
-    items = rss.select(*rest, F.explode(F.coalesce("d.channel.item", "d.item")).alias("i")).select(
+    items = unnest(rss, rest, F.coalesce("d.channel.item", "d.item"), "i").select(
         *rest, _text(F.col("i.title")).alias("title"), _text(F.col("i.link")).alias("url"), feed_stamp(F.col("i.pubDate")).alias("published"),
         _text(F.col("i.description")).alias("summary"), F.nullif(_text(F.col("i.source._VALUE")), F.lit("")).alias("outlet"),
         url_host(F.col("i.source._url")).alias("outlet_domain"),
     )
     atom = bodies.select(*rest, F.from_xml("body", _ATOM, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("d"))
-    entries = atom.select(*rest, F.explode("d.entry").alias("e")).select(
+    entries = unnest(atom, rest, F.col("d.entry"), "e").select(
         *rest, _text(F.col("e.title")).alias("title"), _text(_first_href(F.col("e.link"))).alias("url"),
         F.substring(F.coalesce("e.updated", F.lit("")), 1, 19).alias("published"), _text(F.col("e.summary")).alias("summary"),
         F.nullif(_text(F.col("e.source.title")), F.lit("")).alias("outlet"), url_host(_first_href(F.col("e.source.link"))).alias("outlet_domain"),
@@ -51,7 +52,7 @@ def feed_entries(bodies: DataFrame) -> DataFrame:
 def registered_feeds(bodies: DataFrame) -> DataFrame:
     """The community registry as rows."""
     feed = "id:string,nombre:string,tipo:string,url:string,activo:boolean,departamentos:array<string>,municipios:array<string>"
-    rows = bodies.select(F.explode(F.from_json("body", f"struct<feeds:array<struct<{feed}>>>")["feeds"]).alias("f"))
+    rows = unnest(bodies, [], F.from_json("body", f"struct<feeds:array<struct<{feed}>>>")["feeds"], "f")
     return rows.select("f.*")
 
 
