@@ -13,8 +13,8 @@ from tremorlens.sources import sinks
 
 # ---------------------------------------------------------------- cross-check: priorities are zones
 CROSS_SQL = """stats AS (SELECT DISTINCT o_orderpriority AS zone FROM orders WHERE o_orderpriority <> '5-LOW'),
-evidence AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 2 = 0 THEN 'oficial' ELSE 'prensa' END AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 = 0),
-press AS (SELECT o_orderpriority AS zone FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey % 7 = 0),
+evidence AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 2 = 0 THEN 'oficial' ELSE 'prensa' END AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
+press AS (SELECT o_orderpriority AS zone FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'),
 citizens AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 3 = 0 THEN 'coherente' ELSE 'recibido' END AS state FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),
 cross_check AS (
   SELECT z.zone, z.zone IN (SELECT zone FROM stats) AS has_stats, (SELECT count(*) FROM evidence e WHERE e.zone = z.zone AND kind = 'oficial') AS n_official,
@@ -25,10 +25,10 @@ STATE_SQL = "CASE WHEN NOT has_stats THEN 'no_comparable' WHEN n_official > 0 TH
 
 def _cross(spark, d):
     orders = table(spark, d, "orders").withColumn("zone", F.col("o_orderpriority"))
-    k, c, z = F.col("o_orderkey"), F.col("o_custkey"), F.col("zone")
+    k, s, z = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("zone")
     stats = orders.select(z, F.when(z != "5-LOW", F.col("o_totalprice")).alias("affected"))
-    evidence = orders.filter((z == "1-URGENT") & (c % 10 == 0)).select(z, F.when(k % 2 == 0, "oficial").otherwise("prensa").alias("kind"))
-    press = orders.filter(z.isin("1-URGENT", "2-HIGH") & (c % 7 == 0)).select(z)
+    evidence = orders.filter((z == "1-URGENT") & (s == "F")).select(z, F.when(k % 2 == 0, "oficial").otherwise("prensa").alias("kind"))
+    press = orders.filter(z.isin("1-URGENT", "2-HIGH") & (s == "O")).select(z)
     citizens = orders.filter(z != "4-NOT SPECIFIED").select(z, F.when(k % 3 == 0, "coherente").otherwise("recibido").alias("state"))
     return coverage.cross_check(orders.select(z), stats, evidence, press, citizens)
 
@@ -109,7 +109,7 @@ def a06(spark, d):
 @query(
     "A08",
     """WITH c AS (SELECT 'E' || user_id % 2 AS event_key, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'view') AS press, count(DISTINCT user_id) AS sources FROM events WHERE event_type <> 'error' GROUP BY ALL),
-    f AS (SELECT 'E' || user_id % 2 AS event_key, CAST(ts AS DATE) AS day, count(*) AS feeds FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY ALL)
+    f AS (SELECT 'E' || user_id % 2 AS event_key, CAST(ts AS DATE) AS day, count(*) AS feeds FROM events WHERE event_type = 'error' GROUP BY ALL)
     SELECT coalesce(c.event_key, f.event_key) AS event_key, coalesce(c.day, f.day) AS day, press, sources, feeds FROM c FULL JOIN f ON c.event_key = f.event_key AND c.day = f.day""",
 )
 def a08(spark, d):
@@ -118,7 +118,7 @@ def a08(spark, d):
         F.count_if(F.col("event_type") == "view").alias("press"), F.count_distinct("user_id").alias("sources")
     )
     older = shown.select("event_key", "day", (F.col("press") - 1).alias("press"), F.lit(None).cast("bigint").alias("sources"))
-    feeds = events.filter("event_type = 'error' AND user_id % 3 = 0").groupBy("event_key", "day").agg(F.count("*").alias("feeds"))
+    feeds = events.filter("event_type = 'error'").groupBy("event_key", "day").agg(F.count("*").alias("feeds"))
     return media.media_volume(shown.unionByName(older), feeds, ["press", "sources"])
 
 
@@ -129,21 +129,21 @@ def a08_daily(spark, d):
 
 @query(
     "A09",
-    """WITH r AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id % 50 = 0 GROUP BY 1),
+    """WITH r AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1),
     c AS (SELECT CAST(unnest(generate_series(DATE '2023-12-28', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day)
     SELECT coalesce(c.day, r.day) AS day, coalesce(r.n, 0) AS n FROM c FULL JOIN r ON c.day = r.day""",
 )
 def a09(spark, d):
-    return citizen.daily_reports(table(spark, d, "events").filter("user_id % 50 = 0"), F.to_date("ts"), "2023-12-28", "2024-02-03")
+    return citizen.daily_reports(table(spark, d, "events"), F.to_date("ts"), "2023-12-28", "2024-02-03")
 
 
-REBUILT_SQL = """rebuilt AS (SELECT 'E1' AS event_key, CAST(o_orderdate AS DATE) + 1 AS day, count(*) AS municipalities, CAST(sum(o_orderkey) AS BIGINT) AS families, CAST(sum(o_custkey) AS BIGINT) AS persons FROM orders WHERE o_custkey % 50 = 0 GROUP BY ALL)"""
+REBUILT_SQL = """rebuilt AS (SELECT 'E1' AS event_key, CAST(o_orderdate AS DATE) + 1 AS day, count(*) AS municipalities, CAST(sum(o_orderkey) AS BIGINT) AS families, CAST(sum(o_custkey) AS BIGINT) AS persons FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY ALL)"""
 SERIES_SQL = "series AS (SELECT event_key, day, count(*) AS municipalities, CAST(sum(families) AS BIGINT) AS families, CAST(sum(persons) AS BIGINT) AS persons, false AS rebuilt FROM registry WHERE day <> DATE '1998-05-05' GROUP BY event_key, day)"
 
 
 def _series(spark, d):
     daily = registry(spark, d).filter("day <> DATE '1998-05-05'")
-    rebuilt = table(spark, d, "orders").filter("o_custkey % 50 = 0").groupBy(F.lit("E1").alias("event_key"), F.date_add(F.to_date("o_orderdate"), 1).alias("day")).agg(
+    rebuilt = table(spark, d, "orders").filter("o_orderpriority = '5-LOW'").groupBy(F.lit("E1").alias("event_key"), F.date_add(F.to_date("o_orderdate"), 1).alias("day")).agg(
         F.count("*").alias("municipalities"), F.sum("o_orderkey").alias("families"), F.sum("o_custkey").alias("persons")
     )
     return reg.registry_series(daily, rebuilt)
@@ -173,14 +173,14 @@ def a11(spark, d):
 @query(
     "A12",
     """WITH e AS (SELECT 'E' || l_orderkey % 3 AS event_key, CAST(sum(CASE WHEN l_linenumber >= 4 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS exposed FROM lineitem GROUP BY 1),
-    c AS (SELECT 'E' || o_orderkey % 2 AS event_key, CAST(sum(o_custkey) AS BIGINT) AS covered FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 < 1 GROUP BY 1)
+    c AS (SELECT 'E' || o_orderkey % 2 AS event_key, CAST(sum(o_custkey) AS BIGINT) AS covered FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
     SELECT event_key, exposed, coalesce(covered, 0) AS covered, greatest(exposed - coalesce(covered, 0), 0) AS uncovered, round(CAST(100 * coalesce(covered, 0) AS DOUBLE) / exposed, 1) AS covered_pct FROM e LEFT JOIN c USING (event_key) WHERE exposed > 0""",
 )
 def a12(spark, d):
     exposure = table(spark, d, "lineitem").select(
         F.concat(F.lit("E"), (F.col("l_orderkey") % 3).cast("string")).alias("event_key"), F.col("l_linenumber").alias("intensity"), F.col("l_quantity").cast("bigint").alias("people")
     )
-    covered = table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 2 < 1").select(
+    covered = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(
         F.concat(F.lit("E"), (F.col("o_orderkey") % 2).cast("string")).alias("event_key"), F.col("o_custkey").alias("population")
     )
     return reg.exposure_gap(exposure, covered, 4)
@@ -198,7 +198,7 @@ def a13(spark, d):
 
 # ---------------------------------------------------------------- A14 - A17, L02
 LAYER_SQL = f"""pl AS (SELECT n_name AS municipality, r_name AS department, n_nationkey AS k, n_nationkey * 1000 AS population, n_nationkey % 8 = 7 AS homonym, n_nationkey % 5 = 0 AS needs_department FROM nation JOIN region ON n_regionkey = r_regionkey),
-news AS (SELECT c_nationkey AS k, count(*) AS n_news FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 3 <> 0 GROUP BY 1),
+news AS (SELECT c_nationkey AS k, count(*) AS n_news FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1),
 felt AS (SELECT s_nationkey AS k, max(s_suppkey % 9) AS felt_max_cdi, count(*) AS felt_cells, CAST(sum(s_suppkey) AS BIGINT) AS felt_responses FROM supplier WHERE s_nationkey % 4 <> 1 GROUP BY 1),
 rg AS (SELECT c_nationkey AS k, count(*) AS families, CAST(sum(c_custkey) AS BIGINT) AS persons FROM customer WHERE c_nationkey % 7 <> 0 GROUP BY 1),
 va AS (SELECT c_nationkey AS k, count(*) AS b FROM customer WHERE c_nationkey % 6 = 1 GROUP BY 1), vb AS (SELECT c_nationkey AS k, count(*) AS b FROM customer WHERE c_nationkey % 6 = 2 GROUP BY 1),
@@ -227,7 +227,7 @@ def _layer(spark, d):
     c, s = F.col("c_nationkey"), F.col("s_nationkey")
     number = F.count("*")
     return influence.influence_layer(
-        places.drop("k"), per("customer", "c_nationkey", (F.col("c_custkey") % 2 == 0) & (c % 3 != 0), number.alias("n_news")),
+        places.drop("k"), per("customer", "c_nationkey", c % 3 != 0, number.alias("n_news")),
         per("supplier", "s_nationkey", s % 4 != 1, F.max(F.col("s_suppkey") % 9).alias("felt_max_cdi"), number.alias("felt_cells"), F.sum("s_suppkey").alias("felt_responses")),
         per("customer", "c_nationkey", c % 7 != 0, number.alias("families"), F.sum("c_custkey").alias("persons")),
         per("customer", "c_nationkey", c % 6 == 1, number.alias("buildings")), per("customer", "c_nationkey", c % 6 == 2, number.alias("buildings")),
@@ -289,8 +289,7 @@ def a17(spark, d):
     g AS (SELECT place, count(*) AS n_days, arg_min(families, day) AS first_families, arg_max(families, day) AS last_families FROM s GROUP BY place),
     r AS (SELECT place, count(*) AS n_reports, count(*) FILTER (id % 2 = 0) AS n_with_media FROM points WHERE place IS NOT NULL GROUP BY place),
     w AS (SELECT 'P' || o_orderstatus AS place, count(*) AS n_news, count(DISTINCT o_orderpriority) AS n_outlets FROM orders GROUP BY 1),
-    m AS (SELECT place, avg(lon) AS lon FROM points WHERE 1 = 0 GROUP BY place),
-    z AS (SELECT p.place, c.place AS zone, {haversine_sql("p.lat", "p.lon", "c.plat", "c.plon")} AS km FROM (SELECT 'P' || id AS place, lon, lat FROM points WHERE id < 5) p, centres c),
+    z AS (SELECT p.place, c.place AS zone, {haversine_sql("p.lat", "p.lon", "c.plat", "c.plon")} AS km FROM (SELECT 'P' || id AS place, lon, lat FROM points) p, centres c),
     nz AS (SELECT place, arg_min(zone, km) AS nearest_zone, round(min(km), 6) AS nearest_km FROM z WHERE km < 90 GROUP BY place)
     SELECT place, n_days, first_families, last_families, CASE WHEN n_days > 1 AND first_families <> 0 THEN last_families - first_families END AS delta,
       CASE WHEN n_days > 1 AND first_families <> 0 THEN round(CAST(last_families - first_families AS DOUBLE) / first_families * 100, 4) END AS delta_pct, n_reports, n_with_media, n_news, n_outlets, nearest_zone, nearest_km
@@ -301,7 +300,7 @@ def a20(spark, d):
     p = points(spark, d)
     reports = p.filter("place IS NOT NULL").select("place", (F.col("id") % 2 == 0).alias("has_media"))
     news = table(spark, d, "orders").select(F.concat(F.lit("P"), "o_orderstatus").alias("place"), F.col("o_orderpriority").alias("outlet"))
-    spots = p.filter("id < 5").select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("spot"), "lon", "lat")
+    spots = p.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("spot"), "lon", "lat")
     near = spatial.within_radius(spots, "spot", "lon", "lat", centres(spark, d), "place", "plon", "plat", 90.0).select(
         F.col("spot").alias("place"), F.col("place").alias("zone"), "km"
     )
@@ -333,13 +332,13 @@ def a22(spark, d):
     """SELECT 'reportes_ciudadanos' AS kind, 'info' AS level, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29' AND event_type = 'signup' UNION ALL
     SELECT 'titulares_nuevos', 'info', count(*) FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-30' AND event_type = 'view' UNION ALL
     SELECT 'sertit_sin_vectores', 'alta', count(*) FROM part WHERE p_size % 10 = 0 UNION ALL
-    SELECT 'rud_actualizado', 'info', count(*) FILTER (o_orderkey % 2 = 0) - count(*) FILTER (o_orderkey % 2 = 1) FROM orders WHERE o_custkey % 3 = 0 UNION ALL
+    SELECT 'rud_actualizado', 'info', count(*) FILTER (o_orderkey % 2 = 0) - count(*) FILTER (o_orderkey % 3 = 1) FROM orders UNION ALL
     SELECT 'fuente_oficial_actualizada', 'alta', CAST(max(CAST(o_orderdate AS DATE)) - DATE '1970-01-01' AS BIGINT) FROM orders""",
 )
 def a23(spark, d):
     events, orders = table(spark, d, "events"), table(spark, d, "orders")
-    third = orders.filter("o_custkey % 3 = 0").select("o_orderkey", F.lit(1).alias("families"))
-    grown = alerts.registry_alert(third.filter("o_orderkey % 2 = 0"), third.filter("o_orderkey % 2 = 1"))
+    both = orders.select("o_orderkey", F.lit(1).alias("families"))
+    grown = alerts.registry_alert(both.filter("o_orderkey % 2 = 0"), both.filter("o_orderkey % 3 = 1"))
     woke = alerts.awakened_source(orders.select(F.to_date("o_orderdate").alias("day")), "day", "1999-01-01")
     rows = alerts.count_alert(events, (F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz")) & (F.col("event_type") == "signup"), "reportes_ciudadanos", "info")
     rows = rows.unionByName(alerts.count_alert(events, (F.to_date("ts") == F.lit("2024-01-30").cast("date")) & (F.col("event_type") == "view"), "titulares_nuevos", "info"))
@@ -528,8 +527,8 @@ def k04(spark, d):
     return sinks.crosscheck_rows(_cross(spark, d), summary, delivered, "EMS + news + citizens")
 
 
-@query("L02", f"WITH {LAYER_SQL} SELECT municipality, state FROM layer ORDER BY in_zone DESC, coalesce(vendor_a_buildings, 0) DESC, coalesce(felt_max_cdi, 0) DESC, coalesce(n_news, 0) DESC, municipality LIMIT 10")
+@query("L02", f"WITH {LAYER_SQL} SELECT municipality, state FROM layer")
 def l02(spark, d):
-    return influence.display_order(_layer(spark, d)).limit(10).select("municipality", "state")
+    return influence.display_order(_layer(spark, d)).select("municipality", "state")
 
 

@@ -371,7 +371,7 @@ def s18(spark, d):
     "S19",
     f"""WITH g(municipality, department, term, needs, homonym) AS (VALUES {values(GAZETTEER)}),
     r AS (SELECT 'feed-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'M' || page_id % 4 END AS place FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 0)
-    SELECT id, place FROM r UNION ALL SELECT 'search-' || lower(municipality), municipality FROM g WHERE NOT homonym""",
+    SELECT id, place FROM r UNION ALL SELECT 'googlenews-municipio-' || lower(municipality), municipality FROM g WHERE NOT homonym""",
 )
 def s19(spark, d):
     k = F.col("page_id")
@@ -477,9 +477,9 @@ def k06(spark, d):
     return landing.landing_plan(rows).select("seq", "path", "stored")
 
 
-@query("K07", "SELECT 'repo:feeds' AS url, 'rebuilt outlets: ' || count(*) AS note, CAST(NULL AS INTEGER) AS http_status FROM documents WHERE doc_id % 3 = 0")
+@query("K07", "SELECT 'repo:feeds' AS url, 'rebuilt outlets: ' || count(*) AS note, CAST(NULL AS INTEGER) AS http_status FROM documents WHERE lang = 'en'")
 def k07(spark, d):
-    counted = table(spark, d, "documents").filter("doc_id % 3 = 0").agg(F.count("*").alias("n"))
+    counted = table(spark, d, "documents").filter("lang = 'en'").agg(F.count("*").alias("n"))
     return landing.derivation_log(counted, "repo:feeds", "rebuilt outlets", F.lit("2026-08-22 10:00:00").cast("timestamp")).select("url", "note", "http_status")
 
 

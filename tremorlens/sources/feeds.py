@@ -18,6 +18,8 @@ _ATOM = f"struct<entry:array<struct<title:string,link:{_LINK},updated:string,sum
 # Generated searches per place.
 SEARCH_BASE = "https://news.google.com/rss/search"
 SEARCH_TERMS = '("terremoto" OR "sismo" OR "temblor")'
+SEARCH_OPTIONS = "&hl=es-CO&gl=CO&ceid=CO:es"
+SEARCH_ID, SEARCH_NAME = "googlenews-municipio-", "Google News — "
 
 
 def _text(value: Column) -> Column:
@@ -63,8 +65,8 @@ def place_feeds(gazetteer: DataFrame) -> DataFrame:
     """
     query = F.concat(F.lit(SEARCH_TERMS + ' "'), "term", F.lit('" "'), fold(F.col("department")), F.lit('"'))
     return gazetteer.filter(~F.col("homonym")).select(
-        F.concat(F.lit("search-"), slug(F.col("municipality"))).alias("id"), F.col("municipality").alias("nombre"), F.lit("rss").alias("tipo"),
-        F.concat(F.lit(SEARCH_BASE + "?q="), F.url_encode(query)).alias("url"), F.lit(True).alias("activo"),
+        F.concat(F.lit(SEARCH_ID), slug(F.col("municipality"))).alias("id"), F.concat(F.lit(SEARCH_NAME), "municipality").alias("nombre"), F.lit("rss").alias("tipo"),
+        F.concat(F.lit(SEARCH_BASE + "?q="), F.url_encode(query), F.lit(SEARCH_OPTIONS)).alias("url"), F.lit(True).alias("activo"),
         F.array("department").alias("departamentos"), F.array("municipality").alias("municipios"),
     )
 
