@@ -108,7 +108,7 @@ def test_dictionary_paths_give_the_same(spark, monkeypatch):
     news = spark.createDataFrame([(1, "a b c de la d"), (2, "la b"), (3, "zz")], "id int, t string")
     tops = literal_terms(spark, [("A", "de la"), ("B", "b"), ("C", "c de")], "zone string, term string")
     near = {tuple(r) for r in attribution.match_zones(news, "id", "t", tops).collect()}
-    monkeypatch.setattr(terms, "ANCHOR_LIMIT", 0)
+    monkeypatch.setattr(terms, "TERM_LIMIT", 0)
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(terms, "skew_join", lambda *a, **k: joins.skew_join(*a, **{**k, "rows": 0}))
     assert {tuple(r) for r in attribution.match_zones(news, "id", "t", tops).collect()} == near == {(1, "A"), (1, "B"), (1, "C"), (2, "B")}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, plane_m
 from tremorlens.plans.grid import near_keys, near_probes
-from tremorlens.plans.joins import at_most, skew_join, with_scalar
+from tremorlens.plans.joins import at_most, derived_join, with_scalar
 from tremorlens.session import cut_lineage
 
 MAX_SOURCES = 64
@@ -83,7 +83,7 @@ def _edges(units: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
     )
     left = near_keys(spots.distinct(), "ulon", "ulat", metres, **_PLANE)
     right = near_probes(nodes.select("g", F.col("ord").alias("q"), "n", "lon", "lat"), "lon", "lat", metres, **_PLANE)
-    pairs = skew_join(left, right, ["g", "_band", "_cell"]).filter(
+    pairs = derived_join(left, right, ["g", "_band", "_cell"]).filter(
         plane_m(F.col("ulon"), F.col("ulat"), F.col("lon"), F.col("lat")) < metres
     )
     return pairs.groupBy("g", "u", "q").agg(F.first("cap").alias("cap"), F.first("n").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.dates import before_event
 from tremorlens.functions.text import fold
+from tremorlens.plans.rows import unnest
 
 
 def news_corpus(sources: dict[str, DataFrame], event_day: str) -> DataFrame:
@@ -63,7 +64,7 @@ def facet_counts(rows: DataFrame, arrays: list[str], scalars: list[str]) -> Data
         return F.transform(F.array_distinct(name), lambda v: entry(name, v))
 
     parts = [listing(a) for a in arrays]
-    listed = rows.select(F.explode(F.concat(singles, *parts) if scalars else F.concat(*parts)).alias("_f"))
+    listed = unnest(rows, [], F.concat(singles, *parts) if scalars else F.concat(*parts), "_f")
     return listed.select("_f.*").filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 

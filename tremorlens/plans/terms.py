@@ -14,8 +14,8 @@ from tremorlens.functions.text import fold
 from tremorlens.plans.joins import at_most, skew_join
 from tremorlens.plans.rows import unnest
 
-# Beyond so many anchors the dictionary no longer travels in the plan.
-ANCHOR_LIMIT = 20_000
+# Beyond so many terms the dictionary no longer travels in the plan.
+TERM_LIMIT = 20_000
 
 
 def words_of(folded: Column) -> Column:
@@ -53,7 +53,7 @@ def match_terms(
     prepared = prepare_terms(terms, term)
     anchors = prepared.select("_anchor").distinct()
     source = texts.select(F.col(key), fold(F.col(text)).alias("_text"))
-    if at_most(anchors, ANCHOR_LIMIT):
+    if at_most(prepared, TERM_LIMIT):
         known = [r[0] for r in anchors.collect()] or [""]
         hits = F.array_intersect(words_of(F.col("_text")), F.array(*[F.lit(a) for a in known]))
         probes = unnest(source, [key, "_text"], hits, "_anchor")

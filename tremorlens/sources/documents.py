@@ -14,6 +14,7 @@ from tremorlens.functions.geo import public_coordinate
 from tremorlens.functions.numbers import parse_count, parse_number
 from tremorlens.functions.web import present, vendor_link
 from tremorlens.operators.spatial import grid_cells
+from tremorlens.plans.joins import skew_join
 from tremorlens.plans.rows import unnest, unnest_at, unnest_map
 
 # Kinds of damage layer by the fragment their names carry.
@@ -116,7 +117,7 @@ def damage_layers(bodies: DataFrame, zone_places: DataFrame) -> DataFrame:
     grade = F.col("properties")["damage_gra"]
     idle_road = (F.col("layer") == "transportationL") & (grade.isNull() | grade.isin(UNDAMAGED))
     located = point_coordinates(rows.withColumn("grade", grade).filter(~idle_road))
-    return located.join(F.broadcast(zone_places.select("zone", "place")), "zone", "left")
+    return skew_join(located, zone_places.select("zone", "place"), ["zone"], "left")
 
 
 def coverage_grid(bodies: DataFrame) -> DataFrame:
