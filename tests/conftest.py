@@ -14,7 +14,7 @@ from tremorlens.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
