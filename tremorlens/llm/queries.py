@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bpe, token_counts
+from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, simhash, token_counts, topk
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,91 @@ def op3(spark, folder):
 def op4(spark, folder):
     coded = bpe.encode_and_decode(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_packing")
+def op7(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query("op5_simhash")
+def op5(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op6_exact_dedup",
+    """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY ALL)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+)
+def op6(spark, folder):
+    return exact_dedup.classes(table(spark, folder, "documents"))
+
+
+@query("op8_pii")
+def op8(spark, folder):
+    found = pii.personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    top = F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score")
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), top)
+
+
+#: What a user and then an assistant say in conversation -7.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def chat_events(spark, folder) -> DataFrame:
+    """The log that the conversations would have left: each row opens its turn with the first half of its text and streams the rest."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    every = rows.unionByName(fixed).select("*", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).alias("copy"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit(0).alias("seq"), F.lit("message").alias("event"), F.substring("text", F.lit(1), half).alias("part")),
+        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("event"), F.substring("text", half + 1, F.length("text")).alias("part")),
+    )
+    return every.select(F.col("conv_id").alias("conversation"), "turn", "copy", "role", F.explode(parts).alias("e")).select("conversation", "turn", "copy", "e.seq", "e.event", "role", F.col("e.part").alias("text"))
+
+
+def escaped_sql(column: str, role: bool = False) -> str:
+    for plain, coded in chat.ESCAPES if role else chat.ESCAPES[:3]:
+        column = f"replace({column}, '{plain}', '{coded}')"
+    return column
+
+
+@query(
+    "op10_chat",
+    f"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}')
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+      CAST(sum({len(chat.OPEN) + len(chat.MIDDLE) + len(chat.CLOSE)} + length({escaped_sql("role", True)}) + length({escaped_sql("text")})) AS BIGINT) AS formatted_chars
+    FROM rows GROUP BY conv_id""",
+)
+def op10(spark, folder):
+    shown = chat.format_conversations(chat_events(spark, folder))
+    back = shown.select("conversation", F.length("formatted").cast("long").alias("formatted_chars"), chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("said"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query(
+    "op9_topk",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op9(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
