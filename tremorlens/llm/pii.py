@@ -105,3 +105,8 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def number(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

@@ -61,7 +61,7 @@ class Block:
                     score[at] += q * values[a:b]
                     seen[at] += 1
             bound = score + (len(used) - seen) * level
-            bound[skip] = np.iinfo(np.int64).min
+            bound[skip] = -(1 << 62)
             # exact scores of the most promising give a threshold; whoever cannot reach it is out
             head = np.argpartition(-bound, wanted - 1)[:wanted]
             least = int((self.vectors[head] @ query).min())
