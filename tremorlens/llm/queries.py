@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, simhash, token_counts, topk
+from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_secret_scan")
+def op1(spark, folder):
+    found = secret_scan.secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [secret_scan.number(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), counts[3])
+
+
 @query("op3_token_counts")
 def op3(spark, folder):
     counted = token_counts.count_tokens(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))

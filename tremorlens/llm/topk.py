@@ -38,7 +38,7 @@ class Block:
         """Positions and exact scores of the k best candidates, ties to smaller ids; ``own`` takes no part."""
         n, used = len(self.ids), np.flatnonzero(query)
         top = max((max(int(query[d]) * int(self.values[d][0]), int(query[d]) * int(self.values[d][-1])) for d in used.tolist()), default=0)
-        score, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int16)
+        score, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         done = {d: (n, n) if query[d] > 0 else (0, 0) for d in used.tolist()}
         skip = np.zeros(n, dtype=bool)
         if own is not None:
