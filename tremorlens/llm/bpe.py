@@ -194,6 +194,26 @@ class Encoder:
             base += len(rows)
         return codes, groups, first
 
+    def fresh(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge pre-tokens of one length, cache aside: where the ids of each begin, how many they are, and all ids."""
+        n, end = rows.shape[1], 0
+        place, count, added = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64), []
+        if n > MATRIX_BYTES:
+            parts = ((np.array([k]), self._heap(row.tobytes())[None, :]) for k, row in enumerate(rows))
+        else:
+            parts = self._matrix(self.byte_ids[rows])
+        for which, ids in parts:
+            place[which] = end + np.arange(len(which)) * ids.shape[1]
+            count[which] = ids.shape[1]
+            added.append(ids.astype("<u4").ravel())
+            end += ids.size
+        for token, i in self.odd.get(n, ()):
+            same = np.flatnonzero((rows == token).all(axis=1))
+            place[same], count[same] = end, 1
+            added.append(np.array([i], dtype="<u4"))
+            end += 1
+        return place, count, np.concatenate(added)
+
     def merge(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens of one length: place in the pool and number of ids, from the cache where it has them."""
         n = rows.shape[1]
@@ -209,22 +229,9 @@ class Encoder:
         out_place[known], out_count[known] = place[slot[known]], count[slot[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            added, end = [self.pool], len(self.pool)
-            if n > MATRIX_BYTES:
-                parts = [(np.array([k]), self._heap(rows[i].tobytes())[None, :]) for k, i in enumerate(new.tolist())]
-            else:
-                parts = self._matrix(self.byte_ids[rows[new]])
-            for which, ids in parts:
-                out_place[new[which]] = end + np.arange(len(which)) * ids.shape[1]
-                out_count[new[which]] = ids.shape[1]
-                added.append(ids.astype("<u4").ravel())
-                end += ids.size
-            for token, i in self.odd.get(n, ()):
-                same = np.flatnonzero((rows == token).all(axis=1))
-                out_place[same], out_count[same] = end, 1
-                added.append(np.array([i], dtype="<u4"))
-                end += 1
-            self.pool = np.concatenate(added)
+            begin, sizes, ids = self.fresh(rows[new])
+            out_place[new], out_count[new] = begin + len(self.pool), sizes
+            self.pool = np.concatenate([self.pool, ids])
             both = np.concatenate([keys, key[new]])
             order = np.argsort(both, kind="stable")
             self.cache[n] = (
@@ -233,10 +240,6 @@ class Encoder:
             )
         return out_place, out_count
 
-    def counts(self, groups: list[np.ndarray]) -> np.ndarray:
-        """Number of ids of every distinct pre-token."""
-        return np.concatenate([self.merge(rows)[1] for rows in groups] or [np.zeros(0, dtype=np.int64)])
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one more than texts)."""
         if any(s in t for s in self.special for t in texts):

@@ -19,11 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlens.llm.bpe import cut_specials, json_encoder, row_keys
+from tremorlens.llm.bpe import cut_specials, distinct_rows, json_encoder, row_keys
 from tremorlens.llm.common import landed, slices, texts_of
 
 #: Bytes of text for which one more bucket of the dictionary is opened.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
 SCHEMA = "chunk string, id {kind}, n_bytes long, specials long, frequencies binary, bucket int, words binary"
 
 
@@ -120,32 +120,34 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
             )
 
     def count(batches):
-        """Blocks arrive bucket by bucket; a bucket's pre-tokens are merged when first seen and kept until the bucket ends."""
-        encoder, bucket, known = json_encoder(path), None, {}
+        """Blocks arrive bucket by bucket; when a bucket is complete, each of its distinct pre-tokens is merged once."""
+        encoder, bucket, held = json_encoder(path), None, []
+
+        def close():
+            sizes, letters = [], []
+            for _, raw in held:
+                size, letter = _unpack(raw)
+                sizes.append(size)
+                letters.append(letter.astype(np.uint8))
+            size, letter = np.concatenate(sizes), np.concatenate(letters)
+            begin, pieces = np.cumsum(size) - size, np.zeros(len(size), dtype=np.int64)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                distinct, which = distinct_rows(letter, begin[at], n)
+                pieces[at] = encoder.fresh(distinct)[1][which]
+            cut = np.cumsum([0, *map(len, sizes)]).tolist()
+            out = [_pack(pieces[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.string()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "bucket", "pieces"])
+
         for batch in batches:
-            out = []
-            for b, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if b != bucket:
-                    bucket, known = b, {}
-                size, letters = _unpack(raw)
-                letters = letters.astype(np.uint8)
-                begin, pieces = np.cumsum(size) - size, np.zeros(len(size), dtype=np.int64)
-                for n in np.unique(size).tolist():
-                    at = np.flatnonzero(size == n)
-                    rows = letters[begin[at][:, None] + np.arange(n)]
-                    keys, counts, kept = known.get(n) or (np.zeros(0, np.uint64), np.zeros(0, np.int64), rows[:0])
-                    key = row_keys(rows)
-                    slot = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                    old = (keys[slot] == key) & (kept[slot] == rows).all(axis=1) if len(keys) else np.zeros(len(key), dtype=bool)
-                    pieces[at[old]] = counts[slot[old]]
-                    new = ~old
-                    if new.any():
-                        fresh = encoder.merge(rows[new])[1]
-                        pieces[at[new]] = fresh
-                        order = np.argsort(np.concatenate([keys, key[new]]), kind="stable")
-                        known[n] = tuple(np.concatenate(x)[order] for x in ((keys, key[new]), (counts, fresh), (kept, rows[new])))
-                out.append(_pack(pieces))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "bucket", "pieces"])
+            for c, b, raw in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if b != bucket and held:
+                    yield close()
+                    held = []
+                bucket = b
+                held.append((c, raw))
+        if held:
+            yield close()
 
     def add(batches):
         """The counts of a chunk arrive before its documents, bucket after bucket, which is the order of their numbers."""
