@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk
+from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +33,18 @@ def tokenizer(name: str) -> str:
 
 @query("op1_secret_scan")
 def op1(spark, folder):
-    found = secret_scan.secrets(table(spark, folder, "documents"))
+    found = secret_scan.secrets(table(spark, folder, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "random")
     counts = [secret_scan.number(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
-    return found.select("doc_id", *counts[:3], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), counts[3])
+    return found.select("row.doc_id", *counts[:3], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), counts[3])
+
+
+@query("op2_toxicity")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    scored = toxicity.score_rows(docs.select("doc_id", "text"), model)
+    return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
 @query("op3_token_counts")

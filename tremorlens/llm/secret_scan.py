@@ -23,6 +23,7 @@ from math import erfc, exp, log, sqrt
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorlens.llm.common import landed, slices, texts_of
 
@@ -148,30 +149,33 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
     return ranked.filter(p <= F.col("rank") / F.col("all") * rate).groupBy("stratum").agg(F.min("bin").alias("least"))
 
 
-SCANNED = "id {kind}, rules array<struct<start:bigint,rank:int,end:bigint>>, tested array<struct<start:bigint,end:bigint,stratum:string,bin:int>>"
+FOUND = "rules array<struct<start:bigint,rank:int,end:bigint>>, tested array<struct<start:bigint,end:bigint,stratum:string,bin:int>>"
 
 
-def secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
-    """Spans of secrets in every whole text: id and spans (start, rank, kind, end), by start, then kind.
+def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text", rate: float = RATE) -> DataFrame:
+    """Spans of secrets in every whole text: row (a struct of ``columns`` of ``docs``, all if not given) and spans (start, rank, kind, end).
 
-    Places count code points, ends are exclusive.  Rules' spans are always there; tested ones are added where no rule's span covers
-    them.  A null or empty text has none; repeated rows and null ids come back as they are, and every copy counts as a candidate; other
-    columns are not read; an empty table gives no rows.  Texts are read once; what is landed are spans.
+    Spans are ordered by start, then kind; places count code points, ends are exclusive.  Rules' spans are always there; tested ones
+    are added where no rule's span covers them.  A null or empty text has none; repeated rows and null ids come back as they are, and
+    every copy counts as a candidate; an empty table gives no rows.  Texts are read once; rows are landed with what was found in them,
+    so name only the columns that are wanted back.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    carried = docs.select(columns or docs.columns)
     span, run = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("bin", pa.int32())])
 
     def work(batches):
-        for part in slices(batches):
+        for part in slices(batches, 0):
             ruled, tested = [], []
-            for t in texts_of(part.column(1)):
+            for t in texts_of(part.column(0)):
                 found = rule_spans(t)
                 ruled.append([{"start": a, "rank": r, "end": b} for a, r, b in found])
                 tested.append([dict(zip(("start", "end", "stratum", "bin"), c, strict=True)) for c in candidates(t, found)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ruled, pa.list_(span)), pa.array(tested, pa.list_(run))], names=["id", "rules", "tested"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(ruled, pa.list_(span)), pa.array(tested, pa.list_(run))], names=["row", "rules", "tested"])
 
-    scanned = landed(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(work, SCANNED.format(kind=kind)), "secrets")
-    accepted = {r["stratum"]: r["least"] for r in thresholds(scanned.select(F.explode("tested").alias("c")).select("c.stratum", "c.bin"), rate).collect()}  # at most encodings times bit lengths
+    schema = T.StructType([T.StructField("row", carried.schema), *T.StructType.fromDDL(FOUND).fields])
+    scanned = landed(docs.select(F.col(text).alias("t"), F.struct(*carried.columns).alias("row")).mapInArrow(work, schema), "secrets")
+    tested = scanned.select(F.explode("tested").alias("c")).select("c.stratum", "c.bin")
+    accepted = {r["stratum"]: r["least"] for r in thresholds(tested, rate).collect()}  # at most encodings times bit lengths
     least = F.create_map(*[F.lit(x) for pair in accepted.items() for x in pair]) if accepted else F.lit(None).cast("map<string,int>")
     names = F.array(*[F.lit(k) for k in KINDS])
 
@@ -179,8 +183,9 @@ def secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rate
         return F.struct(start.alias("start"), rank.alias("rank"), F.element_at(names, rank + 1).alias("kind"), end.alias("end"))
 
     ruled = F.transform("rules", lambda s: shaped(s["start"], s["rank"], s["end"]))
-    random = F.transform(F.filter("tested", lambda c: F.coalesce(c["bin"] >= F.try_element_at(least, c["stratum"]), F.lit(False))), lambda c: shaped(c["start"], F.lit(len(KINDS) - 1), c["end"]))
-    return scanned.select(F.col("id").alias(id_column), F.array_sort(F.concat(ruled, random)).alias("spans"))
+    passed = F.filter("tested", lambda c: F.coalesce(c["bin"] >= F.try_element_at(least, c["stratum"]), F.lit(False)))
+    random = F.transform(passed, lambda c: shaped(c["start"], F.lit(len(KINDS) - 1), c["end"]))
+    return scanned.select("row", F.array_sort(F.concat(ruled, random)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
