@@ -24,9 +24,9 @@ from tremorlens.llm.common import slices, texts_of
 #: n-gram lengths, hash buckets (as bits), and labelled rows of each label that the classifier is fitted on at most.
 SIZES, BITS, SAMPLE = (3, 4, 5), 18, 2000
 #: An n-gram counts if at least this share of the sample (and ``FEWEST`` texts) hold it, and its log-count ratio is at least so large.
-SHARE, FEWEST, TELLING = 0.01, 6, 1.0
-#: Weight decay, steps of the fit, and the score from which a text is toxic.
-DECAY, STEPS, THRESHOLD = 1e-4, 400, 0.7
+SHARE, FEWEST, TELLING = 0.005, 6, 1.5
+#: Weight decay, steps of the fit, weight of toxic texts in it (the others have the rest), and the score from which a text is toxic.
+DECAY, STEPS, LEAN, THRESHOLD = 1e-3, 400, 0.9, 0.7
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +81,7 @@ def fit(labels: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, float]:
     number[used] = np.arange(len(used))
     kept = number[bucket] >= 0
     row, column, value = row[kept], number[bucket[kept]], ratio[bucket[kept]]
-    coefficient, share = np.zeros(len(used)), np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
+    coefficient, share = np.zeros(len(used)), np.where(labels == 1, LEAN / labels.sum(), (1 - LEAN) / (n - labels.sum()))
     moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     bias = 0.0
     for step in range(1, STEPS + 1):  # gradient steps with running moments
