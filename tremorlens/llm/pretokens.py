@@ -120,6 +120,9 @@ def kinds_of(points: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> np.nd
 
 def split_bytes(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of the joined texts, token starts and ends in them, and the first token of each text (one more than texts)."""
+    none = np.zeros(0, dtype=np.int64)
+    if not texts:
+        return none.astype(np.uint8), none, none, np.zeros(1, dtype=np.int64)
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
     ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
