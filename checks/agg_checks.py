@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    CAPTURES_SQL, CENTRES_SQL, POINTS_SQL, REGISTRY_SQL, captures, centres, haversine_sql, points, query, registry, table,
+    CAPTURES_SQL, CENTRES_SQL, POINTS_SQL, REGISTRY_SQL, captures, centres, haversine_sql, points, positioned, query, registry, table,
 )
 from tremorlens.operators import alerts, citizen, consensus, coverage, influence, media, quality, snapshots, spatial
 from tremorlens.operators import registry as reg
@@ -13,9 +13,9 @@ from tremorlens.sources import sinks
 
 # ---------------------------------------------------------------- cross-check: priorities are zones
 CROSS_SQL = """stats AS (SELECT DISTINCT o_orderpriority AS zone FROM orders WHERE o_orderpriority <> '5-LOW'),
-evidence AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 2 = 0 THEN 'oficial' ELSE 'prensa' END AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
-press AS (SELECT o_orderpriority AS zone FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'),
-citizens AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 3 = 0 THEN 'coherente' ELSE 'recibido' END AS state FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),
+evidence AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 2 = 0 THEN 'oficial' ELSE 'prensa' END AS kind FROM (SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority) FROM orders)),
+press AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' THEN o_orderpriority END AS zone FROM orders),
+citizens AS (SELECT nullif(o_orderpriority, '4-NOT SPECIFIED') AS zone, CASE WHEN o_orderkey % 3 = 0 THEN 'coherente' ELSE 'recibido' END AS state FROM orders),
 cross_check AS (
   SELECT z.zone, z.zone IN (SELECT zone FROM stats) AS has_stats, (SELECT count(*) FROM evidence e WHERE e.zone = z.zone AND kind = 'oficial') AS n_official,
     (SELECT count(*) FROM press p WHERE p.zone = z.zone) AS n_press, (SELECT count(*) FROM citizens c WHERE c.zone = z.zone AND c.state = 'coherente') AS n_citizen
@@ -27,9 +27,9 @@ def _cross(spark, d):
     orders = table(spark, d, "orders").withColumn("zone", F.col("o_orderpriority"))
     k, s, z = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("zone")
     stats = orders.select(z, F.when(z != "5-LOW", F.col("o_totalprice")).alias("affected"))
-    evidence = orders.filter((z == "1-URGENT") & (s == "F")).select(z, F.when(k % 2 == 0, "oficial").otherwise("prensa").alias("kind"))
-    press = orders.filter(z.isin("1-URGENT", "2-HIGH") & (s == "O")).select(z)
-    citizens = orders.filter(z != "4-NOT SPECIFIED").select(z, F.when(k % 3 == 0, "coherente").otherwise("recibido").alias("state"))
+    evidence = orders.select(F.when((z == "1-URGENT") & (s == "F"), z).alias("zone"), F.when(k % 2 == 0, "oficial").otherwise("prensa").alias("kind"))
+    press = orders.select(F.when(z.isin("1-URGENT", "2-HIGH") & (s == "O"), z).alias("zone"))
+    citizens = orders.select(F.nullif(z, F.lit("4-NOT SPECIFIED")).alias("zone"), F.when(k % 3 == 0, "coherente").otherwise("recibido").alias("state"))
     return coverage.cross_check(orders.select(z), stats, evidence, press, citizens)
 
 
@@ -66,14 +66,14 @@ def a03(spark, d):
 
 @query(
     "A04",
-    f"""WITH {POINTS_SQL}, x AS (SELECT 'Z' || label AS zone, CASE WHEN label % 2 = 0 THEN CASE WHEN id % 5 = 0 THEN 'Sin grado' ELSE grade END ELSE 'Interrupciones/crisis' END AS grade FROM points WHERE label < 8
-      UNION ALL SELECT 'Z' || label, 'Vías dañadas' FROM points WHERE label >= 5)
+    f"""WITH {POINTS_SQL}, x AS (SELECT 'Z' || label AS zone, CASE WHEN label % 2 = 0 THEN CASE WHEN id % 5 = 0 THEN 'Sin grado' ELSE grade END ELSE 'Interrupciones/crisis' END AS grade FROM points
+      UNION ALL SELECT 'Z' || label, 'Vías dañadas' FROM points)
     SELECT zone, grade, count(*) AS n FROM x GROUP BY ALL""",
 )
 def a04(spark, d):
     p = points(spark, d).withColumn("zone", F.concat(F.lit("Z"), F.col("label").cast("string")))
-    pts = p.filter("label < 8").select("zone", F.when(F.col("label") % 2 == 0, "builtUpP").otherwise("ancillaryCrisisInfoP").alias("layer"), F.when(F.col("id") % 5 != 0, F.col("grade")).alias("grade"))
-    return coverage.detections(pts, p.filter("label >= 5"))
+    pts = p.select("zone", F.when(F.col("label") % 2 == 0, "builtUpP").otherwise("ancillaryCrisisInfoP").alias("layer"), F.when(F.col("id") % 5 != 0, F.col("grade")).alias("grade"))
+    return coverage.detections(pts, p)
 
 
 def _vendor(spark, d):
@@ -137,13 +137,13 @@ def a09(spark, d):
     return citizen.daily_reports(table(spark, d, "events"), F.to_date("ts"), "2023-12-28", "2024-02-03")
 
 
-REBUILT_SQL = """rebuilt AS (SELECT 'E1' AS event_key, CAST(o_orderdate AS DATE) + 1 AS day, count(*) AS municipalities, CAST(sum(o_orderkey) AS BIGINT) AS families, CAST(sum(o_custkey) AS BIGINT) AS persons FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY ALL)"""
-SERIES_SQL = "series AS (SELECT event_key, day, count(*) AS municipalities, CAST(sum(families) AS BIGINT) AS families, CAST(sum(persons) AS BIGINT) AS persons, false AS rebuilt FROM registry WHERE day <> DATE '1998-05-05' GROUP BY event_key, day)"
+REBUILT_SQL = """rebuilt AS (SELECT 'E1' AS event_key, CAST(o_orderdate AS DATE) + 1 AS day, count(*) AS municipalities, CAST(sum(o_orderkey) AS BIGINT) AS families, CAST(sum(o_custkey) AS BIGINT) AS persons FROM orders GROUP BY ALL)"""
+SERIES_SQL = "series AS (SELECT event_key, day, count(*) AS municipalities, CAST(sum(families) AS BIGINT) AS families, CAST(sum(persons) AS BIGINT) AS persons, false AS rebuilt FROM registry GROUP BY event_key, day)"
 
 
 def _series(spark, d):
-    daily = registry(spark, d).filter("day <> DATE '1998-05-05'")
-    rebuilt = table(spark, d, "orders").filter("o_orderpriority = '5-LOW'").groupBy(F.lit("E1").alias("event_key"), F.date_add(F.to_date("o_orderdate"), 1).alias("day")).agg(
+    daily = registry(spark, d)
+    rebuilt = table(spark, d, "orders").groupBy(F.lit("E1").alias("event_key"), F.date_add(F.to_date("o_orderdate"), 1).alias("day")).agg(
         F.count("*").alias("municipalities"), F.sum("o_orderkey").alias("families"), F.sum("o_custkey").alias("persons")
     )
     return reg.registry_series(daily, rebuilt)
@@ -158,14 +158,14 @@ def a10(spark, d):
     "A11",
     f"""WITH {REGISTRY_SQL}, b AS (SELECT max(day) AS last, (SELECT max(day) FROM registry WHERE day < (SELECT max(day) FROM registry)) AS prior FROM registry),
     p AS (SELECT r.* FROM registry r, b WHERE day = prior), n AS (SELECT r.* FROM registry r, b WHERE day = last),
-    pop AS (SELECT o_orderstatus AS department, o_orderpriority AS municipality, count(*) AS population FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY ALL)
+    pop AS (SELECT o_orderstatus AS department, nullif(o_orderpriority, '3-MEDIUM') AS municipality, count(*) AS population FROM orders GROUP BY ALL)
     SELECT n.event_key, n.department, n.municipality, n.day, n.families, n.persons, pop.population, CASE WHEN n.persons <> 0 THEN round(n.persons / CAST(pop.population AS DOUBLE) * 100, 4) END AS rate_pct,
       n.families - p.families AS delta_families, p.day IS NULL AS is_new FROM n LEFT JOIN p USING (department, municipality) LEFT JOIN pop USING (department, municipality)""",
 )
 def a11(spark, d):
     daily = registry(spark, d)
-    population = table(spark, d, "orders").filter("o_orderpriority <> '3-MEDIUM'").groupBy(
-        F.col("o_orderstatus").alias("department"), F.col("o_orderpriority").alias("municipality")
+    population = table(spark, d, "orders").groupBy(
+        F.col("o_orderstatus").alias("department"), F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("municipality")
     ).agg(F.count("*").alias("population"))
     return reg.registry_detail(daily, reg.registry_series(daily), population)
 
@@ -173,15 +173,15 @@ def a11(spark, d):
 @query(
     "A12",
     """WITH e AS (SELECT 'E' || l_orderkey % 3 AS event_key, CAST(sum(CASE WHEN l_linenumber >= 4 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS exposed FROM lineitem GROUP BY 1),
-    c AS (SELECT 'E' || o_orderkey % 2 AS event_key, CAST(sum(o_custkey) AS BIGINT) AS covered FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    c AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'E' || o_orderkey % 2 END AS event_key, CAST(sum(o_custkey) AS BIGINT) AS covered FROM orders GROUP BY 1)
     SELECT event_key, exposed, coalesce(covered, 0) AS covered, greatest(exposed - coalesce(covered, 0), 0) AS uncovered, round(CAST(100 * coalesce(covered, 0) AS DOUBLE) / exposed, 1) AS covered_pct FROM e LEFT JOIN c USING (event_key) WHERE exposed > 0""",
 )
 def a12(spark, d):
     exposure = table(spark, d, "lineitem").select(
         F.concat(F.lit("E"), (F.col("l_orderkey") % 3).cast("string")).alias("event_key"), F.col("l_linenumber").alias("intensity"), F.col("l_quantity").cast("bigint").alias("people")
     )
-    covered = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(
-        F.concat(F.lit("E"), (F.col("o_orderkey") % 2).cast("string")).alias("event_key"), F.col("o_custkey").alias("population")
+    covered = table(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("E"), (F.col("o_orderkey") % 2).cast("string"))).alias("event_key"), F.col("o_custkey").alias("population")
     )
     return reg.exposure_gap(exposure, covered, 4)
 
@@ -198,10 +198,10 @@ def a13(spark, d):
 
 # ---------------------------------------------------------------- A14 - A17, L02
 LAYER_SQL = f"""pl AS (SELECT n_name AS municipality, r_name AS department, n_nationkey AS k, n_nationkey * 1000 AS population, n_nationkey % 8 = 7 AS homonym, n_nationkey % 5 = 0 AS needs_department FROM nation JOIN region ON n_regionkey = r_regionkey),
-news AS (SELECT c_nationkey AS k, count(*) AS n_news FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1),
-felt AS (SELECT s_nationkey AS k, max(s_suppkey % 9) AS felt_max_cdi, count(*) AS felt_cells, CAST(sum(s_suppkey) AS BIGINT) AS felt_responses FROM supplier WHERE s_nationkey % 4 <> 1 GROUP BY 1),
-rg AS (SELECT c_nationkey AS k, count(*) AS families, CAST(sum(c_custkey) AS BIGINT) AS persons FROM customer WHERE c_nationkey % 7 <> 0 GROUP BY 1),
-va AS (SELECT c_nationkey AS k, count(*) AS b FROM customer WHERE c_nationkey % 6 = 1 GROUP BY 1), vb AS (SELECT c_nationkey AS k, count(*) AS b FROM customer WHERE c_nationkey % 6 = 2 GROUP BY 1),
+news AS (SELECT CASE WHEN c_nationkey % 3 <> 0 THEN c_nationkey END AS k, count(*) AS n_news FROM customer GROUP BY 1),
+felt AS (SELECT CASE WHEN s_nationkey % 4 <> 1 THEN s_nationkey END AS k, max(s_suppkey % 9) AS felt_max_cdi, count(*) AS felt_cells, CAST(sum(s_suppkey) AS BIGINT) AS felt_responses FROM supplier GROUP BY 1),
+rg AS (SELECT CASE WHEN c_nationkey % 7 <> 0 THEN c_nationkey END AS k, count(*) AS families, CAST(sum(c_custkey) AS BIGINT) AS persons FROM customer GROUP BY 1),
+va AS (SELECT CASE WHEN c_nationkey % 6 = 1 THEN c_nationkey END AS k, count(*) AS b FROM customer GROUP BY 1), vb AS (SELECT CASE WHEN c_nationkey % 6 = 2 THEN c_nationkey END AS k, count(*) AS b FROM customer GROUP BY 1),
 layer AS (SELECT municipality, department, population, needs_department, homonym, CASE WHEN homonym THEN NULL ELSE coalesce(n_news, 0) END AS n_news, felt_max_cdi, felt_responses, families, persons,
     va.b AS vendor_a_buildings, vb.b AS vendor_b_buildings, pl.k % 9 = 0 AS in_zone,
     CASE WHEN pl.k % 9 = 0 THEN 'en_aoi' WHEN va.b > 0 THEN 'evaluado_unosat' WHEN vb.b > 0 THEN 'evaluado_satelite' WHEN felt_max_cdi >= 6 THEN 'intensidad_alta' WHEN n_news > 0 THEN 'mencion_prensa' WHEN rg.k IS NOT NULL THEN 'solo_rud' ELSE 'fuera_aoi' END AS state,
@@ -221,8 +221,8 @@ def _layer(spark, d):
     name = places.select("k", "municipality")
 
     def per(source: str, key: str, condition, *aggs):
-        rows = table(spark, d, source).filter(condition).groupBy(F.col(key).alias("k")).agg(*aggs)
-        return rows.join(F.broadcast(name), "k").drop("k")
+        rows = table(spark, d, source).groupBy(F.when(condition, F.col(key)).alias("k")).agg(*aggs)
+        return rows.join(name, "k").drop("k")
 
     c, s = F.col("c_nationkey"), F.col("s_nationkey")
     number = F.count("*")
@@ -245,7 +245,7 @@ def a14(spark, d):
     f"""WITH {LAYER_SQL}, r AS (SELECT *, coalesce(n_news = 0, false) AS mute, coalesce(n_news = 0, false) AND NOT needs_department AND NOT homonym AND own_search AS certain FROM layer WHERE persons > 0)
     SELECT count(*) FILTER (mute) AS mute, CAST(coalesce(sum(persons) FILTER (mute), 0) AS BIGINT) AS people, count(*) FILTER (certain) AS certain, CAST(coalesce(sum(persons) FILTER (certain), 0) AS BIGINT) AS people_certain,
       count(*) FILTER (mute AND NOT certain) AS doubtful, count(*) FILTER (mute AND NOT certain AND NOT own_search) AS unsearched, count(*) FILTER (n_news IS NULL AND homonym) AS unattributable,
-      CAST(coalesce(sum(persons) FILTER (n_news IS NULL AND homonym), 0) AS BIGINT) AS people_unattributable, arg_max(municipality, rate_pct) FILTER (certain) AS top_place, max(rate_pct) FILTER (certain) AS top_rate_pct FROM r HAVING count(*) FILTER (mute) > 0""",
+      CAST(coalesce(sum(persons) FILTER (n_news IS NULL AND homonym), 0) AS BIGINT) AS people_unattributable, arg_min(municipality, row(-rate_pct, -persons, municipality)) FILTER (certain) AS top_place, max(rate_pct) FILTER (certain) AS top_rate_pct FROM r HAVING count(*) FILTER (mute) > 0""",
 )
 def a15(spark, d):
     return coverage.press_silence(_layer(spark, d))
@@ -349,12 +349,12 @@ def a23(spark, d):
 
 @query(
     "A24",
-    """WITH c AS (SELECT p_brand AS brand, p_partkey AS n FROM part WHERE p_partkey % 7 > 1),
+    """WITH c AS (SELECT p_brand AS brand, p_partkey + 2 * (p_partkey // 5) AS n FROM part),
     g AS (SELECT brand, n, lead(n) OVER (PARTITION BY brand ORDER BY n) AS nx FROM c)
     SELECT brand, n + 1 AS first_missing, nx - 1 AS last_missing, nx - n - 1 AS run_length FROM g WHERE nx - n > 1""",
 )
 def a24(spark, d):
-    codes = table(spark, d, "part").filter("p_partkey % 7 > 1").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("n"))
+    codes = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.expr("p_partkey + 2 * (p_partkey DIV 5)").alias("n"))
     return alerts.missing_codes(codes, ["brand"], "n")
 
 
@@ -386,14 +386,14 @@ def a26(spark, d):
 @query(
     "A27",
     """WITH f AS (SELECT DISTINCT source AS feed, CASE WHEN source = 'src3' THEN 'HTTP 503' END AS error FROM documents UNION ALL SELECT 'silent', NULL),
-    i AS (SELECT source AS feed, count(*) AS items, count(*) FILTER (lang = 'en') AS kept FROM documents WHERE source <> 'src3' GROUP BY 1)
+    i AS (SELECT source AS feed, count(*) AS items, count(*) FILTER (lang = 'en') AS kept FROM documents GROUP BY 1)
     SELECT feed, error, CASE WHEN error IS NULL THEN coalesce(items, 0) END AS items, CASE WHEN error IS NULL THEN coalesce(kept, 0) END AS kept FROM f LEFT JOIN i USING (feed)""",
 )
 def a27(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("source", "feed")
     silent = docs.sparkSession.range(1).select(F.lit("silent").alias("feed"))
     registered = docs.select("feed").distinct().unionByName(silent).withColumn("error", F.when(F.col("feed") == "src3", "HTTP 503"))
-    return media.ingest_summary(docs.filter("feed <> 'src3'").select("feed", (F.col("lang") == "en").alias("relevant")), registered)
+    return media.ingest_summary(docs.select("feed", (F.col("lang") == "en").alias("relevant")), registered)
 
 
 # ---------------------------------------------------------------- A28, A30, A32 - A34
@@ -511,7 +511,7 @@ def p39(spark, d):
 # ---------------------------------------------------------------- K04: the whole slice, points to published rows
 @query(
     "K04",
-    f"""WITH {CROSS_SQL}, s AS (SELECT o_orderpriority AS zone, count(*) AS population, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS affected_buildings FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY 1),
+    f"""WITH {CROSS_SQL}, s AS (SELECT nullif(o_orderpriority, '3-MEDIUM') AS zone, count(*) AS population, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS affected_buildings FROM orders GROUP BY 1),
     c AS (SELECT *, {STATE_SQL} AS state FROM cross_check)
     SELECT zone AS aoi, state AS estado, CASE state {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in coverage.STATE_LABELS.items())} END AS etiqueta, population AS poblacion, affected_buildings AS edificios_afectados,
       CAST(NULL AS DOUBLE) AS vias_afectadas_km, CAST(NULL AS BIGINT) AS interrupciones_viales, n_press AS n_prensa, n_citizen AS n_ciudadano, n_official AS n_oficial, CAST(NULL AS VARCHAR) AS entrega_producto, 'EMS + news + citizens' AS fuente
@@ -519,7 +519,7 @@ def p39(spark, d):
 )
 def k04(spark, d):
     orders = table(spark, d, "orders").withColumn("zone", F.col("o_orderpriority"))
-    summary = orders.filter("zone <> '3-MEDIUM'").groupBy("zone").agg(
+    summary = orders.groupBy(F.nullif(F.col("zone"), F.lit("3-MEDIUM")).alias("zone")).agg(
         F.count("*").alias("population"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))).alias("affected_buildings"),
         F.lit(None).cast("double").alias("affected_roads_km"), F.lit(None).cast("bigint").alias("road_interruptions"),
     )
@@ -527,8 +527,12 @@ def k04(spark, d):
     return sinks.crosscheck_rows(_cross(spark, d), summary, delivered, "EMS + news + citizens")
 
 
-@query("L02", f"WITH {LAYER_SQL} SELECT municipality, state FROM layer")
+@query(
+    "L02",
+    f"""WITH {LAYER_SQL} SELECT municipality, state,
+      row_number() OVER (ORDER BY in_zone DESC, coalesce(vendor_a_buildings, 0) DESC, coalesce(felt_max_cdi, 0) DESC, coalesce(n_news, 0) DESC, municipality) AS position FROM layer""",
+)
 def l02(spark, d):
-    return influence.display_order(_layer(spark, d)).select("municipality", "state")
+    return positioned(influence.display_order(_layer(spark, d))).select("municipality", "state", "position")
 
 

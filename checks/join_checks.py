@@ -200,14 +200,14 @@ def j16(spark, d):
 @query(
     "J17",
     """WITH n AS (SELECT o_custkey AS url, CASE WHEN o_custkey % 3 = 0 THEN 'kept' END AS outlet FROM orders GROUP BY 1),
-    a AS (SELECT o_custkey AS url, o_orderpriority AS outlet, o_orderdate AS day, o_orderkey FROM orders WHERE o_orderkey % 5 <> 0),
-    f AS (SELECT url, outlet FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY day, outlet) AS rn FROM a) WHERE rn = 1)
+    a AS (SELECT o_custkey AS url, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS outlet, o_orderdate AS day, o_orderkey FROM orders),
+    f AS (SELECT url, outlet FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY day, outlet) AS rn FROM a WHERE outlet IS NOT NULL) WHERE rn = 1)
     SELECT n.url, coalesce(n.outlet, f.outlet) AS outlet, n.outlet IS NULL AND f.outlet IS NOT NULL AS backfilled FROM n LEFT JOIN f USING (url)""",
 )
 def j17(spark, d):
     orders = table(spark, d, "orders")
     news = orders.select(F.col("o_custkey").alias("url")).distinct().withColumn("outlet", F.when(F.col("url") % 3 == 0, "kept"))
-    archive = orders.filter("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("url"), F.col("o_orderpriority").alias("outlet"), F.to_date("o_orderdate").alias("day"))
+    archive = orders.select(F.col("o_custkey").alias("url"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("outlet"), F.to_date("o_orderdate").alias("day"))
     return snapshots.fill_from_oldest(news, archive, "url", "day", ["outlet"])
 
 

@@ -448,18 +448,20 @@ def k03(spark, d):
 @query(
     "K05",
     """WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS price, max(o_orderpriority) FILTER (o_orderkey % 3 = 0) AS prio, min(o_orderdate) AS seen FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
-    n AS (SELECT o_custkey AS k, max(o_totalprice) AS price, max(o_orderpriority) AS prio, min(o_orderdate) AS seen FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+    n AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS price, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 4 = 1) AS prio, arg_min(o_orderdate, o_orderkey) AS seen FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
     SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.price ELSE o.price END AS price, coalesce(o.prio, n.prio) AS prio, CAST(CASE WHEN o.k IS NOT NULL THEN o.seen ELSE n.seen END AS DATE) AS seen
     FROM o FULL JOIN n ON o.k = n.k""",
 )
 def k05(spark, d):
-    def side(odd: int, prio):
-        return table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == odd).groupBy(F.col("o_custkey").alias("k")).agg(
-            F.max("o_totalprice").alias("price"), F.max(prio).alias("prio"), F.to_date(F.min("o_orderdate")).alias("seen")
-        )
-
-    old = side(0, F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")))
-    return snapshots.upsert(old, side(1, F.col("o_orderpriority")), ["k"], replace=["price"], fill=["prio"], keep=["seen"])
+    """Even orders are what is stored, one row a key; odd ones arrive by order key, several of a key in one batch."""
+    orders, k = table(spark, d, "orders"), F.col("o_orderkey")
+    old = orders.filter(k % 2 == 0).groupBy(F.col("o_custkey").alias("k")).agg(
+        F.max("o_totalprice").alias("price"), F.max(F.when(k % 3 == 0, F.col("o_orderpriority"))).alias("prio"), F.to_date(F.min("o_orderdate")).alias("seen")
+    )
+    new = orders.filter(k % 2 == 1).select(
+        F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price"), F.when(k % 4 == 1, F.col("o_orderpriority")).alias("prio"), F.to_date("o_orderdate").alias("seen"), k.alias("ordinal")
+    )
+    return snapshots.upsert(old, new, ["k"], replace=["price"], fill=["prio"], keep=["seen"], order="ordinal")
 
 
 @query(
@@ -477,9 +479,9 @@ def k06(spark, d):
     return landing.landing_plan(rows).select("seq", "path", "stored")
 
 
-@query("K07", "SELECT 'repo:feeds' AS url, 'rebuilt outlets: ' || count(*) AS note, CAST(NULL AS INTEGER) AS http_status FROM documents WHERE lang = 'en'")
+@query("K07", "SELECT 'repo:feeds' AS url, 'rebuilt outlets: ' || count(*) AS note, CAST(NULL AS INTEGER) AS http_status FROM documents")
 def k07(spark, d):
-    counted = table(spark, d, "documents").filter("lang = 'en'").agg(F.count("*").alias("n"))
+    counted = table(spark, d, "documents").agg(F.count("*").alias("n"))
     return landing.derivation_log(counted, "repo:feeds", "rebuilt outlets", F.lit("2026-08-22 10:00:00").cast("timestamp")).select("url", "note", "http_status")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import POINTS_SQL, REGISTRY_SQL, ZONES_SQL, captures, points, query, registry, table, zones
+from checks.base import POINTS_SQL, REGISTRY_SQL, ZONES_SQL, captures, points, positioned, query, registry, table, zones
 from tremorlens.functions import report
 from tremorlens.operators import citizen, coverage, media, snapshots, spatial
 from tremorlens.operators import registry as reg
@@ -117,21 +117,30 @@ def w13(spark, d):
 
 
 # ---------------------------------------------------------------- sorts, pages, extremes
+LISTED_SQL = """n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 < 9 THEN s_acctbal END AS v FROM supplier),
+t AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 7 <> 0 THEN p_name END AS name FROM part)"""
+
+
 @query(
     "L01",
-    """SELECT s_suppkey, 'asc' AS direction, CASE WHEN s_suppkey % 10 < 9 THEN s_acctbal END AS v FROM supplier UNION ALL
-    SELECT s_suppkey, 'desc', CASE WHEN s_suppkey % 10 < 9 THEN s_acctbal END FROM supplier UNION ALL SELECT p_partkey, 'es', NULL FROM part""",
+    f"""WITH {LISTED_SQL}
+    SELECT s_suppkey AS id, 'asc' AS direction, row_number() OVER (ORDER BY v ASC NULLS LAST, s_suppkey) AS position FROM n
+    UNION ALL SELECT s_suppkey, 'desc', row_number() OVER (ORDER BY v DESC NULLS LAST, s_suppkey) FROM n
+    UNION ALL SELECT p_partkey, 'text', row_number() OVER (ORDER BY nullif(name, '') ASC NULLS LAST, p_partkey) FROM t
+    UNION ALL SELECT p_partkey, 'text desc', row_number() OVER (ORDER BY nullif(name, '') DESC NULLS LAST, p_partkey) FROM t
+    UNION ALL SELECT p_partkey, 'es', row_number() OVER (ORDER BY nullif(name, '') ASC NULLS LAST, p_partkey) FROM t""",
 )
 def l01(spark, d):
-    """Whole tables in each order; the order itself is tested on literals."""
-    rows = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 < 9, F.col("s_acctbal")).alias("v"))
+    """Whole tables in each order, with the place of every row (Spanish order of these plain names is that of their letters)."""
+    numbers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 10 < 9, F.col("s_acctbal")).alias("v"))
+    k = F.col("p_partkey")
+    names = table(spark, d, "part").select(k.alias("id"), F.when(k % 9 == 0, "").when(k % 7 != 0, F.col("p_name")).alias("v"))
+    orders = {"asc": (numbers, False, False), "desc": (numbers, True, False), "text": (names, False, False), "text desc": (names, True, False), "es": (names, False, True)}
     out = None
-    for name, descending in (("asc", False), ("desc", True)):
-        part = media.sorted_rows(rows, "v", descending, ["s_suppkey"]).select("s_suppkey", F.lit(name).alias("direction"), "v")
+    for direction, (rows, descending, spanish) in orders.items():
+        part = positioned(media.sorted_rows(rows, "v", descending, ["id"], spanish)).select("id", F.lit(direction).alias("direction"), "position")
         out = part if out is None else out.unionByName(part)
-    names = table(spark, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name")
-    spanish = media.sorted_rows(names, "p_name", False, ["s_suppkey"], spanish=True).select("s_suppkey", F.lit("es").alias("direction"), F.lit(None).cast("double").alias("v"))
-    return out.unionByName(spanish)
+    return out
 
 
 @query(

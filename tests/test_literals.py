@@ -102,16 +102,43 @@ def test_ambiguous_names_need_their_department(spark):
     assert {(r["id"], r["department"]) for r in depts.select("id", F.explode("departments").alias("department")).collect()} == {(2, "Valle del Cauca"), (4, "Caldas"), (5, "Caldas"), (6, "Valle del Cauca")}
 
 
-def test_dictionary_paths_give_the_same(spark, monkeypatch):
-    from tremorlens.plans import joins, terms
-
-    news = spark.createDataFrame([(1, "a b c de la d"), (2, "la b"), (3, "zz")], "id int, t string")
+def test_dictionary_gives_the_same_however_it_is_joined(spark):
+    """NULL and repeated keys, hits in several lines, and a dictionary that is shuffled instead of broadcast."""
+    news = spark.createDataFrame([(1, "a b c de la d"), (2, "la b"), (2, "zz\nc de"), (None, "de la"), (None, "b\nb"), (3, "de\nla"), (4, None)], "id int, t string")
     tops = literal_terms(spark, [("A", "de la"), ("B", "b"), ("C", "c de")], "zone string, term string")
-    near = {tuple(r) for r in attribution.match_zones(news, "id", "t", tops).collect()}
-    monkeypatch.setattr(terms, "TERM_LIMIT", 0)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(terms, "skew_join", lambda *a, **k: joins.skew_join(*a, **{**k, "rows": 0}))
-    assert {tuple(r) for r in attribution.match_zones(news, "id", "t", tops).collect()} == near == {(1, "A"), (1, "B"), (1, "C"), (2, "B")}
+    expected = {(1, "A"), (1, "B"), (1, "C"), (2, "B"), (2, "C"), (None, "A"), (None, "B")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = [tuple(r) for r in attribution.match_zones(news, "id", "t", tops).collect()]
+            assert len(got) == len(expected) and set(got) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_last_arrival_wins(spark):
+    """Repeats in one batch resolve by their number, not by their value."""
+    old = spark.createDataFrame([("k", "z", None, "first")], "key string, r string, f string, s string")
+    new = spark.createDataFrame([("k", "m", None, "x", 1), ("k", "b", "one", "y", 2), ("k", "a", "two", "y", 2), ("n", "q", None, "p", 1)], "key string, r string, f string, s string, at int")
+    got = {r["key"]: (r["r"], r["f"], r["s"]) for r in snapshots.upsert(old, new, ["key"], replace=["r"], fill=["f"], keep=["s"], order="at").collect()}
+    assert got == {"k": ("b", "two", "first"), "n": ("q", None, "p")}
+
+
+def test_empty_text_sorts_last(spark):
+    rows = spark.createDataFrame([("b",), ("",), (None,), ("a",)], "t string")
+    for descending, first in ((False, ["a", "b"]), (True, ["b", "a"])):
+        got = [r["t"] for r in media.sorted_rows(rows, "t", descending).collect()]
+        assert got[:2] == first and set(got[2:]) == {"", None}
+
+
+def test_newest_day_prunes_the_partitions(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    spark.range(30).selectExpr("id", "concat('2026-08-0', id % 3 + 1) AS day").write.partitionBy("day").parquet(path)
+    newest = snapshots.latest_snapshot(spark.read.parquet(path), "day")
+    assert newest.count() == 10
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "subquery" in plan.split("PartitionFilters")[1][:200]
 
 
 def test_salted_join_equals_broadcast(spark):

@@ -207,9 +207,11 @@ def day_disputes(captures: DataFrame, metrics: list[str] = DISPUTED, margin: flo
 def balance_alert(series: DataFrame, today: str, yesterday: str) -> DataFrame:
     """Latest consolidated value against the previous captured day, when it moved.
 
-    One row per event and metric whose last day is recent and whose value changed.
+    One row per event and metric whose last day is recent and whose value changed.  Days
+    after ``today`` are not known yet.
     """
     keys = ["event_key", "metric"]
+    series = series.filter(F.col("day").cast("string") <= today)
     order = Window.partitionBy(*keys).orderBy("day")
     lagged = series.withColumn("previous", F.lag("value").over(order)).withColumn("n_days", F.row_number().over(order))
     last = lagged.groupBy(*keys).agg(F.max_by(F.struct("day", "value", "previous", "n_days"), "day").alias("l")).select(*keys, "l.*")

@@ -105,7 +105,8 @@ def press_silence(places: DataFrame) -> DataFrame:
     """Registered victims without one headline, in three tiers of certainty.
 
     ``places``: municipality, persons, n_news, needs_department, homonym, own_search,
-    rate_pct.  Only an unambiguous name that was really searched for is certain.
+    rate_pct.  Only an unambiguous name that was really searched for is certain.  The top place
+    is the one with the highest rate, then the most persons, then the first name.
     """
     flag = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("needs_department", "homonym", "own_search")}
     mute = F.coalesce(F.col("n_news") == 0, F.lit(False))
@@ -121,7 +122,7 @@ def press_silence(places: DataFrame) -> DataFrame:
         people(certain).alias("people_certain"), F.count_if(doubtful).alias("doubtful"),
         F.count_if(doubtful & (F.col("own_search") == False)).alias("unsearched"),  # noqa: E712
         F.count_if(lost).alias("unattributable"), people(lost).alias("people_unattributable"),
-        F.max_by(F.when(certain, F.col("municipality")), F.when(certain, F.col("rate_pct"))).alias("top_place"),
+        F.min_by("municipality", F.when(certain, F.struct(-F.col("rate_pct"), -F.col("persons"), "municipality"))).alias("top_place"),
         F.max(F.when(certain, F.col("rate_pct"))).alias("top_rate_pct"),
     ).filter("mute > 0")
 

@@ -88,8 +88,10 @@ def search(rows: DataFrame, text: str | None = None, columns: list[str] = (), eq
 def sorted_rows(rows: DataFrame, column: str, descending: bool = False, tie: list[str] = (), spanish: bool = False) -> DataFrame:
     """NULL or empty last in both directions, tie-break columns, Spanish text order."""
     value = F.col(column)
+    if rows.schema[column].dataType.typeName() == "string":
+        value = F.nullif(value, F.lit(""))
     if spanish:
-        value = F.collate(F.nullif(value, F.lit("")), "es")
+        value = F.collate(value, "es")
     key = value.desc_nulls_last() if descending else value.asc_nulls_last()
     return rows.orderBy(key, *tie)
 

@@ -10,9 +10,11 @@ from tremorlens.plans.joins import derived_join, null_safe_join, skew_join, with
 
 
 def latest_snapshot(df: DataFrame, day: str = "snapshot_date") -> DataFrame:
-    """Rows of the newest captured day; prunes partitions when ``day`` partitions."""
-    newest = df.agg(F.max(day).alias(day))
-    return df.join(F.broadcast(newest), day, "left_semi")
+    """Rows of the newest captured day.
+
+    The day is a scalar subquery in a filter, so a table partitioned by ``day`` is read in that partition alone.
+    """
+    return df.filter(F.col(day) == df.agg(F.max(day)).scalar())
 
 
 def latest_per_key(df: DataFrame, keys: list[str], day: str = "snapshot_date") -> DataFrame:
@@ -47,7 +49,7 @@ def product_changes(
     """Rows new or changed against the previous capture; silent without one."""
     now = products.filter(F.col(day) == current).select(*keys, *values)
     prior_day = previous_day(products, day, current)
-    before = products.join(F.broadcast(prior_day), day, "left_semi").select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
+    before = products.filter(F.col(day) == prior_day.scalar()).select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
     guarded = with_scalar(now, prior_day.select(F.col(day).alias("_prior"))).filter("_prior IS NOT NULL")
     marked = before.withColumn("_seen", F.lit(True))
     joined = null_safe_join(guarded, marked, keys, "left")
@@ -62,7 +64,7 @@ def new_items(items: DataFrame, keys: list[str], current: str, day: str = "snaps
     """Items absent from the previous capture; none when nothing was captured before."""
     now = items.filter(F.col(day) == current)
     prior_day = previous_day(items, day, current)
-    before = items.join(F.broadcast(prior_day), day, "left_semi").select(*keys).distinct()
+    before = items.filter(F.col(day) == prior_day.scalar()).select(*keys).distinct()
     guarded = with_scalar(now, prior_day.select(F.col(day).alias("_prior"))).filter("_prior IS NOT NULL")
     return null_safe_join(guarded, before, keys, "left_anti").drop("_prior")
 
@@ -111,18 +113,20 @@ def vanished_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return null_safe_join(old.select(*keys).distinct(), new.select(*keys).distinct(), keys, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str] = (), fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str] = (), fill: list[str] = (), keep: list[str] = (), order: str | None = None) -> DataFrame:
     """Merge by key with one policy per column.
 
-    ``replace`` takes the incoming value whenever the key came in, ``fill`` keeps the
-    stored value unless it is NULL, ``keep`` never leaves the first one.  Repeats inside
-    ``new`` resolve to the greatest row, so a re-run gives the same table.
+    ``replace`` takes the last arrival whenever the key came in, ``fill`` keeps the stored
+    value unless it is NULL and then takes the first arrival that has one, ``keep`` never
+    leaves the first one.  ``order`` is the column of ``new`` that numbers arrivals; equal
+    numbers (or none given) resolve by the values, so a re-run gives the same table.
     """
     columns = [*replace, *fill, *keep]
-    both = old.select(*keys, *columns).withColumn("_new", F.lit(0)).unionByName(
-        new.select(*keys, *columns).withColumn("_new", F.lit(1))
+    stored, arrival = F.lit(None).cast(new.schema[order].dataType if order else "bigint"), F.col(order) if order else F.lit(0).cast("bigint")
+    both = old.select(*keys, *columns, F.struct(F.lit(0).alias("new"), stored.alias("at")).alias("_turn")).unionByName(
+        new.select(*keys, *columns, F.struct(F.lit(1).alias("new"), arrival.alias("at")).alias("_turn"))
     )
-    tie = F.struct("_new", *columns)
+    tie = F.struct("_turn", *columns)
     aggregates = [F.max_by(c, tie).alias(c) for c in replace]
     aggregates += [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), tie)).alias(c) for c in fill]
     aggregates += [F.min_by(c, tie).alias(c) for c in keep]

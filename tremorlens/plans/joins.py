@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many (narrow) rows.
-BROADCAST_ROWS = 100_000
+# A side is broadcast only when it is proven to hold at most so many rows and characters (as JSON).
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32 << 20
 SALTS = 16
 
 
@@ -20,6 +20,12 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """True when rows and their size are both proven to be within the bounds."""
+    size = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return size[0] <= rows and size[1] <= BROADCAST_CHARS
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
@@ -37,7 +43,7 @@ def skew_join(
     ``how`` must preserve ``big`` only: inner, left, left_semi or left_anti.
     NULL keys of ``big`` spread over the buckets like any other key.
     """
-    if at_most(small, rows):
+    if fits_broadcast(small, rows):
         return big.join(F.broadcast(small), on, how)
     bucket = F.pmod(F.xxhash64(*([spread] if spread is not None else big.columns)), F.lit(salts))
     left = big.withColumn("_bucket", bucket.cast("int"))

@@ -2,7 +2,7 @@
 
 A term is found in a text only if its anchor (its longest word) is one of the
 text's words, so the anchor is the join key and only multi-word or punctuated
-terms need a second look.  Texts without any anchor never leave their partition.
+terms need a second look.
 """
 
 from __future__ import annotations
@@ -11,13 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlens.functions.text import fold
-from tremorlens.plans.joins import at_most, skew_join
+from tremorlens.plans.joins import derived_join
 from tremorlens.plans.rows import unnest
 
-# Beyond so many terms the dictionary no longer travels in the plan.
-TERM_LIMIT = 20_000
-
-
 def words_of(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0))
 
@@ -44,26 +40,19 @@ def prepare_terms(terms: DataFrame, term: str = "term") -> DataFrame:
 def match_terms(
     texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term"
 ) -> DataFrame:
-    """``(key, <columns of terms>)`` for each term that occurs in the text.
+    """``(key, <columns of terms>)`` for each term that occurs in the text, once for each line that holds it.
 
-    ``terms`` holds folded terms.  While the dictionary is provably small its
-    anchors travel inside the plan and texts are filtered where they lie; a large
-    dictionary is joined on the exploded words instead.
+    ``terms`` holds folded terms of one line each.  Texts are cut into lines and those into distinct
+    words, which meet the anchors in one equi-join; how that runs (broadcast or shuffle, a hot word
+    split) is left to adaptive execution, and no text comes back for a second join.  Terms of several
+    words are looked up in the line that travels with the word.  A NULL or repeated key is just a value.
     """
     prepared = prepare_terms(terms, term)
-    anchors = prepared.select("_anchor").distinct()
-    source = texts.select(F.col(key), fold(F.col(text)).alias("_text"))
-    if at_most(prepared, TERM_LIMIT):
-        known = [r[0] for r in anchors.collect()] or [""]
-        hits = F.array_intersect(words_of(F.col("_text")), F.array(*[F.lit(a) for a in known]))
-        probes = unnest(source, [key, "_text"], hits, "_anchor")
-        pairs = probes.join(F.broadcast(prepared), "_anchor")
-    else:
-        probes = unnest(source, [key], F.array_distinct(words_of(F.col("_text"))), "_anchor")
-        found = skew_join(probes, prepared, ["_anchor"], spread=F.col(key))
-        pairs = found.join(source, key)
-    spelled = F.contains(F.col("_text"), F.col(term)) & F.regexp_like("_text", F.col("_pattern"))
-    return pairs.filter(F.col("_plain") | spelled).drop("_text", "_anchor", "_plain", "_pattern")
+    lines = unnest(texts, [key], F.split(fold(F.col(text)), "\n"), "_line")
+    probes = unnest(lines, [key, "_line"], F.array_distinct(words_of(F.col("_line"))), "_anchor")
+    pairs = derived_join(probes, prepared, ["_anchor"])
+    spelled = F.contains(F.col("_line"), F.col(term)) & F.regexp_like("_line", F.col("_pattern"))
+    return pairs.filter(F.col("_plain") | spelled).drop("_line", "_anchor", "_plain", "_pattern")
 
 
 def literal_terms(spark, rows: list[tuple], schema: str) -> DataFrame:
