@@ -292,7 +292,7 @@ def _packed(spark, d, kind: str):
     f"WITH {POINTS_SQL} SELECT CAST(id AS VARCHAR) AS id, lon, lat, grade FROM points WHERE (id // 50) % 3 <> 0",
 )
 def s13(spark, d):
-    found = archives.unpack(_packed(spark, d, "shapefile"), "shapefile", "BuildingDamage")
+    found, _ = archives.unpack(_packed(spark, d, "shapefile"), "shapefile", "BuildingDamage")
     identity = found.select("package_sha", "layer", "idx", F.col("properties")["ID"].alias("id"))
     return archives.vendor_points(found).join(identity, ["package_sha", "layer", "idx"]).select("id", "lon", "lat", "grade")
 
@@ -302,7 +302,7 @@ def s13(spark, d):
     f"WITH {POINTS_SQL} SELECT lon, lat, grade, 'UrbanP' AS layer, round((100.0::DOUBLE + id // 50) / 100, 2) AS area_km2 FROM points",
 )
 def s14(spark, d):
-    found = archives.unpack(_packed(spark, d, "geojson"), "geojson")
+    found, _ = archives.unpack(_packed(spark, d, "geojson"), "geojson")
     return archives.graded_points(found).join(archives.analysed_area(found), "package_sha", "left").select("lon", "lat", "grade", "layer", "area_km2")
 
 

@@ -283,3 +283,54 @@ def test_outlet_behind_aggregator(spark):
     assert one(spark, web.outlet(lit(None), lit("Google News"), lit(None), url)) is None
     assert one(spark, web.outlet(lit(None), lit("La Patria"), lit(None), lit("https://lapatria.example/x"))) == "La Patria"
     assert one(spark, web.title_suffix_outlet(lit("Sismo - El Tiempo"))) == "El Tiempo"
+
+
+# ---- archives ------------------------------------------------------------------------------
+def _shapefile(points, deleted=(), lone=()):
+    """Files of a layer of points; records in ``deleted`` are marked so, those in ``lone`` have no shape."""
+    import struct
+
+    shapes = b"".join(
+        struct.pack(">ii", n + 1, 2) + struct.pack("<i", 0) if n in lone else struct.pack(">ii", n + 1, 10) + struct.pack("<idd", 1, *p) for n, p in enumerate(points)
+    )
+    fields = [("Main_Dmg", 8), ("ID", 4)]
+    head = b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14 for n, w in fields)
+    records = b"".join((b"*" if n in deleted else b" ") + f"g{n}".encode().ljust(8) + str(n).encode().rjust(4) for n in range(len(points)))
+    table = b"\x03\0\0\0" + struct.pack("<IHH", len(points), 32 + len(head) + 1, 13) + b"\0" * 20 + head + b"\r" + records
+    return struct.pack(">i", 9994) + b"\0" * 96 + shapes, table
+
+
+def _zip(files):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, body in files.items():
+            z.writestr(name, body)
+    return buffer.getvalue()
+
+
+def test_deleted_records_and_bad_members(spark):
+    """A deleted or shapeless record leaves the others their own attributes; what cannot be read is told apart."""
+    points = [(float(i), -float(i)) for i in range(6)]
+    shp, dbf = _shapefile(points, deleted={1, 4}, lone={2})
+    plain, table = _shapefile(points)
+    good = _zip({"a/L.shp": shp, "a/L.dbf": dbf, "M.shp": plain, "M.dbf": table, "P.shp": plain, "P.dbf": table, "P.prj": "PROJCS[1]", "Q.shp": b"x" * 200, "Q.dbf": table, "R.shp": plain})
+    damaged = bytearray(_zip({"L.shp": shp, "L.dbf": dbf}))
+    damaged[40:60] = b"\xff" * 20
+    rows = [("ok", "1", good), ("bad", "2", b"no zip"), ("hurt", "3", bytes(damaged))]
+    features, problems = archives.unpack(spark.createDataFrame([(p, h, bytearray(c)) for p, h, c in rows], "path string, package_sha string, content binary"), "shapefile")
+    got = {(r["layer"], r["properties"]["ID"]): (r["lon"], r["lat"], r["properties"]["Main_Dmg"]) for r in features.collect()}
+    assert got == {("L", str(i)): (float(i), -float(i), f"g{i}") for i in (0, 3, 5)} | {("M", str(i)): (float(i), -float(i), f"g{i}") for i in range(6)}
+    told = {(r["path"], r["name"]): r["problem"] for r in problems.collect()}
+    assert told["ok", "P"] == "projected" and told["ok", "Q"] == "ValueError" and told["bad", None] == "BadZipFile" and ("hurt", "L.shp") in told and len(told) == 4
+
+
+def test_geojson_layers(spark):
+    layer = '{"features": [{"geometry": {"type": "Point", "coordinates": [1.5, 2]}, "properties": {"DAMAGE": "x", "n": 3, "e": null}}, {"geometry": null, "properties": {"AREA_HA": 10.5}}, {"geometry": {"type": "Polygon", "coordinates": [[[0, 1]]]}, "properties": {}}]}'
+    content = _zip({"v/A_UrbanP.geojson": layer, "v/B_broken.geojson": "{nothing", "v/C_empty.geojson": "{}"})
+    features, problems = archives.unpack(spark.createDataFrame([("p", "1", bytearray(content))], "path string, package_sha string, content binary"), "geojson")
+    got = sorted((r["layer"], r["idx"], r["geometry_type"], r["lon"], r["lat"], sorted(r["properties"].items())) for r in features.collect())
+    assert got == [("UrbanP", 0, "Point", 1.5, 2.0, [("DAMAGE", "x"), ("n", "3")]), ("UrbanP", 1, None, None, None, [("AREA_HA", "10.5")]), ("UrbanP", 2, "Polygon", None, None, [])]
+    assert [(r["name"], r["problem"]) for r in problems.collect()] == [("broken", "unreadable")]
