@@ -72,15 +72,17 @@ def fit(labels: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, float]:
     bias = float(np.log(rate / (1 - rate)))
     if labels.min() == labels.max():
         return np.zeros(size), bias
-    row, bucket = np.repeat(np.arange(n), [len(x) for x in held]), np.concatenate(held)
-    toxic, other = (np.bincount(bucket[labels[row] == k], minlength=size) for k in (1, 0))
+    toxic, other = np.zeros(size), np.zeros(size)
+    for label, bucket in zip(labels.tolist(), held, strict=True):
+        (toxic if label else other)[bucket] += 1
     ratio = np.log((toxic + 1) / (labels.sum() + 2)) - np.log((other + 1) / (n - labels.sum() + 2))
     ratio[(toxic + other < max(FEWEST, SHARE * n)) | (np.abs(ratio) < TELLING)] = 0
     used = np.flatnonzero(ratio)
     number = np.full(size, -1)
     number[used] = np.arange(len(used))
-    kept = number[bucket] >= 0
-    row, column, value = row[kept], number[bucket[kept]], ratio[bucket[kept]]
+    kept = [x[x >= 0] for x in (number[bucket] for bucket in held)]
+    row, column = np.repeat(np.arange(n), [len(x) for x in kept]), np.concatenate(kept)
+    value = ratio[used[column]]
     coefficient, share = np.zeros(len(used)), np.where(labels == 1, LEAN / labels.sum(), (1 - LEAN) / (n - labels.sum()))
     moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     bias = 0.0
