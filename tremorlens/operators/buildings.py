@@ -5,9 +5,8 @@ first unit, in creation order, that has no point of its source and some member
 closer than the threshold, else it opens a unit.  Visiting source by source turns
 each step into one serial dictatorship between the source's points and the open
 units, and that is a triangular system: what a point gets from a unit depends only
-on earlier points of that unit and on earlier units of that point.  It is solved
-here by repeating two running sums until nothing changes, so no group of points is
-ever gathered in one task.
+on earlier points of that unit and on earlier units of that point.  Tiles of the
+plane solve their part in order; only units on a border carry sums between tiles.
 
 Copies (same source, coordinate and grade) are one weighted node from the start, so
 the number of edges follows distinct places, not rows.
@@ -23,12 +22,9 @@ from tremorlens.plans.grid import near_keys, near_probes
 from tremorlens.plans.joins import at_most, derived_join, with_scalar
 from tremorlens.session import cut_lineage
 
-MAX_SOURCES = 64
 _PLANE = {"per_lat": M_PER_DEG_LAT, "per_lon": M_PER_DEG_LON}
-# Contested pairs that fit one ordinary partition need no exchange between the sums, so
-# more steps of them go into one written round.
-_ONE_PARTITION = 50_000
-_STEPS_APART, _STEPS_TOGETHER = 4, 10
+# Side of a tile in thresholds: contested pairs inside one are solved together.
+TILE = 512
 
 
 def grade_bucket(grade: Column) -> Column:
@@ -89,32 +85,71 @@ def _edges(units: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
     return pairs.groupBy("g", "u", "q").agg(F.first("cap").alias("cap"), F.first("n").alias("n"))
 
 
-def _allocate(edges: DataFrame) -> DataFrame:
-    """Solve ``x = min(n - earlier units of q, cap - earlier nodes of u)`` on the edges."""
-    by_q = Window.partitionBy("g", "q")
-    by_u = Window.partitionBy("g", "u")
-    before = (Window.unboundedPreceding, -1)
-    columns = ["g", "u", "q", "cap", "n"]
-    zero = F.lit(0).cast("bigint")
+_ORD = "struct<source:string,lon:double,lat:double,grade:string,at:bigint>"
+
+
+def _solve(edges: DataFrame) -> DataFrame:
+    """Serve the nodes of every tile in order: each takes from its units, in order, what is left.
+
+    ``outside`` is what earlier nodes of other tiles have taken from the unit.  Rows of a tile stream by in order; only the running
+    sums of its units are held.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        tile, node, taken, given = None, None, 0, {}
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            units, nodes = (list(zip(*(c.to_pylist() for c in columns[k].flatten()), strict=True)) for k in ("u", "q"))
+            tiles, rest = zip(columns["g"].to_pylist(), columns["ty"].to_pylist(), columns["tx"].to_pylist(), strict=True), [columns[k].to_pylist() for k in ("n", "cap", "outside")]
+            out = []
+            for here, u, q, n, cap, outside in zip(tiles, units, nodes, *rest, strict=True):
+                if here != tile:
+                    tile, node, given = here, None, {}
+                if q != node:
+                    node, taken = q, 0
+                x = max(0, min(n - taken, cap - outside - given.get(u, 0)))
+                taken += x
+                given[u] = given.get(u, 0) + x
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "x"])
+
+    kind = edges.schema["g"].dataType.simpleString()
+    ordered = edges.repartition("g", "ty", "tx").sortWithinPartitions("g", "ty", "tx", "q", "u")
+    return ordered.mapInArrow(run, f"g {kind}, u {_ORD}, q {_ORD}, cap bigint, n bigint, ty bigint, tx bigint, old bigint, outside bigint, x bigint")
+
+
+def _allocate(edges: DataFrame, metres: float) -> DataFrame:
+    """Solve ``x = min(n - earlier units of q, cap - earlier nodes of u)`` on the edges.
+
+    Edges that share neither node nor unit are settled at once.  The others are dealt by the node's tile, whose side is many times
+    the threshold; a tile is solved to its end in one pass.  What a unit gives to nodes of another tile comes in from the round
+    before, so rounds follow the tiles that a chain of contested pairs crosses, not its links, and tiles without such units take one.
+    """
+    by_q, by_u, by_tile = Window.partitionBy("g", "q"), Window.partitionBy("g", "u"), Window.partitionBy("g", "ty", "tx")
+    columns, zero = ["g", "u", "q", "cap", "n"], F.lit(0).cast("bigint")
     lone = (F.count("*").over(by_q) == 1) & (F.count("*").over(by_u) == 1)
-    counted = edges.select(*columns, lone.alias("lone")).withColumn("x", F.when(F.col("lone"), F.least("n", "cap")).otherwise(zero))
-    counted = cut_lineage(counted)
-    settled = counted.filter("lone").drop("lone")
-    state = counted.filter("NOT lone").drop("lone")
-    taken = F.coalesce(F.sum("x").over(by_q.orderBy("u").rowsBetween(*before)), zero)
-    given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
-    solved = F.greatest(F.least(F.col("n") - taken, F.col("cap") - given), zero).alias("x")
+    side = TILE * metres
+    tiles = [F.floor(F.col("q.lat") * M_PER_DEG_LAT / side).alias("ty"), F.floor(F.col("q.lon") * M_PER_DEG_LON / side).alias("tx")]
+    marked = edges.select(*columns, lone.alias("lone"), *tiles)
+    spans = F.struct(F.min(F.struct("ty", "tx")).over(by_u).alias("a"), F.max(F.struct("ty", "tx")).over(by_u).alias("b"))
+    marked = marked.withColumn("spans", spans).withColumn("open", F.max((F.col("spans.a") != F.col("spans.b")) & ~F.col("lone")).over(by_tile)).drop("spans")
+    marked = cut_lineage(marked)
+    settled = marked.filter("lone").select(*columns, F.least("n", "cap").alias("x"))
+    shared = marked.filter("NOT lone").select(*columns, "ty", "tx", zero.alias("old"), zero.alias("outside"), "open")
+    closed = _solve(shared.filter("NOT open").drop("open")).select(*columns, "x")
+    state = shared.filter("open").drop("open")
+    done = settled.unionByName(closed)
     if at_most(state, 0):
-        return settled
-    together = at_most(state, _ONE_PARTITION)
+        return done.filter("x > 0")
+    before = (Window.unboundedPreceding, -1)
     while True:
-        step = state.coalesce(1) if together else state
-        for _ in range(_STEPS_TOGETHER if together else _STEPS_APART):
-            step = step.select(*columns, solved, F.col("x").alias("old"))
-        step = cut_lineage(step)
-        state = step.drop("old")
+        step = cut_lineage(_solve(state))
         if at_most(step.filter("x <> old"), 0):
-            return settled.unionByName(state).filter("x > 0")
+            return done.unionByName(step.select(*columns, "x")).filter("x > 0")
+        all_given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
+        own_given = F.coalesce(F.sum("x").over(Window.partitionBy("g", "u", "ty", "tx").orderBy("q").rowsBetween(*before)), zero)
+        state = step.select(*columns, "ty", "tx", F.col("x").alias("old"), (all_given - own_given).alias("outside"))
 
 
 def _next_units(units: DataFrame, nodes: DataFrame, given: DataFrame) -> DataFrame:
@@ -143,18 +178,12 @@ def building_units(
 ) -> DataFrame:
     """Units as weighted rows ``(g, u, cap, members)``; ``cap`` is how many alike units."""
     nodes = cut_lineage(_nodes(points, group, source, lon, lat, grade))
-    names = [r[0] for r in nodes.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: {group} keys of one service belong in one source")
-    names.sort(key=lambda s: s.encode())
-    if not names:
-        return _open_units(nodes)
-    units = _open_units(nodes.filter(F.col("source") == names[0]))
-    for name in names[1:]:
+    units, name = None, nodes.agg(F.min("source")).first()[0]
+    while name is not None:
         arriving = nodes.filter(F.col("source") == name)
-        given = _allocate(_edges(units, arriving, metres))
-        units = cut_lineage(_next_units(units, arriving, given))
-    return units
+        units = _open_units(arriving) if units is None else cut_lineage(_next_units(units, arriving, _allocate(_edges(units, arriving, metres), metres)))
+        name = nodes.filter(F.col("source") > name).agg(F.min("source")).first()[0]
+    return _open_units(nodes) if units is None else units
 
 
 def unit_summary(units: DataFrame) -> DataFrame:
