@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tremorlens.llm.common import slices, texts_of
 
 #: n-gram lengths, hash buckets (as bits), and labelled rows of each label that the classifier is fitted on at most.
-SIZES, BITS, SAMPLE = (3, 4, 5), 18, 2000
+SIZES, BITS, SAMPLE = (3, 4, 5), 18, 1500
 #: An n-gram counts if at least this share of the sample (and ``FEWEST`` texts) hold it, and its log-count ratio is at least so large.
 SHARE, FEWEST, TELLING = 0.005, 6, 1.5
 #: Weight decay, steps of the fit, weight of toxic texts in it (the others have the rest), and the score from which a text is toxic.
@@ -126,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     rows = sample_of(docs, labels, id_column, text, limit).mapInArrow(work, "toxic int, buckets binary").collect()
     # one order whatever the tasks': the fit depends on it in its last digits
-    rows = sorted((r["toxic"], bytes(r["buckets"])) for r in rows)
-    return fit(np.array([r[0] for r in rows], dtype=np.int64), [np.frombuffer(r[1], dtype="<i4") for r in rows])
+    rows.sort(key=lambda r: (r["toxic"], r["buckets"]))
+    return fit(np.array([r["toxic"] for r in rows], dtype=np.int64), [np.frombuffer(r["buckets"], dtype="<i4") for r in rows])
 
 
 def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
