@@ -48,15 +48,27 @@ def test_top_k_of_little(spark):
     assert answers(topk.top_k(ragged, F.col("vec_id") % 3 == 0)) == {0: [(1, 4096), (1, 4096)]}
 
 
-def test_block_search_stops_early_and_is_exact():
-    rng = np.random.default_rng(0)
-    vectors = rng.integers(-30, 30, (3000, 32))
+@pytest.mark.parametrize("top", [30, 3, 10**5, 10**8, 3 * 10**8])
+def test_block_search_is_exact(top):
+    """Whatever the width of sums: narrow and wide floats, and integers beyond them."""
+    rng = np.random.default_rng(top)
+    vectors = rng.integers(-top, top, (3000, 32))
+    vectors[-40:] = vectors[:40]
     block = topk.Block(np.arange(3000), vectors)
-    for q in list(rng.integers(-30, 30, (20, 32))) + [np.zeros(32, dtype=np.int64)]:
-        at, score = block.best(q, None, 20)
+    queries = np.concatenate([rng.integers(-top, top, (20, 32)), np.zeros((1, 32), dtype=np.int64), vectors[:3]])
+    own = np.array([-1] * 21 + [0, 1, 2])
+    for q, i, (at, score) in zip(queries, own.tolist(), block.best(queries, own, 20), strict=True):
         exact = vectors @ q
-        order = np.lexsort((np.arange(3000), -exact))[:20]
-        assert at.tolist() == order.tolist() and score.tolist() == exact[order].tolist()
+        order = [j for j in np.lexsort((np.arange(3000), -exact)).tolist() if j != i][:20]
+        assert at.tolist() == order and score.tolist() == exact[order].tolist()
+
+
+def test_proof_leaves_few_to_score():
+    rng = np.random.default_rng(0)
+    vectors = np.floor(rng.normal(0, 8, (20000, 64))).astype(np.int64)
+    block = topk.Block(np.arange(20000), vectors)
+    block.best(vectors[:10], np.arange(10), 20)
+    assert min(digit for digit, _ in block.slices) > 0
 
 
 # ---- chat ----------------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Candidates are cut into blocks.  In a block every dimension has a posting list ordered by value,
-cut into segments by quantised value.  A query times a segment's value is the segment's impact;
-segments of all dimensions are processed by descending quantised impact and added to one
-accumulator for each candidate.  Once every segment whose impact is above a level is done, no candidate can gain
-more than that level from each dimension that it has not been seen in.  Processing stops only on
-proof: when that bound leaves as possible members only a part of the block, those are scored
-exactly, and every candidate whose bound reaches the k-th exact score is among them.
+Candidates are cut into blocks.  The impact of a candidate in a dimension is its integer value,
+quantised by binary digits: the posting segment (dimension, digit, sign) holds the candidates whose
+value has that digit, and all of it adds the same amount to a query's scores.  Segments are
+processed digit by digit, largest impact first, for all dimensions together (a segment is
+a column of a matrix of -1, 0 and 1, since about half of the candidates are in each).
+
+What lower digits can still add to a candidate is bounded by the norm of what is left of it times
+the query's norm.  Processing stops only on proof: the k-th best lower bound is a threshold, and when few
+candidates' upper bounds reach it, these possible members, and nobody else, are scored exactly.
 
 Queries and candidates meet block by block through a join on block numbers, each task holding one
 block of either; the best k of each block are merged by query.
@@ -21,56 +23,57 @@ from pyspark.sql import functions as F
 
 from tremorlens.llm.common import landed
 
-#: Candidates of a block, queries of a block, and levels of quantised impact.
-CANDIDATES, QUERIES, LEVELS = 1 << 16, 64, 6
+#: Candidates of a block, queries of a block, and queries processed together.
+CANDIDATES, QUERIES, TOGETHER = 1 << 16, 512, 64
 
 
 class Block:
-    """Impact-ordered posting lists of one block of integer vectors (one row each)."""
+    """Posting segments of one block of integer vectors (one row each), by digit of their impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.postings = [np.ascontiguousarray(order[:, d]) for d in range(vectors.shape[1])]
-        self.values = [vectors[p, d] for d, p in enumerate(self.postings)]
-
-    def best(self, query: np.ndarray, own: int | None, k: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k best candidates, ties to smaller ids; ``own`` takes no part."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        top = max((max(int(query[d]) * int(self.values[d][0]), int(query[d]) * int(self.values[d][-1])) for d in used.tolist()), default=0)
-        score, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        done = {d: (n, n) if query[d] > 0 else (0, 0) for d in used.tolist()}
-        skip = np.zeros(n, dtype=bool)
-        if own is not None:
-            skip |= self.ids == own
-        wanted = min(k, n - int(skip.sum()))
-        if wanted <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for step in range(levels, -1, -1):
-            level = top * step // (levels + 1)  # impacts above this are done after the step
-            for d in used.tolist():
-                q, values = int(query[d]), self.values[d]
-                if q > 0:  # values above level / q stand at the end of the list
-                    a, b = int(np.searchsorted(values, level // q, "right")), done[d][0]
-                    done[d] = (min(a, b), n)
-                else:  # values below level / q stand at its start
-                    a, b = done[d][1], int(np.searchsorted(values, -(level // -q), "left"))
-                    done[d] = (0, max(a, b))
-                if a < b:
-                    at = self.postings[d][a:b]
-                    score[at] += q * values[a:b]
-                    seen[at] += 1
-            bound = score + (len(used) - seen) * level
-            bound[skip] = -(1 << 62)
-            # exact scores of the most promising give a threshold; whoever cannot reach it is out
-            head = np.argpartition(-bound, wanted - 1)[:wanted]
-            least = int((self.vectors[head] @ query).min())
-            members = np.flatnonzero((bound >= least) & ~skip)
-            if len(members) <= max(4 * wanted, n // 8) or step == 0:
-                exact = self.vectors[members] @ query
+        self.size = np.abs(vectors)
+        self.digits = max(1, int(self.size.max(initial=0)).bit_length())
+        self.slices: dict = {}
+
+    def segments(self, digit: int, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of -1, 0 and 1 for one digit, and the norm of what lower digits hold of each candidate."""
+        if (digit, kind) not in self.slices:
+            sign = np.sign(self.vectors)
+            left = (self.size & ((1 << digit) - 1)).astype(np.float64)
+            self.slices[digit, kind] = ((sign * (self.size >> digit & 1)).astype(kind).T.copy(), np.sqrt((left * left).sum(axis=1)))
+        return self.slices[digit, kind]
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the positions and exact scores of its k best candidates, ties to smaller ids; those with id ``own`` take no part."""
+        n = len(self.ids)
+        largest = float(np.abs(queries).sum(axis=1).max(initial=0)) * float(self.size.max(initial=0))
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64  # sums are exact in it
+        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        score, open_ = np.zeros((len(queries), n), dtype=kind), np.arange(len(queries))
+        mine = self.ids[None, :] == own[:, None]
+        out: list = [None] * len(queries)
+        for digit in range(self.digits - 1, -1, -1):
+            columns, left = self.segments(digit, kind)
+            score[open_] += (queries[open_].astype(kind) @ columns) * kind(1 << digit)
+            going = []
+            for i in open_.tolist():
+                wanted = min(k, n - int(mine[i].sum()))
+                slack = left * (norms[i] * (1 + 1e-9)) + (1e-6 if digit else 0)
+                low = np.where(mine[i], -np.inf, score[i] - slack) if kind is not np.int64 or digit else np.where(mine[i], np.iinfo(np.int64).min, score[i])
+                least = np.partition(low, n - wanted)[n - wanted] if wanted else None
+                members = np.flatnonzero(score[i] + slack >= least) if digit and wanted else np.flatnonzero(score[i] >= least) if wanted else np.zeros(0, dtype=np.int64)
+                members = members[~mine[i][members]]
+                if digit and len(members) > max(4 * wanted, n // 16):
+                    going.append(i)
+                    continue
+                exact = self.vectors[members] @ queries[i]
                 order = np.lexsort((self.ids[members], -exact))[:wanted]
-                return members[order], exact[order]
-        raise AssertionError("the last level always returns")
+                out[i] = (members[order], exact[order])
+            open_ = np.array(going, dtype=np.int64)
+            if not len(open_):
+                return out
+        raise AssertionError("the last digit leaves nothing open")
 
 
 def top_k(
@@ -111,11 +114,11 @@ def top_k(
         out: list = [[], [], []]
         if len(ids) and len(mine):
             block = Block(ids, rows)
-            for i, q in zip(mine.tolist(), sought, strict=True):
-                at, score = block.best(q, i, k)
-                out[0] += [i] * len(at)
-                out[1] += ids[at].tolist()
-                out[2] += score.tolist()
+            for a in range(0, len(mine), TOGETHER):
+                for i, (at, score) in zip(mine[a : a + TOGETHER].tolist(), block.best(sought[a : a + TOGETHER], mine[a : a + TOGETHER], k), strict=True):
+                    out[0] += [i] * len(at)
+                    out[1] += ids[at].tolist()
+                    out[2] += score.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "id", "score"])
 
     def by_pair(batches):
