@@ -11,7 +11,7 @@ from tremorlens.streaming import jobs
 
 def _stream(spark, d):
     """The events table as a file stream."""
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return jobs.file_stream(spark, table(spark, d, "events").schema, f"{d}/events.parquet*")
 
 
 @query(
@@ -40,7 +40,7 @@ def t03(spark, d):
     parts = F.concat_ws("|", *[F.lpad((F.col(f"rank_key.{c}") + 10**16).cast("string"), 18, "0") for c in ("regress", "no_anchor", "incoherent", "source", "live", "national", "filled", "recency", "item_id")])
     rows.select("event_key", "metric", F.col("day").cast("string").alias("day"), parts.alias("rank"), "value", "outlet").write.parquet(path)
     schema = "event_key string, metric string, day string, rank string, value bigint, outlet string"
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = jobs.file_stream(spark, schema, path)
     return jobs.run_once(jobs.running_maximum(stream), scratch(spark, "t03"))
 
 

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tremorlens.operators import buildings
 
 SCHEMA = "place string, source string, lon double, lat double, grade string"
@@ -86,3 +88,30 @@ def test_copies_of_one_point_stay_one_node(spark):
     assert units.count() == 2
     row = buildings.unit_summary(units).first()
     assert (row["units"], row["agreements"], row["single_source"]) == (3000, 2000, 1000)
+
+
+def _units_of_a_street(spark, links):
+    """Two services map a street; each house of one stands between two of the other: one chain of contested pairs."""
+    step = 15 / 111_320
+    rows = [("p", "a", 2 * k * step, 0.0, "x") for k in range(links // 2)] + [("p", "b", (2 * k + 1) * step, 0.0, "x") for k in range(links // 2)]
+    df = spark.createDataFrame(rows, "place string, source string, lon double, lat double, grade string")
+    return buildings.building_units(df, "place", "source", "lon", "lat", "grade", 20.0)
+
+
+def test_rounds_do_not_follow_the_length_of_a_chain(spark, monkeypatch):
+    rounds = []
+    cut = buildings.cut_lineage
+    monkeypatch.setattr(buildings, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    needed = []
+    for links in (160, 1600):
+        rounds.clear()
+        units = _units_of_a_street(spark, links).agg(F.sum("cap")).first()[0]
+        assert units == links // 2
+        needed.append(len(rounds))
+    assert needed[1] <= needed[0] + 6
+
+
+def test_small_tiles_give_the_same(spark, monkeypatch):
+    want = sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect()))
+    monkeypatch.setattr(buildings, "TILE", 3)
+    assert sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect())) == want

@@ -71,13 +71,18 @@ def public_index(index: DataFrame) -> DataFrame:
     return index.filter("exists_public")
 
 
-def missing_codes(codes: DataFrame, keys: list[str], number: str) -> DataFrame:
+def missing_codes(codes: DataFrame, keys: list[str], number: str, span: int = 4096) -> DataFrame:
     """Runs of absent numbers between known ones, with their length.
 
-    Each gap is read off two neighbours, so nothing enumerates the whole range.
+    Each gap is read off two neighbours, so nothing enumerates the whole range.  Neighbours are
+    found inside spans of the range first, and then between the ends of spans, so that a key with
+    very many numbers is never sorted in one piece.
     """
-    order = Window.partitionBy(*keys).orderBy(number)
-    pairs = codes.select(*keys, number).distinct().withColumn("_next", F.lead(number).over(order))
+    known = codes.select(*keys, number).distinct().withColumn("_span", F.floor(F.col(number) / span))
+    inside = known.withColumn("_next", F.lead(number).over(Window.partitionBy(*keys, "_span").orderBy(number)))
+    ends = known.groupBy(*keys, "_span").agg(F.max(number).alias(number), F.min(number).alias("_first"))
+    between = ends.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_span"))).select(*keys, number, "_next")
+    pairs = inside.select(*keys, number, "_next").unionByName(between)
     return pairs.filter(F.col("_next") - F.col(number) > 1).select(
         *keys, (F.col(number) + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"),
         (F.col("_next") - F.col(number) - 1).alias("run_length"),

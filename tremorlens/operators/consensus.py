@@ -128,33 +128,28 @@ def _contenders(long: DataFrame) -> DataFrame:
 
 def accepted_values(long: DataFrame, ceiling: int = JUMP_CEILING) -> DataFrame:
     """The accepted changes ``(event_key, metric, day, value, outlet, url, rank_key)``."""
-    per_metric = _contenders(long).groupBy("event_key", "metric").agg(
-        F.sort_array(F.collect_list(F.struct("day", "c", "value"))).alias("steps")
-    )
-    dtype = per_metric.schema["steps"].dataType.elementType.simpleString()
-    day_type = long.schema["day"].dataType.simpleString()
-    nothing = F.lit(None).cast("bigint")
-    start = F.struct(
-        nothing.alias("value"), nothing.alias("base"), F.lit(None).cast(day_type).alias("day"),
-        F.lit(False).alias("taken"), F.array().cast(f"array<{dtype}>").alias("trail"),
-    )
-
-    def visit(acc: Column, x: Column) -> Column:
-        same_day = acc["day"].eqNullSafe(x["day"])
-        base = F.when(same_day, acc["base"]).otherwise(acc["value"])
-        taken = F.when(same_day, acc["taken"]).otherwise(F.lit(False))
-        fits = base.isNull() | ((x["value"] > base) & ((base <= 0) | (x["value"] <= base * ceiling)))
-        accept = ~taken & F.coalesce(fits, F.lit(True))
-        return F.struct(
-            F.when(accept, x["value"]).otherwise(acc["value"]).alias("value"), base.alias("base"), x["day"].alias("day"),
-            (taken | accept).alias("taken"),
-            F.when(accept, F.concat(acc["trail"], F.array(x))).otherwise(acc["trail"]).alias("trail"),
-        )
-
-    trail = per_metric.select("event_key", "metric", F.explode(F.aggregate("steps", start, visit)["trail"]).alias("t"))
-    return trail.select(
-        "event_key", "metric", F.col("t.day").alias("day"), F.col("t.value").alias("value"),
-        F.col("t.c.outlet").alias("outlet"), F.col("t.c.url").alias("url"), F.col("t.c.rank_key").alias("rank_key"),
+    import pyarrow as pa
+
+    def run(batches):
+        """Rows of a figure stream by in order; only the value in force and today's state are held."""
+        figure, day, value, base, taken = None, None, None, None, False
+        for batch in batches:
+            kept = []
+            for here, when, new in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if here != figure:
+                    figure, day, value, base, taken = here, None, None, None, False
+                if when != day:
+                    day, base, taken = when, value, False
+                accept = not taken and (base is None or (new > base and (base <= 0 or new <= base * ceiling)))
+                if accept:
+                    value, taken = new, True
+                kept.append(accept)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    steps = _contenders(long).select("event_key", "metric", "day", "value", "c")
+    ordered = steps.repartition("event_key", "metric").sortWithinPartitions("event_key", "metric", "day", "c", "value")
+    return ordered.mapInArrow(run, steps.schema).select(
+        "event_key", "metric", "day", "value", F.col("c.outlet").alias("outlet"), F.col("c.url").alias("url"), F.col("c.rank_key").alias("rank_key")
     )
 
 

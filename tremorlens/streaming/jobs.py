@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,8 +41,10 @@ def running_maximum(captures: DataFrame, ceiling: int = JUMP_CEILING) -> DataFra
     """Provisional consolidated figure per (event_key, metric).
 
     ``captures``: event_key, metric, day (text), rank (text, lower is better), value,
-    outlet.  Emits each accepted change.  A late capture cannot rewrite history here;
-    the daily batch series is the reference.
+    outlet.  Emits each accepted change.  Arrivals are folded frame by frame, inside a frame
+    by day and rank; a capture of a day before the current one is too late and changes nothing,
+    and of one day's captures in several frames the first acceptable one stays.  The daily
+    batch series is the reference.
     """
     import pandas as pd
 
@@ -55,19 +57,19 @@ def running_maximum(captures: DataFrame, ceiling: int = JUMP_CEILING) -> DataFra
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, base, current, taken = state.get if state.exists else (None, None, "", False)
-        rows = pd.concat(list(frames)).sort_values(["day", "rank"])
-        out = []
-        for row in rows.itertuples(index=False):
-            if row.day < current:
-                continue
-            if row.day != current:
-                base, current, taken = value, row.day, False
-            if taken or (base is not None and (row.value <= base or (base > 0 and row.value > base * ceiling))):
-                continue
-            value, taken = int(row.value), True
-            out.append((*key, row.day, value, row.outlet))
+        for frame in frames:
+            out = []
+            for row in frame.sort_values(["day", "rank"]).itertuples(index=False):
+                if row.day < current:
+                    continue
+                if row.day != current:
+                    base, current, taken = value, row.day, False
+                if taken or (base is not None and (row.value <= base or (base > 0 and row.value > base * ceiling))):
+                    continue
+                value, taken = int(row.value), True
+                out.append((*key, row.day, value, row.outlet))
+            yield pd.DataFrame(out, columns=[*keys, "day", "value", "outlet"])
         state.update((value, base, current, taken))
-        yield pd.DataFrame(out, columns=[*keys, "day", "value", "outlet"])
 
     combined = _combiner(best_rank_per_value, schema, captures.select(*columns))
     return combined.groupBy(*keys).applyInPandasWithState(
@@ -101,6 +103,11 @@ def silent_sources(events: DataFrame, source: str, ts: str, hours: int = 48, lat
     )
 
 
+def file_stream(spark: SparkSession, schema, path: str, files: int = 100) -> DataFrame:
+    """Parquet files as a stream, oldest first, so many to a batch that a backlog does not come as one."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append", on: Column | None = None) -> DataFrame:
     """Process what is there and read the result back from the shared folder."""
     out, log = f"{folder}/rows", f"{folder}/log"
