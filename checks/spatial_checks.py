@@ -10,10 +10,17 @@ from checks.base import (
 from tremorlens.functions import geo
 from tremorlens.operators import buildings, spatial
 
-METRES = 4000.0
+METRES = 20.0
+# The points of a town: the same layout two hundred times smaller, so that the operator's own threshold fits it.
+SHRINK = 200
+TOWN_SQL = POINTS_SQL.replace("CAST(embedding[1] AS DOUBLE) AS lon", f"CAST(embedding[1] AS DOUBLE) / {SHRINK} AS lon").replace("CAST(embedding[2] AS DOUBLE) AS lat", f"CAST(embedding[2] AS DOUBLE) / {SHRINK} AS lat")
 KM = 25.0
 
 
+def town(spark, d):
+    return points(spark, d).withColumns({c: F.col(c) / SHRINK for c in ("lon", "lat")})
+
+
 @query("P13", f"WITH {POINTS_SQL} SELECT id, round(lon, 3) + 0.0::DOUBLE AS lon_pub, round(lat, 3) + 0.0::DOUBLE AS lat_pub FROM points")
 def p13(spark, d):
     return points(spark, d).select(
@@ -140,19 +147,19 @@ unit AS (SELECT place, len(list_distinct(list_transform(m, lambda q: q.s))) AS s
 solved AS (SELECT place, count(*) AS units, count(*) FILTER (services > 1) AS agreements, count(*) FILTER (services > 1 AND grades > 1) AS grade_disagreements, count(*) FILTER (services = 1) AS single_source FROM unit GROUP BY place)"""
 
 
-@query("J18", f"WITH {POINTS_SQL}, located AS (SELECT * FROM points), {UNITS_SQL} SELECT place AS group_key, units, agreements, grade_disagreements, single_source FROM solved")
+@query("J18", f"WITH {TOWN_SQL}, located AS (SELECT * FROM points), {UNITS_SQL} SELECT place AS group_key, units, agreements, grade_disagreements, single_source FROM solved")
 def j18(spark, d):
-    units = buildings.building_units(points(spark, d), "place", "source", "lon", "lat", "grade", METRES)
+    units = buildings.building_units(town(spark, d), "place", "source", "lon", "lat", "grade", METRES)
     return buildings.unit_summary(units)
 
 
 @query(
     "J18_pairs",
-    f"""WITH {POINTS_SQL} SELECT DISTINCT a.place, a.lon AS lon, a.lat AS lat, b.lon AS other_lon, b.lat AS other_lat
+    f"""WITH {TOWN_SQL} SELECT DISTINCT a.place, a.lon AS lon, a.lat AS lat, b.lon AS other_lon, b.lat AS other_lat
     FROM points a JOIN points b ON a.place IS NOT DISTINCT FROM b.place AND a.source = 's0' AND b.source <> 's0' WHERE {_edge_sql(METRES)}""",
 )
 def j18_pairs(spark, d):
-    nodes = buildings._nodes(points(spark, d), "place", "source", "lon", "lat", "grade")
+    nodes = buildings._nodes(town(spark, d), "place", "source", "lon", "lat", "grade")
     first = buildings._open_units(nodes.filter("source = 's0'"))
     edges = buildings._edges(first, nodes.filter("source <> 's0'"), METRES)
     return edges.select(
@@ -166,7 +173,7 @@ def _draws() -> str:
 
 @query(
     "J19",
-    f"""WITH {POINTS_SQL}, draws(i, u, v) AS (VALUES {_draws()}),
+    f"""WITH {TOWN_SQL}, draws(i, u, v) AS (VALUES {_draws()}),
     b AS (SELECT place, min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1, min(source) AS target, max(source) AS other FROM points GROUP BY place),
     t AS (SELECT place, i, x0 + (x1 - x0) * u AS lon, y0 + (y1 - y0) * v AS lat, target FROM b, draws WHERE target <> other),
     h AS (SELECT a.place, count(DISTINCT a.i) AS n FROM t a JOIN points b ON a.place IS NOT DISTINCT FROM b.place AND b.source = a.target
@@ -174,7 +181,7 @@ def _draws() -> str:
     SELECT b.place, b.target, round(100.0::DOUBLE * coalesce(h.n, 0) / 500, 1) AS chance_pct FROM b LEFT JOIN h ON h.place = b.place""",
 )
 def j19(spark, d):
-    return spatial.chance_rate(points(spark, d), "place", "source", "lon", "lat", METRES)
+    return spatial.chance_rate(town(spark, d), "place", "source", "lon", "lat", METRES)
 
 
 @query(
@@ -194,14 +201,14 @@ def u06(spark, d):
 
 @query(
     "A07",
-    f"""WITH {POINTS_SQL}, stacked AS (SELECT * FROM points WHERE grade <> 'Not Applicable'), located AS (SELECT * FROM stacked WHERE place IS NOT NULL), {UNITS_SQL},
+    f"""WITH {TOWN_SQL}, stacked AS (SELECT * FROM points WHERE grade <> 'Not Applicable'), located AS (SELECT * FROM stacked WHERE place IS NOT NULL), {UNITS_SQL},
     r AS (SELECT place, count(*) AS points, count(DISTINCT source) AS sources FROM located GROUP BY place),
     f AS (SELECT r.*, units, agreements, grade_disagreements FROM r JOIN solved USING (place))
     SELECT place, points, sources, units, agreements, grade_disagreements, CAST(NULL AS BIGINT) AS without_place FROM f UNION ALL
     SELECT NULL, CAST(sum(points) AS BIGINT), max(sources), CAST(sum(units) AS BIGINT), CAST(sum(agreements) AS BIGINT), CAST(sum(grade_disagreements) AS BIGINT), (SELECT count(*) FROM stacked WHERE place IS NULL) FROM f""",
 )
 def a07(spark, d):
-    p = points(spark, d)
+    p = town(spark, d)
     stacked = buildings.stack_layers({s: p.filter(F.col("source") == s) for s in ("s0", "s1", "s2")})
     located = stacked.filter("place IS NOT NULL")
     units = buildings.building_units(located, "place", "source", "lon", "lat", "grade", METRES)
