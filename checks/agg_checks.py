@@ -301,7 +301,7 @@ def a20(spark, d):
     reports = p.filter("place IS NOT NULL").select("place", (F.col("id") % 2 == 0).alias("has_media"))
     news = table(spark, d, "orders").select(F.concat(F.lit("P"), "o_orderstatus").alias("place"), F.col("o_orderpriority").alias("outlet"))
     spots = p.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("spot"), "lon", "lat")
-    near = spatial.within_radius(spots, "spot", "lon", "lat", centres(spark, d), "place", "plon", "plat", 90.0).select(
+    near = spatial.nearest_within(spots, "spot", "lon", "lat", centres(spark, d), "place", "plon", "plat", 90.0).select(
         F.col("spot").alias("place"), F.col("place").alias("zone"), "km"
     )
     return coverage.place_profile(daily, reports, news, near).withColumn("nearest_km", F.round("nearest_km", 6))

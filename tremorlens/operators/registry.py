@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlens.functions.numbers import rate_pct
-from tremorlens.plans.joins import derived_join, skew_join
+from tremorlens.plans.joins import skew_join
 
 
 def registry_series(daily: DataFrame, rebuilt: DataFrame | None = None) -> DataFrame:
@@ -22,11 +22,11 @@ def registry_series(daily: DataFrame, rebuilt: DataFrame | None = None) -> DataF
 
 def registry_detail(daily: DataFrame, series: DataFrame, population: DataFrame) -> DataFrame:
     """Rows of the last day against the previous captured day, with rate and new flag."""
-    days = series.groupBy("event_key").agg(F.max("day").alias("last"))
-    prior = derived_join(series, days, ["event_key"]).filter(F.col("day") < F.col("last")).groupBy("event_key").agg(
-        F.max("day").alias("prior")
+    # one row per event; a day is one value however many rows it has
+    days = series.groupBy("event_key").agg(F.slice(F.sort_array(F.collect_set("day"), False), 1, 2).alias("_d")).select(
+        "event_key", F.get("_d", F.lit(0)).alias("last"), F.get("_d", F.lit(1)).alias("prior")
     )
-    rows = derived_join(daily, days.join(prior, "event_key", "left"), ["event_key"])
+    rows = skew_join(daily, days, ["event_key"]).filter(F.col("day").isin(F.col("last"), F.col("prior")))
     now = rows.filter(F.col("day") == F.col("last"))
     keys = ["event_key", "department", "municipality"]
     before = rows.filter(F.col("day") == F.col("prior")).select(*keys, F.col("families").alias("_before"), F.lit(True).alias("_had"))
@@ -98,7 +98,7 @@ def timeline(marks: DataFrame, captures: DataFrame, registry: DataFrame, volume:
     first_report = captures.groupBy("event_key").agg(F.min("day").alias("day")).withColumn("kind", F.lit("first_report"))
     first_registry = registry.groupBy("event_key").agg(F.min("day").alias("day")).withColumn("kind", F.lit("first_registry"))
     last = volume.groupBy("event_key").agg(F.max(F.when(F.col("value").isNotNull(), F.col("day"))).alias("_last"))
-    purge = derived_join(volume, last, ["event_key"]).filter(F.col("day") > F.col("_last")).groupBy("event_key").agg(
+    purge = skew_join(volume, last, ["event_key"]).filter(F.col("day") > F.col("_last")).groupBy("event_key").agg(
         F.min("day").alias("day")
     ).withColumn("kind", F.lit("series_stopped"))
     columns = ["event_key", "day", "kind"]

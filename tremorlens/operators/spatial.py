@@ -13,6 +13,7 @@ from tremorlens.functions.geo import (
 )
 from tremorlens.plans.grid import box_keys, box_level, near_keys, near_probes, point_keys
 from tremorlens.plans.joins import BROADCAST_ROWS, derived_join, skew_join
+from tremorlens.session import cut_lineage
 
 # Metres per degree on the 6371 km sphere, for grids that serve haversine distances.
 SPHERE_M_PER_DEG = 111194.0
@@ -112,6 +113,26 @@ def within_radius(
     return pairs.filter(F.col("km") < radius_km)
 
 
+def nearest_within(
+    points: DataFrame, key: str, lon: str, lat: str, places: DataFrame, place: str, place_lon: str,
+    place_lat: str, radius_km: float, rings: int = 4,
+) -> DataFrame:
+    """``(key, place, km)`` of the nearest place closer than the radius.
+
+    The radius doubles from ring to ring, and only points that found nothing go on: a point
+    meets the places around it, not all that the full radius holds.
+    """
+    left, out = points.select(key, lon, lat), None
+    for ring in range(rings - 1, -1, -1):
+        pairs = within_radius(left, key, lon, lat, places, place, place_lon, place_lat, radius_km / 2**ring)
+        best = pairs.groupBy(key).agg(F.min(F.struct("km", place)).alias("_best")).select(key, f"_best.{place}", "_best.km")
+        found = cut_lineage(best)
+        out = found if out is None else out.unionByName(found)
+        if ring:
+            left = left.join(found.select(key), key, "left_anti")
+    return out
+
+
 def grid_cells(header: DataFrame, keys: list[str]) -> DataFrame:
     """One row per cell of a regular grid stored row by row (y outer, x inner)."""
     cells = header.select(*keys, "nx", F.posexplode("values").alias("_i", "value"))
