@@ -7,6 +7,8 @@ terms need a second look.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +39,42 @@ def prepare_terms(terms: DataFrame, term: str = "term") -> DataFrame:
     )
 
 
+# Bits of the mask of anchor hashes: fixed, whatever the dictionary holds.
+MASK_BITS = 1 << 16
+
+
+def _may_be_anchor(prepared: DataFrame) -> Callable[[Column], Column]:
+    """A test that every anchor passes and few other words do while the dictionary is small.
+
+    The hashes of the anchors set bits of a mask of fixed size, which travels in the plan; a very large dictionary fills it,
+    and then all words pass.
+    """
+    place = F.pmod(F.xxhash64("_anchor"), F.lit(MASK_BITS)).cast("int")
+    mask = [0] * (MASK_BITS // 32)
+    for (bit,) in prepared.select(place).distinct().collect():  # at most MASK_BITS rows
+        mask[bit // 32] |= 1 << bit % 32
+    held = F.expr(f"array({', '.join(f'{m}L' for m in mask)})")
+
+    def test(word: Column) -> Column:
+        bit = F.pmod(F.xxhash64(word), F.lit(MASK_BITS)).cast("int")
+        return F.getbit(F.get(held, F.shiftright(bit, 5)), bit.bitwiseAND(31)) == 1
+
+    return test
+
+
 def match_terms(
     texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term"
 ) -> DataFrame:
     """``(key, <columns of terms>)`` for each term that occurs in the text, once for each line that holds it.
 
     ``terms`` holds folded terms of one line each.  Texts are cut into lines and those into distinct
-    words, which meet the anchors in one equi-join; how that runs (broadcast or shuffle, a hot word
+    words; those that a mask of fixed size cannot rule out meet the anchors in one equi-join; how that runs (broadcast or shuffle, a hot word
     split) is left to adaptive execution, and no text comes back for a second join.  Terms of several
     words are looked up in the line that travels with the word.  A NULL or repeated key is just a value.
     """
     prepared = prepare_terms(terms, term)
     lines = unnest(texts, [key], F.split(fold(F.col(text)), "\n"), "_line")
-    probes = unnest(lines, [key, "_line"], F.array_distinct(words_of(F.col("_line"))), "_anchor")
+    probes = unnest(lines, [key, "_line"], F.array_distinct(F.filter(words_of(F.col("_line")), _may_be_anchor(prepared))), "_anchor")
     pairs = derived_join(probes, prepared, ["_anchor"])
     spelled = F.contains(F.col("_line"), F.col(term)) & F.regexp_like("_line", F.col("_pattern"))
     return pairs.filter(F.col("_plain") | spelled).drop("_line", "_anchor", "_plain", "_pattern")
