@@ -36,16 +36,26 @@ def named(row_id: Column) -> Column:
     return F.coalesce(row_id.cast("string"), F.lit("null"))
 
 
+def text_digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest id (one of its rows, if rows repeat)."""
     kept = exact_dedup.classes(docs).filter("kept").select(F.concat_ws(" ", named(F.col("doc_id")), "text_sha256").alias("k"))
-    return staying(docs, F.concat_ws(" ", named(F.col("doc_id")), F.sha2(F.coalesce("text", F.lit("")), 256)), kept)
+    return staying(docs, F.concat_ws(" ", named(F.col("doc_id")), text_digest()), kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest id (one of its rows, if an id repeats)."""
-    kept = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named(F.col("doc_id")).alias("k"))
-    return staying(docs, named(F.col("doc_id")), kept)
+    """One document of each component of near-duplicates: the one with the smallest id (a null id comes last), then the smallest text digest.
+
+    Rows are told apart by id and text, so texts that share an id, or have none, stand for themselves; of rows that repeat both, one stays.
+    """
+    # The smallest key of a component names it: it is held by this component alone, which an id is not.
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("named"), text_digest().alias("digest"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    kept = found.filter(F.col("key") == F.col("component_id")).select(F.concat_ws(" ", named(F.col("key.named")), "key.digest").alias("k"))
+    return staying(docs, F.concat_ws(" ", named(F.col("doc_id")), text_digest()), kept)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

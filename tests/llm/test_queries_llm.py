@@ -66,6 +66,17 @@ def test_near_copies_go_and_one_stays(spark, make):
     assert sorted(r["doc_id"] for r in stage(spark, docs, "near_dedup").collect()) == [0, 3, 4]
 
 
+def test_near_stage_tells_null_and_shared_ids_apart(spark):
+    """Unlike texts without ids all stay; of an id with a near copy and a text of its own, the text of its own stays in every run."""
+    unlike = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(12)]
+    words = [f"word{i}" for i in range(400)]
+    original, copy = " ".join(words), " ".join([*words[:-1], "end"])
+    rows = [(None, t) for t in unlike] + [(1, original), (7, copy), (7, "a text of its own that nobody else has"), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in stage(spark, docs, "near_dedup").collect())
+    assert got == sorted([(True, 0, t) for t in unlike] + [(False, 1, original), (False, 7, "a text of its own that nobody else has")])
+
+
 def test_secrets_are_hidden_and_documents_stay(spark, make):
     docs = make(["token = abcdefgh1 rest", "clean text", None])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stage(spark, docs, "secrets").collect()}
