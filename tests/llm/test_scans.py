@@ -49,6 +49,26 @@ def test_rules_and_added_spans(make, secret_texts):
     assert len(got) == len(secret_texts) and added >= 38
 
 
+def test_secrets_in_assignments_and_addresses_are_found(make):
+    """A key after '=', with padding, in a path, behind a prefix; a text of names and values without keys has none."""
+    rng = random.Random(5)
+    base62, base64, url = (secret_scan.ENCODINGS[k][0] for k in ("base62", "base64", "url"))
+    forms = [
+        ("AWS_SECRET_ACCESS_KEY=%s", base64), ("private_key=%s==", base64), ("credential=%s&next=1", base62), ("https://host.org/a?sig=%s", url),
+        ("https://host.org/v1/Ab-c_/%s/end", url), ("prefix_%s rest", base64), ("a/b-c_%s", base62),
+    ]
+    keys = [(form, drawn(rng, letters, 64)) for form, letters in forms for _ in range(12)]
+    plain = ["name=value&other=some/long-path_of/words-only AWS_DEFAULT_REGION_NAME=eu-central-1"] * 20
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(make([form % key for form, key in keys] + plain), ["doc_id"]).select("row.doc_id", "spans").collect()}
+    found = dict.fromkeys((form for form, _ in forms), 0)
+    for k, (form, key) in enumerate(keys):
+        at = form.index("%s")
+        # a wider span is right too: letters before the key fit its alphabet
+        found[form] += any(s["kind"] == "random" and s["start"] <= at and s["end"] >= at + len(key) for s in got[k])
+    assert min(found.values()) >= 10, found
+    assert not any(got[k] for k in range(len(keys), len(keys) + len(plain)))
+
+
 def test_battery_accepts_uniform_draws_and_rejects_patterns():
     rng = random.Random(9)
     for name in ("hex", "base62", "base64"):

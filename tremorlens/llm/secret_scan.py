@@ -1,7 +1,7 @@
 """Secrets: fixed rules, and a battery of randomness tests with length-aware control of false discoveries.
 
 Rules find assignments, access keys and long hexadecimal runs.  Beyond them, every run of key
-characters is a candidate.  Its encoding is inferred from the characters it uses, and three tests ask whether it
+characters is a candidate, and so is every long part of it between separators.  Its encoding is inferred from the characters it uses, and three tests ask whether it
 looks drawn uniformly from that alphabet: chi-squared uniformity of symbols, the number of runs
 above and below the middle of the alphabet, and the serial correlation of neighbours.  Their p-values are combined (Fisher); a
 candidate that the battery rejects is not random and is dropped.
@@ -37,7 +37,10 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: Runs end at '=', which is padding or stands between a name and its value; parts of a run lie between separators that its
+#: own encoding does not use: a path around a url-safe key, a prefix before a base64 one, or either around letters and digits.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST)
+PARTS = [re.compile("[A-Za-z0-9%s]{%d,}" % (inner, LEAST)) for inner in ("_-", "+/", "")]
 
 # Alphabets in their own order, and by how much natural words repeat symbols of each beyond chance
 # (index of coincidence times symbols, less one: 0.065 for single letters).
@@ -129,13 +132,20 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """Runs that the battery does not reject and no rule covers: start, end, stratum, bin of the p-value against words."""
+    """Runs, and their parts, that the battery does not reject and no rule covers: start, end, stratum, bin of the p-value against words.
+
+    Parts are tested beside their run, as words around a key may pass or fail with it; what lies in an accepted span is left out later.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m.group().rstrip("=")
-        name = encoding_of(token) if len(token) >= LEAST else None
-        if name and not any(a <= m.start() and m.end() <= b for a, _, b in taken) and fisher(battery(token, name)) >= REJECT:
-            out.append((m.start(), m.start() + len(token), stratum(name, len(token)), bin_of(like_words(token, name))))
+        places = {m.span(): None}
+        if not m.group().isalnum():
+            places |= {part.span(): None for cut in PARTS for part in cut.finditer(text, *m.span())}
+        for start, end in places:
+            token = text[start:end]
+            name = encoding_of(token)
+            if name and not any(a <= start and end <= b for a, _, b in taken) and fisher(battery(token, name)) >= REJECT:
+                out.append((start, end, stratum(name, len(token)), bin_of(like_words(token, name))))
     return out
 
 
@@ -156,7 +166,7 @@ def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text
     """Spans of secrets in every whole text: row (a struct of ``columns`` of ``docs``, all if not given) and spans (start, rank, kind, end).
 
     Spans are ordered by start, then kind; places count code points, ends are exclusive.  Rules' spans are always there; tested ones
-    are added where no rule's span covers them.  A null or empty text has none; repeated rows and null ids come back as they are, and
+    are added where no rule's span and no wider tested one covers them.  A null or empty text has none; repeated rows and null ids come back as they are, and
     every copy counts as a candidate; an empty table gives no rows.  Texts are read once; rows are landed with what was found in them,
     so name only the columns that are wanted back.
     """
@@ -184,7 +194,10 @@ def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text
 
     ruled = F.transform("rules", lambda s: shaped(s["start"], s["rank"], s["end"]))
     passed = F.filter("tested", lambda c: F.coalesce(c["bin"] >= F.try_element_at(least, c["stratum"]), F.lit(False)))
-    random = F.transform(passed, lambda c: shaped(c["start"], F.lit(len(KINDS) - 1), c["end"]))
+    # of spans that lie in each other, the outermost
+    inside = lambda c, o: (o["start"] <= c["start"]) & (o["end"] >= c["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])
+    outer = F.filter(passed, lambda c: ~F.exists(passed, lambda o: inside(c, o)))
+    random = F.transform(outer, lambda c: shaped(c["start"], F.lit(len(KINDS) - 1), c["end"]))
     return scanned.select("row", F.array_sort(F.concat(ruled, random)).alias("spans"))
 
 
