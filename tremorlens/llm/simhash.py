@@ -62,10 +62,15 @@ def near(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(left[:, None] ^ right[None, :]) <= bits
 
 
+def accompanied(members: np.ndarray, bits: int) -> np.ndarray:
+    """Which of distinct fingerprints are near another one: most lists of a large table hold none, and need no search."""
+    return np.concatenate([near(members[i : i + 256], members, bits).sum(axis=1) > 1 for i in range(0, len(members), 256)])
+
+
 def spanning(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links among distinct fingerprints that join all that are joined by near pairs: at most one less than members."""
-    links, rest = [], np.ones(len(members), dtype=bool)
-    for seed in range(len(members)):
+    links, rest = [], accompanied(members, bits)
+    for seed in np.flatnonzero(rest).tolist():
         if not rest[seed]:
             continue
         rest[seed] = False
