@@ -69,3 +69,17 @@ def test_running_maximum_over_several_batches(arrivals, tmp_path):
     ], schema, convert=False)
     got = jobs.run_once(jobs.running_maximum(stream), str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.collect()) == [("e", "m", "2026-08-10", 10, "x"), ("e", "m", "2026-08-12", 20, "v"), ("f", "m", "2026-08-01", 3, "s")]
+
+
+def test_running_maximum_of_a_key_over_several_frames(spark, arrivals, tmp_path):
+    """Edges of Arrow frames inside a trigger change nothing: days and ranks of all its frames are folded together."""
+    schema = "event_key string, metric string, day string, rank string, value bigint, outlet string"
+    rows = [("e", "m", f"2026-08-{day:02}", str(rank), 10 * day + rank, f"o{rank}") for day in range(20, 9, -1) for rank in range(5, 0, -1)]
+    stream = arrivals([rows], schema, convert=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = jobs.run_once(jobs.running_maximum(stream), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(tuple(r) for r in got.collect()) == [("e", "m", f"2026-08-{day}", 10 * day + 1, "o1") for day in range(10, 21)]

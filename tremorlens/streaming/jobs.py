@@ -41,10 +41,10 @@ def running_maximum(captures: DataFrame, ceiling: int = JUMP_CEILING) -> DataFra
     """Provisional consolidated figure per (event_key, metric).
 
     ``captures``: event_key, metric, day (text), rank (text, lower is better), value,
-    outlet.  Emits each accepted change.  Arrivals are folded frame by frame, inside a frame
-    by day and rank; a capture of a day before the current one is too late and changes nothing,
-    and of one day's captures in several frames the first acceptable one stays.  The daily
-    batch series is the reference.
+    outlet.  Emits each accepted change.  All captures of a key in a trigger are folded together by day
+    and rank, however many frames they come in: what is held of them is the best rank of each
+    (day, value).  A capture of a day before the current one of an earlier trigger is too late and changes
+    nothing, and a day that has its value keeps it.  The daily batch series is the reference.
     """
     import pandas as pd
 
@@ -53,22 +53,26 @@ def running_maximum(captures: DataFrame, ceiling: int = JUMP_CEILING) -> DataFra
     schema = "event_key string, metric string, day string, rank string, value bigint, outlet string"
 
     def best_rank_per_value(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values("rank").drop_duplicates([*keys, "day", "value"])[columns]
+        return frame.sort_values(["rank", "outlet"]).drop_duplicates([*keys, "day", "value"])[columns]
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, base, current, taken = state.get if state.exists else (None, None, "", False)
+        best: dict[tuple, tuple] = {}
         for frame in frames:
-            out = []
-            for row in frame.sort_values(["day", "rank"]).itertuples(index=False):
-                if row.day < current:
-                    continue
-                if row.day != current:
-                    base, current, taken = value, row.day, False
-                if taken or (base is not None and (row.value <= base or (base > 0 and row.value > base * ceiling))):
-                    continue
-                value, taken = int(row.value), True
-                out.append((*key, row.day, value, row.outlet))
-            yield pd.DataFrame(out, columns=[*keys, "day", "value", "outlet"])
+            for row in frame.itertuples(index=False):
+                if row.day >= current:
+                    place, found = (row.day, int(row.value)), (row.rank, row.outlet is not None, row.outlet or "")
+                    if place not in best or found < best[place]:
+                        best[place] = found
+        out = []
+        for (day, seen), (_, named, outlet) in sorted(best.items(), key=lambda kv: (kv[0][0], *kv[1], kv[0][1])):
+            if day != current:
+                base, current, taken = value, day, False
+            if taken or (base is not None and (seen <= base or (base > 0 and seen > base * ceiling))):
+                continue
+            value, taken = seen, True
+            out.append((*key, day, value, outlet if named else None))
+        yield pd.DataFrame(out, columns=[*keys, "day", "value", "outlet"])
         state.update((value, base, current, taken))
 
     combined = _combiner(best_rank_per_value, schema, captures.select(*columns))
