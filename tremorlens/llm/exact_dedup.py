@@ -1,11 +1,11 @@
-"""Exact duplicates by a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact duplicates by a tree of hash aggregations over digest runs, in DataFrame operations only.
 
-Every input partition reduces its rows to one run: the distinct digests it holds, in order, each
-with the identifier that stays and how many texts it stands for.  Runs are then merged in
-binomial rounds: in round r, the runs whose numbers agree but for the r-th group of bits meet
-and are merged, digest by digest, into one.  A digest that every run holds is one row in each, so
-the most common text of all costs a merge no more than ``FAN_IN`` rows; a run is spread over
-partitions by digest, so no task holds a whole one.
+Input partitions are dealt to ``RUNS`` runs by number; a run is the distinct digests of its rows,
+each with the identifier that stays and how many texts it stands for.  Runs are then merged
+``FAN_IN`` neighbours at a time, digest by digest, by hash aggregation: no run is sorted, and none
+is merged in order.  A digest that every run holds is one row in each, so the most common text of
+all costs a merge no more than ``FAN_IN`` rows; a run is spread over partitions by digest, so no
+task holds a whole one.
 
 "Equal" is verified at every level: rows merge only where digest, length in bytes and a second,
 independent hash agree.
@@ -44,8 +44,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep
     while width > 1:
         width = -(-width // fan_in)
         level = (
-            level.sortWithinPartitions("run", *SAME)
-            .withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
             .groupBy("run", *SAME)
             .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         )
