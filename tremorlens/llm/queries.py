@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bpe, chat, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
+from tremorlens.llm import bpe, chat, clusters, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,40 @@ def op10(spark, folder):
 )
 def op9(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def clusters_sql(k: int = clusters.K, rounds: int = clusters.ROUNDS) -> str:
+    """Every round as a query of its own over the one before."""
+    steps = [
+        f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) = {clusters.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS cluster, e AS centre FROM v
+          QUALIFY cluster < {k})""",
+    ]
+    far = "list_sum(list_transform(list_zip(v.e, c.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS (SELECT vec_id, e, n['c'] AS cluster, n['d'] AS distance FROM
+              (SELECT v.vec_id, v.e, v.row, min({{'d': CAST({far} AS BIGINT), 'c': c.cluster}}) AS n
+               FROM (SELECT *, row_number() OVER () AS row FROM v) v CROSS JOIN c{r} c GROUP BY ALL))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (SELECT cluster, d, CAST(floor(sum(e[d]) / count(*)) AS BIGINT) AS x FROM
+                  (SELECT cluster, e, unnest(range(1, {clusters.DIMS + 1})) AS d FROM a{r}) GROUP BY cluster, d)"""
+            )
+            steps.append(
+                f"""c{r + 1} AS (SELECT c.cluster, coalesce(n.e, c.centre) AS centre FROM c{r} c LEFT JOIN
+                  (SELECT cluster, list(x ORDER BY d) AS e FROM m{r} GROUP BY cluster) n ON n.cluster = c.cluster)"""
+            )
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.centre, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+@query("op12_clusters", clusters_sql())
+def op12(spark, folder):
+    found = clusters.cluster(table(spark, folder, "embeddings"))
+    centre = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centre)
