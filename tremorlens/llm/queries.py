@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bpe, chat, clusters, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
+from tremorlens.llm import bestfit, bpe, chat, clusters, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,9 @@ def op12(spark, folder):
     found = clusters.cluster(table(spark, folder, "embeddings"))
     centre = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centre)
+
+
+@query("op13_bestfit")
+def op13(spark, folder):
+    pieces = bestfit.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
