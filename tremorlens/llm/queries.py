@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm import bestfit, bpe, chat, clusters, exact_dedup, packing, pii, secret_scan, simhash, token_counts, topk, toxicity
+from tremorlens.llm import bestfit, bpe, chat, clusters, exact_dedup, packing, pii, prefix_trie, secret_scan, simhash, token_counts, topk, toxicity
 from tremorlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,30 @@ def op12(spark, folder):
 def op13(spark, folder):
     pieces = bestfit.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+#: CRC-32 of the decimal digits of c, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+TURN_SQL = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+
+@query(
+    "op11_prefix_trie",
+    f"""WITH t AS (SELECT conv_id AS c, {TURN_SQL} AS k, len(regexp_extract_all(coalesce(text, ''), '{prefix_trie.WORD}')) AS w,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {TURN_SQL}) AS p FROM conversations WHERE conv_id IS NOT NULL),
+    v AS (SELECT c, c - c % {prefix_trie.FAMILY} AS family, {CRC_SQL} % {prefix_trie.LENGTHS} AS h FROM (SELECT DISTINCT c FROM t)),
+    r AS (SELECT v.c, 0 AS part, p, k, w FROM v JOIN t ON t.c = v.family AND p <= h UNION ALL SELECT v.c, 1, p, k, w FROM v JOIN t ON t.c = v.c AND p > h),
+    s AS (SELECT c, row_number() OVER o AS d, string_agg(k, '') OVER o AS prefix, w FROM r WINDOW o AS (PARTITION BY c ORDER BY part, p)),
+    o AS (SELECT c, d, prefix, w FROM s UNION ALL SELECT c, 0, '', 0 FROM v),
+    e AS (SELECT c, max(d) AS last FROM o GROUP BY c),
+    n AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, min(w) AS w, left(prefix, length(prefix) - 64) AS up,
+        coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = last), '') AS ends FROM o JOIN e USING (c) GROUP BY ALL),
+    k AS (SELECT up AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+    b AS (SELECT a.prefix, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.w) AS saved FROM m a JOIN m ON starts_with(m.prefix, a.prefix) GROUP BY a.prefix)
+    SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+    FROM m JOIN b USING (prefix) LEFT JOIN n p ON m.d > 0 AND p.prefix = m.up""",
+)
+def op11(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
