@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tremorlens.llm import bpe, packing, pretokens, token_counts
 from tremorlens.llm.queries import tokenizer
@@ -109,28 +110,31 @@ def test_counts_of_nothing(make, json_path):
 
 
 @pytest.mark.parametrize("quantum", [64, 512])
-def test_schedule_equals_sorted_service(quantum):
-    """The closed form is the order of services by the time at which they end, ties by source."""
+@pytest.mark.parametrize("shares", [None, {"q0": 0.7, None: 0.1, "q3": -1.0, "q9": 0.4}])
+def test_stream_is_the_order_of_service_times(spark, quantum, shares):
+    """Places follow from sorting all quanta by the time at which they are due, ties by source; none overlap, none are missing."""
     rng = np.random.default_rng(quantum)
-    for _ in range(20):
-        totals = rng.integers(1, 3000, rng.integers(1, 7))
-        served = [(min((k + 1) * quantum, int(n)) / int(n) if (k + 1) * quantum < n else 1.0, s, k) for s, n in enumerate(totals) for k in range(-(-int(n) // quantum))]
-        from fractions import Fraction
-
-        served = sorted((Fraction(min((k + 1) * quantum, int(totals[s])), int(totals[s])), s, k) for _, s, k in served)
-        at, place = 0, {}
-        for _, s, k in served:
-            place[s, k] = at
-            at += min((k + 1) * quantum, int(totals[s])) - k * quantum
-        for s, n in enumerate(totals.tolist()):
-            ends = np.minimum((np.arange(-(-n // quantum)) + 1) * quantum, n)
-            assert packing.schedule(totals, s, ends, quantum).tolist() == [place[s, k] for k in range(len(ends))]
-
-
-def test_schedule_beyond_64_bits():
-    totals = np.array([3 << 40, 5 << 40])
-    small = np.array([3 << 10, 5 << 10])
-    assert packing.schedule(totals, 0, np.array([1 << 41]), 1 << 40).tolist() == [x << 30 for x in packing.schedule(small, 0, np.array([1 << 11]), 1 << 10)]
+    lines = [(part, slot, None if q == 2 else f"q{q}", int(rng.integers(1, 3000))) for part in range(6) for slot, q in enumerate(rng.permutation(5)[: rng.integers(1, 6)].tolist())]
+    total, every = defaultdict(int), sum(x[3] for x in lines)
+    for *_, q, n in lines:
+        total[q] += n
+    named = spark.createDataFrame([(f"q{q}" if q != 2 else None,) for q in range(5)], "queue string")
+    part_of = {r[0]: r[1] for r in named.select("queue", packing.phase(F.col("queue"))).collect()}
+    served, base = [], defaultdict(int)
+    for part, slot, q, n in lines:
+        share = (shares or {}).get(q, 0)
+        weight = share * every if share > 0 else total[q]
+        for k in range(-(-n // quantum)):
+            end = min((k + 1) * quantum, n)
+            served.append(((base[q] + k * quantum + (end - k * quantum) * part_of[q]) / weight, q is not None, q or "", part, k, slot, end - k * quantum))
+        base[q] += n
+    expected, at = {}, 0
+    for *_, part, k, slot, size in sorted(served):
+        expected[part, slot, k] = at
+        at += size
+    targets = spark.createDataFrame(list(shares.items()), "source string, share double") if shares else None
+    table = spark.createDataFrame(lines, "part int, slot int, queue string, n long").repartition(3)
+    assert {(r["part"], r["slot"], r["k"]): r["place"] for r in packing.stream_places(table, quantum, targets).collect()} == expected
 
 
 def test_pieces_hold_every_id_once(make, texts, json_path, json_library):
@@ -174,12 +178,37 @@ def test_repeats_clashes_and_nothing(make, clashing, texts, json_path):
     assert packing.pack(make([]), json_path).count() == 0
 
 
-def test_many_sources_share_queues(make, json_path, monkeypatch):
-    monkeypatch.setattr(packing, "QUEUES", 2)
-    many = [f"text {i}" for i in range(60)]
-    got = packing.pack(make(many, [f"s{i % 9}" for i in range(60)]), json_path, sequence=32, quantum=8).collect()
-    covered = sorted((r["sequence_id"] * 32 + r["offset"], r["length"]) for r in got)
-    at = 0
+def test_five_thousand_sources_hold_their_shares(make, json_path):
+    """Half of all documents are of one source, the others of a source each: every window holds half of either."""
+    many = [f"text {i} with some more words in it" for i in range(10_000)]
+    got = packing.pack(make(many, ["big" if i % 2 else f"s{i}" for i in range(10_000)], partitions=5), json_path, sequence=512, quantum=64).collect()
+    covered, at = sorted((r["sequence_id"] * 512 + r["offset"], r["length"]) for r in got), 0
     for a, n in covered:
         assert a == at
         at += n
+    total, share = at, sum(r["length"] for r in got if r["source"] == "big") / at
+    windows = defaultdict(int)
+    for r in got:
+        windows[r["sequence_id"]] += r["length"] * (r["source"] == "big")
+    assert len({r["source"] for r in got}) == 5001
+    assert max(abs(windows[k] / 512 - share) for k in range(max(windows))) < 0.3
+    tens = [sum(windows[k + i] for i in range(10)) / 5120 for k in range(0, max(windows) - 10, 10)]
+    assert max(abs(x - share) for x in tens) < 0.1
+
+
+def test_targets_fill_windows_while_their_source_lasts(spark, make, json_path):
+    many = [f"word{i} " * 60 for i in range(400)]
+    source = [("a", "b", "c", None)[i % 4] for i in range(400)]
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 0.25), (None, 0.125), ("absent", 0.9)], "source string, share double")
+    got = packing.pack(make(many, source), json_path, sequence=1024, quantum=64, targets=targets).collect()
+    total, held = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in got:
+        total[r["source"]] += r["length"]
+        held[r["sequence_id"]][r["source"]] += r["length"]
+    assert sum(total.values()) == sum(n for w in held.values() for n in w.values())
+    dry = int(total["a"] / (0.5 / 1.125) // 1024)  # windows until the queue of the largest share runs dry
+    for k in range(dry - 1):
+        for q, share in (("a", 0.5), ("b", 0.25), ("c", 0.25), (None, 0.125)):
+            assert abs(held[k][q] - 1024 * share / 1.125) <= 2 * 64
+    last = max(held)
+    assert all(sum(held[k].values()) == 1024 for k in range(last)) and not any(held[k]["a"] for k in range(dry + 2, last))

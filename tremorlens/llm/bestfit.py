@@ -234,5 +234,6 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
     bins, _, _ = placed(short.select("row", "length"), sequence, shard_pieces)
     columns = [F.col("id").alias(id_column), "piece", "start", "length", "ids"]
     full = coded.filter(F.col("length") == sequence).select(*columns, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    found = short.join(bins.withColumnRenamed("row", "of"), F.col("row") == F.col("of"))
+    # the same join at every size: ids move once to where their pieces lie
+    found = short.join(bins.withColumnRenamed("row", "of").hint("merge"), F.col("row") == F.col("of"))
     return full.union(found.select(*columns, F.col("bin").alias("sequence_id"), F.col("place").alias("offset")))

@@ -68,20 +68,21 @@ VALID: dict[str, Callable[[Column], Column]] = {
 CHECKSUM = ("card", "iban")
 
 
-def _spans(kind: str, rank: int, text: Column, gaps: Column, matches: Column) -> Column:
-    """Confirmed spans of one kind, from the matches and what lies between them."""
+def _spans(kind: str, rank: int, gaps: Column, matches: Column) -> Column:
+    """Confirmed spans of one kind, from the matches and what lies between them: each step reads its gap and match, never the text again."""
     words = PATTERNS[kind][1]
 
     def step(state, x):
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int")))
+        before = F.lower(F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT)))
         score = F.lit(CHECKED if kind in CHECKSUM else UNCHECKED) + F.when(before.rlike(words), NEARBY).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(VALID[kind](x["match"]), F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
+        tail = F.right(F.concat(state["tail"], x["gap"], x["match"]), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(VALID[kind](x["match"]), F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("found"))
     none = F.array().cast(SPAN)
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(none)
 
@@ -98,7 +99,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     needed = {"email": F.contains("t", F.lit("@")), "phone": F.contains("t", F.lit("+"))}
     df = df.select("*", *(F.when(needed.get(k, F.lit(True)), F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, (p, _) in PATTERNS.items()))
     df = df.select("*", *(F.when(F.size(f"m_{k}") > 0, F.split("t", p, -1)).otherwise(none).alias(f"g_{k}") for k, (p, _) in PATTERNS.items()))
-    found = [_spans(k, r, F.col("t"), F.col(f"g_{k}"), F.col(f"m_{k}")) for r, k in enumerate(PATTERNS)]
+    found = [_spans(k, r, F.col(f"g_{k}"), F.col(f"m_{k}")) for r, k in enumerate(PATTERNS)]
     return df.select(F.col("id").alias(id_column), F.array_sort(F.concat(*found)).alias("spans"))
 
 

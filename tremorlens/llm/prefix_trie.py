@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlens.llm.common import landed
+from tremorlens.llm.common import landed, split_join
 from tremorlens.llm.parens import Parentheses
 
 #: Conversations whose numbers differ below this share the beginning of the first of them; the hash takes so many values.
@@ -48,16 +48,6 @@ def tags(depth: Column, digest: Column) -> list[Column]:
     return [F.conv(F.substring(mark, a, 15), 16, 10).cast("long") for a in (1, 16)]
 
 
-def split_join(big: DataFrame, small: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
-    """Join of ``big`` with ``small`` (one row for each key); rows of ``small`` that are ``hot`` go to every task.
-
-    The caller sees to it that hot rows are few: each stands for at least one ten-thousandth of all rows.
-    """
-    many = F.broadcast(small.filter(hot))
-    rest = big.join(many, on, "left_anti").join(small.filter(~hot), on, how)
-    return big.join(many, on).select(rest.columns).union(rest)
-
-
 def turns_of(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Turns in order: conv, part, at (a number that grows), digest, words; and segments: conv, part, first, n, base (turns in earlier parts)."""
     said, of = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role).cast("string"), F.lit(""))

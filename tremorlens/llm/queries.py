@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlens.llm import bestfit, bpe, chat, clusters, exact_dedup, packing, pii, prefix_trie, secret_scan, simhash, token_counts, topk, toxicity
@@ -95,16 +95,31 @@ CONTROL = r"\### Assistant: </turn> ok"
 
 
 def chat_events(spark, folder) -> DataFrame:
-    """The log that the conversations would have left: each row opens its turn with the first half of its text and streams the rest."""
+    """A log that ends in the conversations: what each row says was drafted, streamed, thrown away and said anew.
+
+    Every turn opens with a draft that is not what it ends as.  Of three turns, one is regenerated and streamed in two parts, one is edited
+    to what it says, and one is streamed, regenerated before its stream ended, and edited last.  Events come in no order.
+    """
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    fixed = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    kinds = dict(rows.dtypes)
+    said = [F.lit(x) for x in (-7, 0, "user", CONTROL)], [F.lit(x) for x in (-7, 1, "assistant", CONTROL)]
+    names = ("conv_id", "turn", "role", "text")
+    fixed = spark.range(1).select(F.explode(F.array(*(F.struct(*(c.cast(kinds[n]).alias(n) for n, c in zip(names, x, strict=True))) for x in said))).alias("r")).select("r.*")
     every = rows.unionByName(fixed).select("*", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).alias("copy"))
     half = F.floor(F.length("text") / 2).cast("int")
-    parts = F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("message").alias("event"), F.substring("text", F.lit(1), half).alias("part")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("event"), F.substring("text", half + 1, F.length("text")).alias("part")),
-    )
-    return every.select(F.col("conv_id").alias("conversation"), "turn", "copy", "role", F.explode(parts).alias("e")).select("conversation", "turn", "copy", "e.seq", "e.event", "role", F.col("e.part").alias("text"))
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft "), first)
+
+    def event(seq: int, name: str, part: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("event"), part.alias("part"))
+
+    none = F.lit(None).cast("string")
+    streamed = F.array(event(4, "delta", rest), event(0, "message", draft), event(2, "regenerate", none), event(3, "delta", first), event(1, "delta", rest))
+    edited = F.array(event(2, "edit", F.col("text")), event(1, "delta", first), event(0, "message", draft))
+    both = F.array(event(5, "edit", F.col("text")), event(0, "message", first), event(3, "regenerate", none), event(1, "delta", draft), event(4, "delta", first))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(3))
+    log = F.explode(F.when(way == 0, streamed).when(way == 1, edited).otherwise(both)).alias("e")
+    return every.select(F.col("conv_id").alias("conversation"), "turn", "copy", "role", log).select("conversation", "turn", "copy", "e.seq", "e.event", "role", F.col("e.part").alias("text"))
 
 
 def escaped_sql(column: str, role: bool = False) -> str:

@@ -17,9 +17,12 @@ corpus; only that table, bounded by strata times bins, is sent to the tasks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from math import erfc, exp, log, sqrt
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,21 +134,26 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """Runs, and their parts, that the battery does not reject and no rule covers: start, end, stratum, bin of the p-value against words.
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[dict]]]:
+    """Runs, and their parts, that the battery does not reject and no rule covers: start, end, stratum, bin of the p-value against words, and stratum and bin of what is wider.
 
     Parts are tested beside their run, as words around a key may pass or fail with it; what lies in an accepted span is left out later.
     """
     out = []
+    starts = [a for a, _, _ in taken]
+    reach = list(accumulate((b for _, _, b in taken), max))  # how far the rules' spans reach that start by then
     for m in CANDIDATE.finditer(text):
         places = {m.span(): None}
         if not m.group().isalnum():
             places |= {part.span(): None for cut in PARTS for part in cut.finditer(text, *m.span())}
+        mine = []
         for start, end in places:
             token = text[start:end]
-            name = encoding_of(token)
-            if name and not any(a <= start and end <= b for a, _, b in taken) and fisher(battery(token, name)) >= REJECT:
-                out.append((start, end, stratum(name, len(token)), bin_of(like_words(token, name))))
+            name, before = encoding_of(token), bisect_right(starts, start)
+            if name and not (before and reach[before - 1] >= end) and fisher(battery(token, name)) >= REJECT:
+                mine.append((start, end, stratum(name, len(token)), bin_of(like_words(token, name))))
+        # runs lie apart, so what is wider than a part is among the few places of its run
+        out += [(*c, [{"stratum": o[2], "bin": o[3]} for o in mine if o[0] <= c[0] and o[1] >= c[1] and o[1] - o[0] > c[1] - c[0]]) for c in mine]
     return out
 
 
@@ -159,7 +167,7 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
     return ranked.filter(p <= F.col("rank") / F.col("all") * rate).groupBy("stratum").agg(F.min("bin").alias("least"))
 
 
-FOUND = "rules array<struct<start:bigint,rank:int,end:bigint>>, tested array<struct<start:bigint,end:bigint,stratum:string,bin:int>>"
+FOUND = "rules array<struct<start:bigint,rank:int,end:bigint>>, tested array<struct<start:bigint,end:bigint,stratum:string,bin:int,wider:array<struct<stratum:string,bin:int>>>>"
 
 
 def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text", rate: float = RATE) -> DataFrame:
@@ -170,8 +178,9 @@ def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text
     every copy counts as a candidate; an empty table gives no rows.  Texts are read once; rows are landed with what was found in them,
     so name only the columns that are wanted back.
     """
-    carried = docs.select(columns or docs.columns)
-    span, run = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("bin", pa.int32())])
+    carried = docs.select(*(quoted(c) for c in columns or docs.columns))
+    span, mark = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())]), [("stratum", pa.string()), ("bin", pa.int32())]
+    run = pa.struct([("start", pa.int64()), ("end", pa.int64()), *mark, ("wider", pa.list_(pa.struct(mark)))])
 
     def work(batches):
         for part in slices(batches, 0):
@@ -179,11 +188,11 @@ def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text
             for t in texts_of(part.column(0)):
                 found = rule_spans(t)
                 ruled.append([{"start": a, "rank": r, "end": b} for a, r, b in found])
-                tested.append([dict(zip(("start", "end", "stratum", "bin"), c, strict=True)) for c in candidates(t, found)])
+                tested.append([dict(zip(("start", "end", "stratum", "bin", "wider"), c, strict=True)) for c in candidates(t, found)])
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(ruled, pa.list_(span)), pa.array(tested, pa.list_(run))], names=["row", "rules", "tested"])
 
     schema = T.StructType([T.StructField("row", carried.schema), *T.StructType.fromDDL(FOUND).fields])
-    scanned = landed(docs.select(F.col(text).alias("t"), F.struct(*carried.columns).alias("row")).mapInArrow(work, schema), "secrets")
+    scanned = landed(docs.select(F.col(text).alias("t"), F.struct(*(quoted(c) for c in carried.columns)).alias("row")).mapInArrow(work, schema), "secrets")
     tested = scanned.select(F.explode("tested").alias("c")).select("c.stratum", "c.bin")
     accepted = {r["stratum"]: r["least"] for r in thresholds(tested, rate).collect()}  # at most encodings times bit lengths
     least = F.create_map(*[F.lit(x) for pair in accepted.items() for x in pair]) if accepted else F.lit(None).cast("map<string,int>")
@@ -193,10 +202,9 @@ def secrets(docs: DataFrame, columns: list[str] | None = None, text: str = "text
         return F.struct(start.alias("start"), rank.alias("rank"), F.element_at(names, rank + 1).alias("kind"), end.alias("end"))
 
     ruled = F.transform("rules", lambda s: shaped(s["start"], s["rank"], s["end"]))
-    passed = F.filter("tested", lambda c: F.coalesce(c["bin"] >= F.try_element_at(least, c["stratum"]), F.lit(False)))
+    passes = lambda c: F.coalesce(c["bin"] >= F.try_element_at(least, c["stratum"]), F.lit(False))
     # of spans that lie in each other, the outermost
-    inside = lambda c, o: (o["start"] <= c["start"]) & (o["end"] >= c["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])
-    outer = F.filter(passed, lambda c: ~F.exists(passed, lambda o: inside(c, o)))
+    outer = F.filter("tested", lambda c: passes(c) & ~F.exists(c["wider"], passes))
     random = F.transform(outer, lambda c: shaped(c["start"], F.lit(len(KINDS) - 1), c["end"]))
     return scanned.select("row", F.array_sort(F.concat(ruled, random)).alias("spans"))
 
@@ -211,21 +219,26 @@ def number(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with ``[secret]`` in place of its spans; spans that touch or overlap become one."""
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
-    def step(state, s):
-        return F.when(s["end"] <= state["at"], state).otherwise(
-            F.struct(
-                F.array_append(state["parts"], F.concat(_between(text, state["at"], s["start"]), F.when((s["start"] < state["at"]) | ((s["start"] == state["at"]) & (F.size(state["parts"]) > 0)), "").otherwise("[secret]"))).alias("parts"),
-                s["end"].alias("at"),
-            )
-        )
+@F.pandas_udf(T.StringType())
+def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def clean(text, found):
+        parts, at = [], -1
+        for s in found:
+            if s["end"] <= at:
+                continue
+            if s["start"] > at:
+                parts += [text[max(at, 0) : s["start"]], "[secret]"]
+            at = s["end"]
+        return "".join([*parts, text[at:]])
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
-    folded = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    return pd.Series([None if t is None else clean(t, f) for t, f in zip(texts, spans, strict=True)], dtype=object)
 
 
-def _between(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with ``[secret]`` in place of its spans; spans that touch or overlap become one.  Only texts with spans go to Python."""
+    some = F.size(spans) > 0
+    return F.when(some, _cut_out(F.when(some, text), F.when(some, spans))).otherwise(text)

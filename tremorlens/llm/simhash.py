@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlens.llm.common import landed, slices, texts_of
+from tremorlens.llm import near_copies
+from tremorlens.llm.common import landed, slices, split_join, texts_of
 from tremorlens.llm.components import components
 
 #: Words of a shingle, differing bits that still link, and members of a posting list searched at once.
@@ -176,24 +177,42 @@ def links_between(fingerprints: DataFrame, bits: int = BITS, block: int = BLOCK)
     return found.filter("a is not null").select("a", "b").union(pairs.mapInArrow(search_blocks, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK, likeness: float | None = None
+) -> DataFrame:
     """Fingerprint and component of every document: id, fingerprint (long), component_id.
 
-    Documents are linked when their fingerprints differ in at most ``bits`` bits; component_id is the smallest id reachable, the
-    document's own included.  A null text is empty; texts without words have fingerprint zero and are linked like any other; repeated
-    rows come back as often as they are there; a null id takes part but names no component unless it is alone (then null); an empty
-    table gives no rows.  Copies meet as one fingerprint before anything is indexed.
+    Documents are linked when their fingerprints differ in at most ``bits`` bits, and, if ``likeness`` is given, when their sets of runs of five
+    words are that much alike (see ``near_copies``); component_id is the smallest id reachable, the document's own included.  A null text is
+    empty; texts without words have fingerprint zero and are linked like any other; repeated rows come back as often as they are there; a
+    null id takes part but names no component unless it is alone (then null); an empty table gives no rows.  Copies meet as one fingerprint
+    before anything is indexed.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def work(batches):
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(texts_of(part.column(1)), shingle).view(np.int64))], names=["id", "fingerprint"])
-
-    marked = landed(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(work, f"id {kind}, fingerprint long"), "fingerprints")
-    distinct = landed(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    linked = components(links_between(distinct, bits, block))
-    rooted = landed(distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select(F.col("fingerprint").alias("f"), "component_id")
-    return marked.join(of, marked["fingerprint"] == of["f"], "left").select(F.col("id").alias(id_column), "fingerprint", "component_id")
+            texts = texts_of(part.column(1))
+            columns = [part.column(0), pa.array(fingerprints_of(texts, shingle).view(np.int64))]
+            if likeness is not None:
+                sets = [near_copies.word_runs(t) for t in texts]
+                columns.append(pa.array([x.astype("<u4").tobytes() for x in sets], pa.binary()))
+                columns.append(pa.array([near_copies.bands_of(x) if len(x) else [] for x in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fingerprint", "runs", "lists"][: len(columns)])
+
+    schema = f"id {kind}, fingerprint long" + (", runs binary, lists array<long>" if likeness is not None else "")
+    signed = landed(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(work, schema), "fingerprints")
+    marked = signed.select("id", "fingerprint")
+    distinct = landed(marked.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    links = links_between(distinct, bits, block)
+    if likeness is not None:
+        links = links.union(near_copies.alike(signed.select(F.col("fingerprint").alias("node"), "runs", "lists"), likeness))
+    linked = landed(components(links), "roots")
+    rooted = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = landed(rooted, "rooted")
+    # a component of very many fingerprints, or a fingerprint of very many rows, goes to every task; there are at most ten thousand of either
+    hot = max(1, marked.count() // 10_000)
+    named = landed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "names")
+    of = split_join(rooted, named, ["root"], F.col("members") > hot).select("fingerprint", "component_id", "n")
+    found = split_join(marked, of, ["fingerprint"], F.col("n") > hot)
+    return found.select(F.col("id").alias(id_column), "fingerprint", "component_id")

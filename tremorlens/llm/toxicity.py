@@ -99,11 +99,12 @@ def fit(labels: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, float]:
 
 
 def held_out(row_id: Column) -> Column:
-    return F.crc32(row_id.cast("string")) % 3 == 1
+    """Whether labels of an id are never learnt from; a null id has none."""
+    return F.coalesce(F.crc32(row_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_column: str, text: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows of each label outside of the held-out part (text, toxic), those with the smallest hash of their id.
+    """At most ``limit`` labelled rows of each label outside of the held-out part (text, toxic), those with the smallest hash of their id; one row of each id.
 
     A label counts if it is 0 or 1; an id labelled twice takes its larger label.
     """
@@ -112,7 +113,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_column: str, text: str, lim
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ranked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("known_id"), "known_id").limit(limit) for k in (0, 1)]
     chosen = F.broadcast(ranked[0].union(ranked[1]))  # two times the limit at most
-    return rows.join(chosen, rows["id"] == chosen["known_id"]).select("t", "toxic")
+    met = rows.join(chosen, rows["id"] == chosen["known_id"])
+    # rows that repeat an id are one row of the sample, whatever their texts
+    return met.groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("toxic").alias("toxic")).select("t", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> tuple[np.ndarray, float]:
