@@ -46,8 +46,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return staying(docs, F.concat_ws(" ", named(F.col("doc_id")), text_digest()), kept)
 
 
-#: Differing bits that make a near copy in this stage; op5's contract of four binds its query. More than six leaves single bytes to match by.
-NEAR_BITS = 6
+#: Words of a shingle in this stage, and likeness of texts that one fingerprint cannot tell; op5's contract of four words binds its query.
+NEAR_SHINGLE, NEAR_LIKENESS = 5, 0.8
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     # The smallest key of a component names it: it is held by this component alone, which an id is not.
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("named"), text_digest().alias("digest"))
-    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", bits=NEAR_BITS)
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", shingle=NEAR_SHINGLE, likeness=NEAR_LIKENESS)
     kept = found.filter(F.col("key") == F.col("component_id")).select(F.concat_ws(" ", named(F.col("key.named")), "key.digest").alias("k"))
     return staying(docs, F.concat_ws(" ", named(F.col("doc_id")), text_digest()), kept)
 
