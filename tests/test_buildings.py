@@ -100,8 +100,8 @@ def _units_of_a_street(spark, links):
 
 def test_rounds_do_not_follow_the_length_of_a_chain(spark, monkeypatch):
     rounds = []
-    cut = buildings.cut_lineage
-    monkeypatch.setattr(buildings, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    write = buildings.written
+    monkeypatch.setattr(buildings, "written", lambda df, **figures: rounds.append(1) or write(df, **figures))
     needed = []
     for links in (160, 1600):
         rounds.clear()
@@ -115,3 +115,33 @@ def test_small_tiles_give_the_same(spark, monkeypatch):
     want = sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect()))
     monkeypatch.setattr(buildings, "TILE", 3)
     assert sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect())) == want
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 50])
+def test_small_leaves_give_the_same(spark, monkeypatch, pairs):
+    want = sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect()))
+    monkeypatch.setattr(buildings, "LEAF_PAIRS", pairs)
+    assert sorted(map(repr, _units_of_a_street(spark, 60).select("u", "cap", "members").collect())) == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_leaves_across_a_dense_town_equal_the_sequential_rule(spark, monkeypatch, seed):
+    monkeypatch.setattr(buildings, "LEAF_PAIRS", 30)
+    rnd = random.Random(seed)
+    rows = [("t", rnd.choice("abc"), 10 + rnd.randint(0, 30) * 0.00009, -7 + rnd.randint(0, 30) * 0.00009, rnd.choice(["Destroyed", None])) for _ in range(260)]
+    out, _ = solve(spark, rows)
+    assert {k: (v["units"], v["agreements"], v["grade_disagreements"]) for k, v in out.items()} == brute(rows, 20.0)
+
+
+def test_a_dense_place_is_many_leaves_of_bounded_size(spark, monkeypatch):
+    """A third of all points stand in one place of 200 m; its pairs spread over leaves, none of which holds much more than its share."""
+    monkeypatch.setattr(buildings, "LEAF_PAIRS", 500)
+    rnd = random.Random(9)
+    rows = [("p", "ab"[k % 2], 20 + rnd.random() * 0.002, 5 + rnd.random() * 0.002, "x") for k in range(2000)]
+    rows += [("p", "ab"[k % 2], 20 + rnd.random() * 3, 5 + rnd.random() * 3, "x") for k in range(4000)]
+    nodes = buildings._nodes(spark.createDataFrame(rows, SCHEMA), "place", "source", "lon", "lat", "grade")
+    edges = buildings._edges(buildings._open_units(nodes.filter("source = 'a'")), nodes.filter("source = 'b'"), 20.0)
+    leaves = buildings._with_leaves(edges, 20.0).groupBy(*buildings.LEAF).count().collect()
+    total, largest = sum(r["count"] for r in leaves), max(r["count"] for r in leaves)
+    fullest = buildings._with_leaves(edges, 20.0).selectExpr("g", "floor(q.lat * 110570 / 40) a", "floor(q.lon * 111320 / 40) b").groupBy("g", "a", "b").count().agg(F.max("count")).first()[0]
+    assert total > 20_000 and largest < 500 + fullest and sum(r["count"] > 100 for r in leaves) > 20

@@ -5,8 +5,12 @@ first unit, in creation order, that has no point of its source and some member
 closer than the threshold, else it opens a unit.  Visiting source by source turns
 each step into one serial dictatorship between the source's points and the open
 units, and that is a triangular system: what a point gets from a unit depends only
-on earlier points of that unit and on earlier units of that point.  Tiles of the
-plane solve their part in order; only units on a border carry sums between tiles.
+on earlier points of that unit and on earlier units of that point.  Leaves of the
+plane solve their part in order; only units on a border carry sums between leaves.
+
+Leaves follow the data: cells of two thresholds are counted, ordered along a Z curve (the order of a
+quadtree's leaves) and cut where a leaf holds its share of contested pairs.  A city with a third of all
+points is many leaves, a village shares one with its neighbours.
 
 Copies (same source, coordinate and grade) are one weighted node from the start, so
 the number of edges follows distinct places, not rows.
@@ -19,12 +23,16 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON, plane_m
 from tremorlens.plans.grid import near_keys, near_probes
-from tremorlens.plans.joins import at_most, derived_join, with_scalar
-from tremorlens.session import cut_lineage
+from tremorlens.plans.joins import derived_join, with_scalar
+from tremorlens.session import cut_lineage, written
 
 _PLANE = {"per_lat": M_PER_DEG_LAT, "per_lon": M_PER_DEG_LON}
-# Side of a tile in thresholds: contested pairs inside one are solved together.
-TILE = 512
+# Side of a tile in thresholds, and how often it is halved to the cells that leaves are made of: 2 ** (2 * HALVINGS) cells at most.
+TILE, HALVINGS = 512, 8
+# Contested pairs of a leaf; a leaf ends with the cell that reaches the bound.
+LEAF_PAIRS = 20_000
+# Names of sources that are asked for at a time.
+NAMES = 64
 
 
 def grade_bucket(grade: Column) -> Column:
@@ -89,23 +97,23 @@ _ORD = "struct<source:string,lon:double,lat:double,grade:string,at:bigint>"
 
 
 def _solve(edges: DataFrame) -> DataFrame:
-    """Serve the nodes of every tile in order: each takes from its units, in order, what is left.
+    """Serve the nodes of every leaf in order: each takes from its units, in order, what is left.
 
-    ``outside`` is what earlier nodes of other tiles have taken from the unit.  Rows of a tile stream by in order; only the running
+    ``outside`` is what earlier nodes of other leaves have taken from the unit.  Rows of a leaf stream by in order; only the running
     sums of its units are held.
     """
     import pyarrow as pa
 
     def run(batches):
-        tile, node, taken, given = None, None, 0, {}
+        leaf, node, taken, given = None, None, 0, {}
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             units, nodes = (list(zip(*(c.to_pylist() for c in columns[k].flatten()), strict=True)) for k in ("u", "q"))
-            tiles, rest = zip(columns["g"].to_pylist(), columns["ty"].to_pylist(), columns["tx"].to_pylist(), strict=True), [columns[k].to_pylist() for k in ("n", "cap", "outside")]
+            leaves, rest = zip(*(columns[k].to_pylist() for k in LEAF), strict=True), [columns[k].to_pylist() for k in ("n", "cap", "outside")]
             out = []
-            for here, u, q, n, cap, outside in zip(tiles, units, nodes, *rest, strict=True):
-                if here != tile:
-                    tile, node, given = here, None, {}
+            for here, u, q, n, cap, outside in zip(leaves, units, nodes, *rest, strict=True):
+                if here != leaf:
+                    leaf, node, given = here, None, {}
                 if q != node:
                     node, taken = q, 0
                 x = max(0, min(n - taken, cap - outside - given.get(u, 0)))
@@ -115,41 +123,76 @@ def _solve(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "x"])
 
     kind = edges.schema["g"].dataType.simpleString()
-    ordered = edges.repartition("g", "ty", "tx").sortWithinPartitions("g", "ty", "tx", "q", "u")
-    return ordered.mapInArrow(run, f"g {kind}, u {_ORD}, q {_ORD}, cap bigint, n bigint, ty bigint, tx bigint, old bigint, outside bigint, x bigint")
+    ordered = edges.repartition(*LEAF).sortWithinPartitions(*LEAF, "q", "u")
+    return ordered.mapInArrow(run, f"g {kind}, u {_ORD}, q {_ORD}, cap bigint, n bigint, ty bigint, tx bigint, leaf bigint, old bigint, outside bigint, x bigint")
+
+
+LEAF = ("g", "ty", "tx", "leaf")
+
+
+def _spread(x: Column) -> Column:
+    """The low bits of a number, moved to every other place."""
+    return sum((F.shiftright(x, k).bitwiseAND(F.lit(1)) * (1 << (2 * k)) for k in range(HALVINGS)), F.lit(0).cast("bigint"))
+
+
+def _with_leaves(pairs: DataFrame, metres: float) -> DataFrame:
+    """Pairs with the leaf of their node (ty, tx, leaf): a stretch of the Z curve through the cells of one crowded tile, or through neighbouring tiles.
+
+    What is ordered are cells and tiles with counts; a tile has a fixed number of cells, and a square of tiles a fixed number of
+    tiles.  Pairs themselves only meet in their leaves.
+    """
+    cell = TILE * metres / (1 << HALVINGS)
+    cy, cx = F.floor(F.col("q.lat") * M_PER_DEG_LAT / cell), F.floor(F.col("q.lon") * M_PER_DEG_LON / cell)
+    placed = pairs.select("*", F.shiftright(cy, HALVINGS).alias("cty"), F.shiftright(cx, HALVINGS).alias("ctx"), (_spread(cy) * 2 + _spread(cx)).alias("z"))
+    # squares begin half a square off the equator and the zero meridian, which cross towns
+    half = 1 << (HALVINGS - 1)
+    tile, square = ["g", "cty", "ctx"], [F.shiftright(F.col(c) + half, HALVINGS) for c in ("cty", "ctx")]
+    cells = placed.groupBy(*tile, "z").agg(F.count("*").alias("_held"))
+    past = (Window.unboundedPreceding, -1)
+    number = F.expr(f"coalesce(_before, 0) div {LEAF_PAIRS}")
+    inside = cells.withColumn("_before", F.sum("_held").over(Window.partitionBy(*tile).orderBy("z").rowsBetween(*past))).select(*tile, "z", number.alias("_inner"))
+    tiles = cells.groupBy(*tile).agg(F.sum("_held").alias("_held"))
+    curve = Window.partitionBy("g", *square).orderBy(_spread(F.col("cty") + half) * 2 + _spread(F.col("ctx") + half)).rowsBetween(*past)
+    around = tiles.withColumn("_before", F.sum("_held").over(curve)).select(*tile, (F.col("_held") > LEAF_PAIRS).alias("_crowded"), number.alias("_outer"))
+    crowded = F.col("_crowded")
+    leaves = inside.join(around, tile).select(
+        *tile, "z", F.when(crowded, F.col("cty")).otherwise(square[0]).alias("ty"), F.when(crowded, F.col("ctx")).otherwise(square[1]).alias("tx"),
+        F.when(crowded, F.col("_inner") * 2 + 1).otherwise(F.col("_outer") * 2).alias("leaf"),
+    )
+    return derived_join(placed, leaves, [*tile, "z"]).drop("cty", "ctx", "z")
 
 
 def _allocate(edges: DataFrame, metres: float) -> DataFrame:
     """Solve ``x = min(n - earlier units of q, cap - earlier nodes of u)`` on the edges.
 
-    Edges that share neither node nor unit are settled at once.  The others are dealt by the node's tile, whose side is many times
-    the threshold; a tile is solved to its end in one pass.  What a unit gives to nodes of another tile comes in from the round
-    before, so rounds follow the tiles that a chain of contested pairs crosses, not its links, and tiles without such units take one.
+    Edges that share neither node nor unit are settled at once.  The others are dealt by the node's leaf, which is solved to its end in
+    one pass.  What a unit gives to nodes of another leaf comes in from the round before, so rounds follow the leaves that a chain of
+    contested pairs crosses, not its links, and leaves without such units take one.
     """
-    by_q, by_u, by_tile = Window.partitionBy("g", "q"), Window.partitionBy("g", "u"), Window.partitionBy("g", "ty", "tx")
+    by_q, by_u = Window.partitionBy("g", "q"), Window.partitionBy("g", "u")
     columns, zero = ["g", "u", "q", "cap", "n"], F.lit(0).cast("bigint")
     lone = (F.count("*").over(by_q) == 1) & (F.count("*").over(by_u) == 1)
-    side = TILE * metres
-    tiles = [F.floor(F.col("q.lat") * M_PER_DEG_LAT / side).alias("ty"), F.floor(F.col("q.lon") * M_PER_DEG_LON / side).alias("tx")]
-    marked = edges.select(*columns, lone.alias("lone"), *tiles)
-    spans = F.struct(F.min(F.struct("ty", "tx")).over(by_u).alias("a"), F.max(F.struct("ty", "tx")).over(by_u).alias("b"))
-    marked = marked.withColumn("spans", spans).withColumn("open", F.max((F.col("spans.a") != F.col("spans.b")) & ~F.col("lone")).over(by_tile)).drop("spans")
-    marked = cut_lineage(marked)
+    # A unit reaches over a border where its nodes lie in several leaves; such leaves are open.
+    marked = _with_leaves(edges.select(*columns, lone.alias("lone")), metres)
+    place = F.struct("ty", "tx", "leaf")
+    over = F.min(place).over(by_u) != F.max(place).over(by_u)
+    marked = marked.withColumn("over", over & ~F.col("lone"))
+    marked = marked.withColumn("open", F.max("over").over(Window.partitionBy(*LEAF))).drop("over")
+    marked, seen = written(marked, open=F.count_if(F.col("open") & ~F.col("lone")))
     settled = marked.filter("lone").select(*columns, F.least("n", "cap").alias("x"))
-    shared = marked.filter("NOT lone").select(*columns, "ty", "tx", zero.alias("old"), zero.alias("outside"), "open")
+    shared = marked.filter("NOT lone").select(*columns, "ty", "tx", "leaf", zero.alias("old"), zero.alias("outside"), "open")
     closed = _solve(shared.filter("NOT open").drop("open")).select(*columns, "x")
-    state = shared.filter("open").drop("open")
     done = settled.unionByName(closed)
-    if at_most(state, 0):
+    if not seen["open"]:
         return done.filter("x > 0")
-    before = (Window.unboundedPreceding, -1)
+    state, before = shared.filter("open").drop("open"), (Window.unboundedPreceding, -1)
     while True:
-        step = cut_lineage(_solve(state))
-        if at_most(step.filter("x <> old"), 0):
+        step, seen = written(_solve(state), moved=F.count_if(F.col("x") != F.col("old")))
+        if not seen["moved"]:
             return done.unionByName(step.select(*columns, "x")).filter("x > 0")
         all_given = F.coalesce(F.sum("x").over(by_u.orderBy("q").rowsBetween(*before)), zero)
-        own_given = F.coalesce(F.sum("x").over(Window.partitionBy("g", "u", "ty", "tx").orderBy("q").rowsBetween(*before)), zero)
-        state = step.select(*columns, "ty", "tx", F.col("x").alias("old"), (all_given - own_given).alias("outside"))
+        own_given = F.coalesce(F.sum("x").over(Window.partitionBy("g", "u", "ty", "tx", "leaf").orderBy("q").rowsBetween(*before)), zero)
+        state = step.select(*columns, "ty", "tx", "leaf", F.col("x").alias("old"), (all_given - own_given).alias("outside"))
 
 
 def _next_units(units: DataFrame, nodes: DataFrame, given: DataFrame) -> DataFrame:
@@ -178,12 +221,16 @@ def building_units(
 ) -> DataFrame:
     """Units as weighted rows ``(g, u, cap, members)``; ``cap`` is how many alike units."""
     nodes = cut_lineage(_nodes(points, group, source, lon, lat, grade))
-    units, name = None, nodes.agg(F.min("source")).first()[0]
-    while name is not None:
-        arriving = nodes.filter(F.col("source") == name)
-        units = _open_units(arriving) if units is None else cut_lineage(_next_units(units, arriving, _allocate(_edges(units, arriving, metres), metres)))
-        name = nodes.filter(F.col("source") > name).agg(F.min("source")).first()[0]
-    return _open_units(nodes) if units is None else units
+    units, last = None, None
+    while True:
+        later = nodes if last is None else nodes.filter(F.col("source") > last)
+        names = [r[0] for r in later.groupBy("source").agg(F.lit(1)).orderBy("source").limit(NAMES).collect()]
+        for name in names:
+            arriving = nodes.filter(F.col("source") == name)
+            units = _open_units(arriving) if units is None else cut_lineage(_next_units(units, arriving, _allocate(_edges(units, arriving, metres), metres)))
+        if len(names) < NAMES:
+            return _open_units(nodes) if units is None else units
+        last = names[-1]
 
 
 def unit_summary(units: DataFrame) -> DataFrame:

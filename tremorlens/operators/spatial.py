@@ -11,7 +11,7 @@ from tremorlens.functions.geo import (
     M_PER_DEG_LAT, M_PER_DEG_LON, grid_index, haversine_km, plane_m, polygon_contains,
     ring_bounds, wkt_rings,
 )
-from tremorlens.plans.grid import box_keys, box_level, near_keys, near_probes, point_keys
+from tremorlens.plans.grid import box_keys, box_level, cell_edges, near_keys, near_probes, point_keys
 from tremorlens.plans.joins import BROADCAST_ROWS, derived_join, skew_join
 from tremorlens.session import cut_lineage
 
@@ -87,15 +87,58 @@ def near_pairs(
     return pairs.select(key, place, km.alias("km")).filter(F.col("km") <= radius_km)
 
 
+# Halvings of the radius down to the cells that share their candidates, and what a level is larger than its radius.
+HALVINGS, MARGIN = 7, 1.02
+
+
+def _middle(df: DataFrame, metres: float) -> DataFrame:
+    """Cells (_band, _cell) with their middle (_lon, _lat) and the distance from there to the farthest corner (_half, km)."""
+    north, east = cell_edges(F.col("_band"), F.col("_cell"), metres, SPHERE_M_PER_DEG)
+    lat, lon = (north[0] + north[1]) / 2, (east[0] + east[1]) / 2
+    corners = [haversine_km(lat, lon, y, east[1]) for y in north]
+    return df.select("_band", "_cell", lon.alias("_lon"), lat.alias("_lat"), (F.greatest(*corners) * 1.001).alias("_half"))
+
+
+def nearest_candidates(cells: DataFrame, places: DataFrame, place: str, radius_km: float) -> DataFrame:
+    """Places that may be the nearest within the radius of some point of a cell: (_band, _cell, place, _plon, _plat).
+
+    A pyramid of cells, each level of half the size, names one place near every cell that has any.  The distance to the nearest of
+    those is proven for all points of a cell, so only places within it, measured from the middle, are candidates: as many as
+    there are in the ring between, however dense places are elsewhere.
+    """
+    sphere = {"per_lat": SPHERE_M_PER_DEG, "per_lon": SPHERE_M_PER_DEG}
+    widest = radius_km * MARGIN * 1000.0
+    metres, levels = F.lit(widest) / F.pow(F.lit(2.0), F.col("_level")), F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("_level")
+    home = _middle(cells, widest / 2**HALVINGS).withColumnsRenamed({"_band": "_fine_band", "_cell": "_fine_cell"})
+    spots = places.select(F.col(place), "_plon", "_plat").distinct()
+    probes = near_probes(spots.select("*", levels), "_plon", "_plat", metres, **sphere)
+    on, cell = ["_level", "_band", "_cell"], ["_fine_band", "_fine_cell"]
+    some = probes.groupBy(*on).agg(F.min(F.struct("_plon", "_plat")).alias("_some"))
+    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_some._plat"), F.col("_some._plon"))
+    keyed = near_keys(home.select("*", levels), "_lon", "_lat", metres, **sphere)
+    proven = derived_join(keyed, some, on).groupBy(*cell, "_lon", "_lat", "_half").agg(F.min(km + F.col("_half")).alias("_proven"))
+    reach = F.least("_proven", F.lit(float(radius_km))) + F.col("_half")
+    level = F.floor(F.log2(F.lit(widest / 1000.0) / reach))
+    reaching = proven.withColumn("_reach", reach).withColumn("_level", F.greatest(F.least(level, F.lit(HALVINGS)), F.lit(0)).cast("int"))
+    near = derived_join(near_keys(reaching, "_lon", "_lat", metres, **sphere), probes, on)
+    near = near.filter(haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")) <= F.col("_reach") * (1 + 1e-9))
+    return near.select(F.col("_fine_band").alias("_band"), F.col("_fine_cell").alias("_cell"), place, "_plon", "_plat").distinct()
+
+
 def nearest_place(
     points: DataFrame, key: str, lon: str, lat: str, declared: str, places: DataFrame, place: str,
     place_lon: str, place_lat: str, radius_km: float = 25.0,
 ) -> DataFrame:
-    """Declared place when known, else the nearest centre in reach, else NULL (orphan)."""
+    """Declared place when known, else the nearest centre in reach (inclusive; ties by name), else NULL (orphan)."""
     known = places.select(F.col(place).alias(declared), F.col(place).alias("_known")).distinct()
     checked = skew_join(points, known, [declared], "left", spread=F.col(key))
-    loose = checked.filter(F.col("_known").isNull())
-    pairs = near_pairs(loose, key, lon, lat, places, place, place_lon, place_lat, radius_km)
+    metres = radius_km * MARGIN * 1000.0 / 2**HALVINGS
+    loose = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    keyed = near_keys(loose, lon, lat, metres, per_lat=SPHERE_M_PER_DEG, per_lon=SPHERE_M_PER_DEG)
+    centres = places.select(F.col(place), F.col(place_lon).alias("_plon"), F.col(place_lat).alias("_plat")).filter("_plon IS NOT NULL AND _plat IS NOT NULL")
+    candidates = nearest_candidates(keyed.select("_band", "_cell").distinct(), centres, place, radius_km)
+    km = haversine_km(F.col(lat), F.col(lon), F.col("_plat"), F.col("_plon"))
+    pairs = derived_join(keyed.select(key, lon, lat, "_band", "_cell"), candidates, ["_band", "_cell"]).withColumn("km", km).filter(F.col("km") <= radius_km)
     best = pairs.groupBy(key).agg(F.min_by(place, F.struct("km", place)).alias("_nearest"))
     return (
         checked.join(best, key, "left")

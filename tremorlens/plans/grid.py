@@ -3,7 +3,8 @@
 Latitude is cut in bands of one radius.  Inside a band the longitude step is the
 radius at the band's most poleward neighbour, so any two points closer than the
 radius lie in the same or in an adjacent cell.  The small side is copied to nine
-cells, the large side keeps one row per point.
+cells, the large side keeps one row per point.  The radius may be a column, where rows
+belong to levels of their own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def _lon_step(band: Column, lat_step: float, metres: float, per_degree: float) -
 
 
 def near_keys(
-    df: DataFrame, lon: str, lat: str, metres: float, per_lat: float, per_lon: float
+    df: DataFrame, lon: str, lat: str, metres: float | Column, per_lat: float, per_lon: float
 ) -> DataFrame:
     """One cell per row: adds ``_band`` and ``_cell``."""
     step = metres * 1.0001 / per_lat
@@ -34,8 +35,15 @@ def near_keys(
     return keyed.withColumn("_cell", F.floor(F.col(lon) / width))
 
 
+def cell_edges(band: Column, cell: Column, metres: float, per_degree: float) -> tuple[list[Column], list[Column]]:
+    """Latitudes and longitudes (south and north, west and east) between which a cell lies; degrees are alike in both directions."""
+    step = metres * 1.0001 / per_degree
+    width = _lon_step(band, step, metres, per_degree)
+    return [band * step, (band + 1) * step], [cell * width, (cell + 1) * width]
+
+
 def near_probes(
-    df: DataFrame, lon: str, lat: str, metres: float, per_lat: float, per_lon: float
+    df: DataFrame, lon: str, lat: str, metres: float | Column, per_lat: float, per_lon: float
 ) -> DataFrame:
     """The nine cells around each row, under the same two key columns.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # What every job of this package assumes about the session.
 SETTINGS = {
@@ -45,10 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a table in the shared folder, and figures over its rows taken while it is written.
+
+    One job computes, writes and measures; what follows reads the table, so the loss of an executor costs no more than a stage of it.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    seen = Observation() if measures else None
+    watched = df.observe(seen, *(c.alias(k) for k, c in measures.items())) if measures else df
+    watched.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if measures else {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """A table in the shared folder in place of the plan that leads to it: computed once, and safe from the loss of executors."""
+    return written(df)[0]
