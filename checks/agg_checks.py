@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import (
     CAPTURES_SQL, CENTRES_SQL, POINTS_SQL, REGISTRY_SQL, captures, centres, haversine_sql, points, positioned, query, registry, table,
 )
+from checks.spatial_checks import LOCATED_SQL, TOWN_SQL, UNITS_SQL, resolved_units
 from tremorlens.operators import alerts, citizen, consensus, coverage, influence, media, quality, snapshots, spatial
 from tremorlens.operators import registry as reg
 from tremorlens.sources import sinks
@@ -251,8 +252,8 @@ def a15(spark, d):
     return coverage.press_silence(_layer(spark, d))
 
 
-EVIDENCE_SQL = f"""{POINTS_SQL}, n AS (SELECT place, count(*) FILTER (source = 's0') AS n_satellite, count(*) FILTER (source = 's1' AND label < 5) AS n_citizen, count(*) FILTER (source = 's2' AND label > 5) AS n_vendor_a, count(*) FILTER (label = 6) AS n_vendor_b FROM points WHERE place IS NOT NULL GROUP BY place),
-ev AS (SELECT *, CASE WHEN place = 'P2' THEN 11 ELSE greatest(n_satellite, n_vendor_a, n_vendor_b) END AS n_evaluated FROM n WHERE n_satellite + n_citizen + n_vendor_a + n_vendor_b > 0)"""
+EVIDENCE_SQL = f"""{TOWN_SQL}, {LOCATED_SQL}, {UNITS_SQL}, n AS (SELECT place, count(*) FILTER (source = 's0') AS n_satellite, count(*) FILTER (source = 's1' AND label < 5) AS n_citizen, count(*) FILTER (source = 's2' AND label > 5) AS n_vendor_a, count(*) FILTER (label = 6) AS n_vendor_b FROM points WHERE place IS NOT NULL GROUP BY place),
+ev AS (SELECT n.*, coalesce(units, greatest(n_satellite, n_vendor_a, n_vendor_b)) AS n_evaluated FROM n LEFT JOIN solved USING (place) WHERE n_satellite + n_citizen + n_vendor_a + n_vendor_b > 0)"""
 
 
 def _evidence(spark, d):
@@ -261,7 +262,7 @@ def _evidence(spark, d):
     def n(condition: str):
         return p.filter(condition).groupBy("place").agg(F.count("*").alias("n"))
 
-    units = p.select("place").distinct().select("place", F.when(F.col("place") == "P2", 11).alias("units"))
+    units = resolved_units(spark, d)
     return coverage.point_evidence(n("source = 's0'"), n("source = 's1' AND label < 5"), n("source = 's2' AND label > 5"), n("label = 6"), units)
 
 

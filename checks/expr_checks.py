@@ -194,9 +194,8 @@ def p16(spark, d):
     k = F.col("p_partkey")
     name = F.when(k % 2 == 0, F.concat(F.lit("map_nation_"), (k % 25).cast("string"), F.lit("_end"))).otherwise(F.concat(F.lit("map_Town"), (k % 10).cast("string"), F.lit("_end")))
     places = table(spark, d, "nation").select(F.col("n_name").alias("municipality"), F.col("n_regionkey").cast("string").alias("department"))
-    titles = table(spark, d, "part").filter(k % 10 < 9).select(
-        F.concat(F.lit("Damage in Town"), (k % 10).cast("string"), F.lit(" Town, Dept "), (k % 10).cast("string"), F.lit(" Department, Country")).alias("title")
-    )
+    stated = F.concat(F.lit("Damage in Town"), (k % 10).cast("string"), F.lit(" Town, Dept "), (k % 10).cast("string"), F.lit(" Department, Country"))
+    titles = table(spark, d, "part").select(F.when(k % 10 < 9, stated).when(k % 20 == 9, "Damage in general").alias("title"))
     rows = archives.place_from_name(table(spark, d, "part").select(k, name.alias("file")), "file", r"map_(\w+)_end", places)
     return archives.department_with_origin(rows, titles).select("p_partkey", "department", "department_origin")
 

@@ -518,7 +518,7 @@ def k10(spark, d):
     reports = table(spark, d, "events").select(
         F.concat(F.lit("https://up.example/"), key, F.when(k % 2 == 0, ".mp4").otherwise(".jpg")).alias("media_url"), F.md5(F.col("user_id").cast("string").cast("binary")).alias("sha")
     )
-    stored = table(spark, d, "events").filter(k % 10 == 0).select(F.concat(key, F.lit(".mp4")).alias("object"), F.col("user_id").alias("bytes"))
+    stored = table(spark, d, "events").select(F.when(k % 10 == 0, F.concat(key, F.lit(".mp4"))).when(k % 10 != 4, F.concat(key, F.lit(".part"))).alias("object"), F.col("user_id").alias("bytes"))
     return citizen.media_manifest(reports, stored).select("object", "sha", "bytes")
 
 
@@ -537,7 +537,8 @@ def j26(spark, d):
         F.when(k % 5 != 0, path).alias("path"), F.concat_ws(":", F.sha2("text", 256), k.cast("string")).alias("sha256"), F.lit(200).alias("status"),
         F.col("n_chars").alias("bytes"), F.when(k % 11 == 0, "probe").alias("note"),
     )
-    bodies = docs.filter(k % 5 != 1).select(path.alias("path"), F.concat_ws(":", F.sha2(F.when(k % 5 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256), k.cast("string")).alias("body_sha"))
+    kept = F.when(k % 5 != 1, path).when(k % 2 == 0, F.concat(F.lit("elsewhere/"), path))
+    bodies = docs.select(kept.alias("path"), F.concat_ws(":", F.sha2(F.when(k % 5 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256), k.cast("string")).alias("body_sha"))
     out = log_integrity(log, bodies, ["probe"])
     return out.select(F.element_at(F.split("sha256", ":"), -1).cast("bigint").alias("doc_id"), "problem")
 

@@ -68,7 +68,10 @@ def p32(spark, d):
     )
 
 
-def _grid(spark, d):
+GRID = {"x0": -0.3, "x1": 0.3, "nx": 50, "y0": -0.25, "y1": 0.25, "ny": 40}
+
+
+def grid(spark, d):
     """A 50 x 40 grid over the box: parts supply the values, later parts win a cell."""
     part = table(spark, d, "part")
     return part.groupBy(F.pmod("p_partkey", F.lit(50)).alias("ix"), F.pmod(F.floor(F.col("p_partkey") / 50), F.lit(40)).alias("iy")).agg(
@@ -76,16 +79,15 @@ def _grid(spark, d):
     )
 
 
-@query(
-    "P33",
-    f"""WITH {POINTS_SQL}, g AS (SELECT p_partkey % 50 AS ix, (p_partkey // 50) % 40 AS iy, arg_max(p_retailprice, p_partkey) AS value FROM part GROUP BY ALL),
-    k AS (SELECT id, round_even((lon + 0.3) / 0.6 * 49, 0) AS fx, round_even((lat + 0.25) / 0.5 * 39, 0) AS fy FROM points)
-    SELECT id, g.value AS intensity FROM k LEFT JOIN g ON fx BETWEEN 0 AND 49 AND fy BETWEEN 0 AND 39 AND g.ix = fx AND g.iy = fy""",
-)
+# The value of the nearest cell for every row of ``points``.
+GRID_SQL = """grid_cells AS (SELECT p_partkey % 50 AS ix, (p_partkey // 50) % 40 AS iy, arg_max(p_retailprice, p_partkey) AS value FROM part GROUP BY ALL),
+    grid_spots AS (SELECT id, round_even((lon + 0.3) / 0.6 * 49, 0) AS fx, round_even((lat + 0.25) / 0.5 * 39, 0) AS fy FROM points),
+    felt AS (SELECT id, c.value AS intensity FROM grid_spots LEFT JOIN grid_cells c ON fx BETWEEN 0 AND 49 AND fy BETWEEN 0 AND 39 AND c.ix = fx AND c.iy = fy)"""
+
+
+@query("P33", f"WITH {POINTS_SQL}, {GRID_SQL} SELECT id, intensity FROM felt")
 def p33(spark, d):
-    header = {"x0": -0.3, "x1": 0.3, "nx": 50, "y0": -0.25, "y1": 0.25, "ny": 40}
-    out = spatial.grid_value(points(spark, d), F.col("lon"), F.col("lat"), header, _grid(spark, d), "intensity")
-    return out.select("id", "intensity")
+    return spatial.grid_value(points(spark, d), F.col("lon"), F.col("lat"), GRID, grid(spark, d), "intensity").select("id", "intensity")
 
 
 @query("J05", f"WITH {POINTS_SQL}, {ZONES_SQL} SELECT p.id, h.zone FROM points p LEFT JOIN hit h USING (id)")
@@ -147,6 +149,18 @@ unit AS (SELECT place, len(list_distinct(list_transform(m, lambda q: q.s))) AS s
 solved AS (SELECT place, count(*) AS units, count(*) FILTER (services > 1) AS agreements, count(*) FILTER (services > 1 AND grades > 1) AS grade_disagreements, count(*) FILTER (services = 1) AS single_source FROM unit GROUP BY place)"""
 
 
+# Places whose services are joined; the others count by their greatest service.
+JOINED = ("P1", "P2", "P3")
+LOCATED_SQL = f"located AS (SELECT * FROM points WHERE place IN {JOINED})"
+
+
+def resolved_units(spark, d):
+    """Units of J18 for the places that are joined: place, units."""
+    located = town(spark, d).withColumn("place", F.when(F.col("place").isin(*JOINED), F.col("place"))).filter("place IS NOT NULL")
+    units = buildings.building_units(located, "place", "source", "lon", "lat", "grade", METRES)
+    return buildings.unit_summary(units).select(F.col("group_key").alias("place"), "units")
+
+
 @query("J18", f"WITH {TOWN_SQL}, located AS (SELECT * FROM points), {UNITS_SQL} SELECT place AS group_key, units, agreements, grade_disagreements, single_source FROM solved")
 def j18(spark, d):
     units = buildings.building_units(town(spark, d), "place", "source", "lon", "lat", "grade", METRES)
@@ -217,16 +231,17 @@ def a07(spark, d):
 
 @query(
     "A19",
-    f"""WITH {POINTS_SQL}, c AS (SELECT place, count(*) FILTER (source = 's0') a, count(*) FILTER (source = 's1') b, count(*) FILTER (source = 's2') c
+    f"""WITH {TOWN_SQL}, {LOCATED_SQL}, {UNITS_SQL}, c AS (SELECT place, count(*) FILTER (source = 's0') a, count(*) FILTER (source = 's1') b, count(*) FILTER (source = 's2') c
       FROM points WHERE place IS NOT NULL GROUP BY place)
-    SELECT place, CASE WHEN place = 'P1' THEN CAST(7 AS BIGINT) ELSE greatest(a, b, c) END AS evaluated FROM c""",
+    SELECT place, CAST(coalesce(units, greatest(a, b, c)) AS BIGINT) AS evaluated FROM c LEFT JOIN solved USING (place)""",
 )
 def a19(spark, d):
     per = points(spark, d).filter("place IS NOT NULL").groupBy("place").agg(
         *[F.count_if(F.col("source") == s).alias(s) for s in ("s0", "s1", "s2")]
     )
-    resolved = F.when(F.col("place") == "P1", F.lit(7).cast("bigint"))
-    return per.select("place", buildings.evaluated_buildings(resolved, F.col("s0"), F.col("s1"), F.col("s2")).alias("evaluated"))
+    return per.join(resolved_units(spark, d), "place", "left").select(
+        "place", buildings.evaluated_buildings(F.col("units"), F.col("s0"), F.col("s1"), F.col("s2")).alias("evaluated")
+    )
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import POINTS_SQL, REGISTRY_SQL, ZONES_SQL, captures, points, positioned, query, registry, table, zones
+from checks.spatial_checks import GRID, GRID_SQL, grid
 from tremorlens.functions import report
 from tremorlens.operators import citizen, coverage, media, snapshots, spatial
 from tremorlens.operators import registry as reg
@@ -61,13 +62,15 @@ def w08(spark, d):
 @query(
     "W09",
     f"""WITH {MEDIA_SQL}, {ZONES_SQL.replace("points AS", "unused AS")},
-    s AS (SELECT d.id, h.zone, CAST((d.id % 9 >= 5)::INT + (h.zone IS NOT NULL)::INT + (d.id % 4 <> 0)::INT + 2 * (d.sha IS NOT NULL AND d.duplicate_of IS NULL)::INT AS INTEGER) AS score FROM dup d LEFT JOIN hit h USING (id))
+    {GRID_SQL},
+    s AS (SELECT d.id, h.zone, CAST(coalesce(f.intensity % 9 >= 5, false)::INT + (h.zone IS NOT NULL)::INT + (d.id % 4 <> 0)::INT + 2 * (d.sha IS NOT NULL AND d.duplicate_of IS NULL)::INT AS INTEGER) AS score FROM dup d LEFT JOIN hit h USING (id) LEFT JOIN felt f USING (id))
     SELECT id, zone, score, CASE WHEN id % 13 = 0 THEN 'validado' WHEN score >= 3 THEN 'coherente' ELSE 'recibido' END AS state FROM s""",
 )
 def w09(spark, d):
     k = F.col("id")
     placed = spatial.containing_zone(_media(spark, d), "id", "lon", "lat", zones(spark, d), "zone", "wkt")
-    ready = placed.withColumn("intensity", k % 9).withColumn("ts", F.when(k % 4 == 0, "2026-08-10T12:00:00").otherwise("2026-08-11T00:00:00")).withColumn(
+    felt = spatial.grid_value(placed, F.col("lon"), F.col("lat"), GRID, grid(spark, d), "felt")
+    ready = felt.withColumn("intensity", F.col("felt") % 9).withColumn("ts", F.when(k % 4 == 0, "2026-08-10T12:00:00").otherwise("2026-08-11T00:00:00")).withColumn(
         "state", F.when(k % 13 == 0, "validado").otherwise("recibido")
     )
     return citizen.score_reports(ready, F.lit("2026-08-10T12:34:28")).select("id", "zone", "score", "state")
