@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
 from tremorlens.llm import exact_dedup, simhash
 from tremorlens.llm.components import components
 
@@ -73,6 +74,20 @@ def test_exact_dedup_is_native(make, texts):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_runs_are_merged_in_order_without_dealing_them_anew(spark, make, texts):
+    """Two runs meet in a merge join right above their bucketed scans: no exchange."""
+    runs = []
+    for part in (texts, [*texts, "more"]):
+        content = F.coalesce("text", F.lit(""))
+        rows = make(part).select(F.unhex(F.sha2(content, 256)).alias("digest"), F.octet_length(content).alias("n_bytes"), F.xxhash64(content).alias("check"), F.col("doc_id"))
+        runs.append(exact_dedup._sorted_run(rows.groupBy(*exact_dedup.SAME).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).repartition(4, *exact_dedup.SAME), 4))
+    both = exact_dedup.merged(*runs, F.greatest)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "FullOuter" in plan and "Exchange" not in plan
+    assert {r["keep_id"]: r["group_size"] for r in both.collect()}[len(texts)] == 1
+    assert sum(r["group_size"] for r in both.collect()) == 2 * len(texts) + 1
+
+
 def test_fingerprints(texts):
     assert simhash.fingerprints_of([t or "" for t in texts]).tolist() == [plain_fingerprint(t) for t in texts]
 
