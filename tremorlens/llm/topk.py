@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tremorlens.llm.common import landed
 
 #: Candidates of a block, queries of a block, and queries processed together.
-CANDIDATES, QUERIES, TOGETHER = 1 << 16, 512, 64
+CANDIDATES, QUERIES, TOGETHER = 1 << 13, 1 << 14, 64
 
 
 class Block:
