@@ -97,14 +97,16 @@ def j21(spark, d):
 @query(
     "P26",
     """WITH r AS (SELECT o_orderkey, o_custkey AS persons, (o_orderkey * 7) % 900 + 1 AS families, o_orderkey % 50 + 1 AS deaths FROM orders)
-    SELECT o_orderkey, CASE WHEN persons >= families AND persons >= deaths THEN persons END AS persons, families, deaths,
+    SELECT o_orderkey, CASE WHEN persons >= families AND persons >= deaths THEN persons WHEN o_orderkey % 3 = 0 THEN 100000 END AS persons, families, deaths,
       CAST(CASE WHEN persons >= families AND persons >= deaths THEN 1 ELSE 2 END AS INTEGER) AS n_attempts,
-      CASE WHEN persons >= families AND persons >= deaths THEN NULL ELSE 'personas_afectadas' END AS discarded FROM r""",
+      CASE WHEN (persons >= families AND persons >= deaths) OR o_orderkey % 3 = 0 THEN NULL ELSE 'personas_afectadas' END AS discarded FROM r""",
 )
 def p26(spark, d):
     k = F.col("o_orderkey")
+    # the wording of an image is read only when the text without images contradicts itself
+    linked = F.when(k % 3 == 0, "![100.000 personas afectadas](https://x.example/balance.jpg) ").otherwise("")
     text = F.concat(
-        F.col("o_custkey").cast("string"), F.lit(" personas afectadas y "), ((k * 7) % 900 + 1).cast("string"), F.lit(" familias damnificadas; "),
+        linked, F.col("o_custkey").cast("string"), F.lit(" personas afectadas y "), ((k * 7) % 900 + 1).cast("string"), F.lit(" familias damnificadas; "),
         (k % 50 + 1).cast("string"), F.lit(" fallecidos."),
     )
     rows = report.read_figures(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "text")

@@ -92,7 +92,7 @@ def j09(spark, d):
 def j10(spark, d):
     k = F.col("c_custkey") % 4
     catalog = _nation_places(spark, d).select(F.col("municipality").alias("name"), "department", F.col("code").cast("string").alias("code"), F.col("municipality").alias("resolved"))
-    base = table(spark, d, "customer").join(F.broadcast(_nation_places(spark, d)), F.col("c_nationkey") == F.col("code"))
+    base = table(spark, d, "customer").join(_nation_places(spark, d), F.col("c_nationkey") == F.col("code"))
     rows = base.select(
         "c_custkey", F.when(k == 0, F.lower("municipality")).when(k == 1, F.concat(F.replace("municipality", F.lit("_"), F.lit(" - ")))).when(k == 2, "renamed").otherwise("gone").alias("name"),
         F.upper("department").alias("dep"), F.when(k == 2, F.lpad(F.col("code").cast("string"), 3, "0")).when(k == 3, "zz").alias("code"),

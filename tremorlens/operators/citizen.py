@@ -58,7 +58,7 @@ def daily_reports(reports: DataFrame, day: Column, event_day: str, capture_day:
         F.explode(F.sequence(F.lit(event_day).cast("date"), F.date_sub(F.lit(capture_day).cast("date"), 1))).alias("day")
     )
     closed = calendar.join(counted, "day", "left").select("day", F.coalesce("_n", F.lit(0)).alias("n"))
-    other = counted.join(F.broadcast(calendar), "day", "left_anti").select("day", F.col("_n").alias("n"))
+    other = counted.join(calendar, "day", "left_anti").select("day", F.col("_n").alias("n"))
     return closed.unionByName(other)
 
 
