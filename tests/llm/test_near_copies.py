@@ -5,13 +5,18 @@ import random
 import numpy as np
 
 from tremorlens.llm import near_copies
+from tremorlens.llm.simhash import shingle_hashes
+
+
+def runs(text):
+    return near_copies.word_runs(shingle_hashes(text, 5))
 
 
 def test_runs_of_words():
-    assert len(near_copies.word_runs("")) == len(near_copies.word_runs(" \n\t")) == 0
-    assert near_copies.word_runs("A b  C").tolist() == near_copies.word_runs("a B c").tolist() and len(near_copies.word_runs("a b c")) == 1
-    assert len(near_copies.word_runs("a b c d e f")) == 2 and len(near_copies.word_runs("a " * 500)) == 1
-    assert len(near_copies.bands_of(near_copies.word_runs("word " * 9))) == near_copies.BANDS
+    assert len(runs("")) == len(runs(" \n\t")) == 0
+    assert runs("A b  C").tolist() == runs("a B c").tolist() and len(runs("a b c")) == 1
+    assert len(runs("a b c d e f")) == 2 and len(runs("a " * 500)) == 1
+    assert len(near_copies.bands_of(runs("word " * 9))) == near_copies.BANDS
 
 
 def test_likeness():
@@ -45,7 +50,7 @@ def test_chains_cross_partitions(spark):
 def test_alike_texts_are_linked(spark):
     words = [f"w{i}" for i in range(200)]
     texts = {1: words, 2: [*words[:-3], "x", "y", "z"], 3: [*words[:100], *(f"o{i}" for i in range(100))], 4: [], 5: ["short"]}
-    sets = {k: near_copies.word_runs(" ".join(t)) for k, t in texts.items()}
+    sets = {k: runs(" ".join(t)) for k, t in texts.items()}
     rows = [(k, bytearray(s.astype("<u4").tobytes()), near_copies.bands_of(s) if len(s) else []) for k, s in sets.items()]
     got = near_copies.alike(spark.createDataFrame(rows + rows[:2], "node long, runs binary, lists array<long>"), 0.8).collect()
     assert {frozenset((r["a"], r["b"])) for r in got} == {frozenset((1, 2))}

@@ -14,6 +14,8 @@ of one group of copies give the same few links.  Every link is verified by the e
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,43 +24,34 @@ from pyspark.sql import functions as F
 
 from tremorlens.llm.common import landed
 
-#: Words of a run, likeness from which on texts are near copies, bands of a signature and hash functions of a band.
-RUN, LIKENESS, BANDS, ROWS = 5, 0.8, 20, 8
+#: Likeness from which on texts are near copies, bands of a signature and hash functions of a band.
+LIKENESS, BANDS, ROWS = 0.8, 20, 8
 #: Runs that are hashed by all functions at a time.
-TOGETHER = 1 << 12
-LOWER = bytes(range(256)).lower()
+TOGETHER = 1 << 10
 
 
-def word_runs(text: str, run: int = RUN) -> np.ndarray:
-    """Distinct hashes (uint32, sorted) of the runs of ``run`` words; A-Z lower-cased, words split at ASCII white space; fewer words are one run, none are none."""
-    words = text.encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint32)
-    joined = b" ".join(words)
-    if len(words) <= run:
-        return np.array([xxhash.xxh32_intdigest(joined)], dtype=np.uint32)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    begins = np.append(0, ends[:-1])[: len(words) - run + 1]
-    hashed = xxhash.xxh32_intdigest
-    return np.unique(np.array([hashed(joined[a:b]) for a, b in zip(begins.tolist(), (ends[run - 1 :] - 1).tolist(), strict=True)], dtype=np.uint32))
+def word_runs(hashes: list[int]) -> np.ndarray:
+    """Set of the runs of a text (uint32, sorted) from the hashes of them all."""
+    return np.unique(np.array(hashes, dtype=np.uint64).astype(np.uint32))
 
 
+@lru_cache(maxsize=4)
 def functions_of(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and summands of the hash functions, by a fixed seed."""
     rng = np.random.default_rng(5)
-    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def bands_of(runs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
     """Value of each band: a hash of the smallest values of its functions, with the number of the band."""
     a, b = functions_of(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
     for i in range(0, len(runs), TOGETHER):
-        x = runs[i : i + TOGETHER].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        least = np.minimum(least, (x[:, None] * a[None, :] + b[None, :]).min(axis=0))
+        x = np.multiply.outer(runs[i : i + TOGETHER], a)
+        x += b
+        np.minimum(least, x.min(axis=0), out=least)
     raw = least.tobytes()
-    return [xxhash.xxh64_intdigest(raw[8 * rows * k : 8 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
+    return [xxhash.xxh64_intdigest(raw[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> float:
@@ -108,8 +101,9 @@ def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            good = np.fromiter((likeness(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in pairs), dtype=bool, count=batch.num_rows)
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                good[k] = likeness(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) >= least
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
 
     left, right = sets.toDF("a", "left"), sets.toDF("b", "right")

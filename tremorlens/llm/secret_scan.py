@@ -22,7 +22,6 @@ from collections import Counter
 from itertools import accumulate
 from math import erfc, exp, log, sqrt
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,8 +222,8 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-@F.pandas_udf(T.StringType())
-def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
     def clean(text, found):
         parts, at = [], -1
         for s in found:
@@ -235,7 +234,7 @@ def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
             at = s["end"]
         return "".join([*parts, text[at:]])
 
-    return pd.Series([None if t is None else clean(t, f) for t, f in zip(texts, spans, strict=True)], dtype=object)
+    return pa.array((None if t is None else clean(t, f) for t, f in zip(texts.to_pylist(), spans.to_pylist(), strict=True)), pa.string())
 
 
 def redacted(text: Column, spans: Column) -> Column:

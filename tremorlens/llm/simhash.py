@@ -44,18 +44,17 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> list[int]:
     return [hashed(joined[a:b], 42) for a, b in zip(begins[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
 
 
+def fingerprint_of(hashes: list[int]) -> int:
+    """64-bit fingerprint: a bit is set if it is set in over half of the hashes; no hashes give zero."""
+    bits = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0]) if hashes else 0
+
+
 def fingerprints_of(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the hashes; no words give zero."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for k, t in enumerate(texts):
-        hashes = shingle_hashes(t, shingle)
-        if hashes:
-            bits = np.zeros(64, dtype=np.int64)
-            for i in range(0, len(hashes), 1 << 14):
-                part = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
-                bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+    return np.array([fingerprint_of(shingle_hashes(t, shingle)) for t in texts], dtype=np.uint64)
 
 
 def near(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
@@ -182,8 +181,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Fingerprint and component of every document: id, fingerprint (long), component_id.
 
-    Documents are linked when their fingerprints differ in at most ``bits`` bits, and, if ``likeness`` is given, when their sets of runs of five
-    words are that much alike (see ``near_copies``); component_id is the smallest id reachable, the document's own included.  A null text is
+    Documents are linked when their fingerprints differ in at most ``bits`` bits, and, if ``likeness`` is given, when their sets of shingles
+    are that much alike (see ``near_copies``); component_id is the smallest id reachable, the document's own included.  A null text is
     empty; texts without words have fingerprint zero and are linked like any other; repeated rows come back as often as they are there; a
     null id takes part but names no component unless it is alone (then null); an empty table gives no rows.  Copies meet as one fingerprint
     before anything is indexed.
@@ -192,10 +191,10 @@ def near_duplicates(
 
     def work(batches):
         for part in slices(batches):
-            texts = texts_of(part.column(1))
-            columns = [part.column(0), pa.array(fingerprints_of(texts, shingle).view(np.int64))]
+            hashes = [shingle_hashes(t, shingle) for t in texts_of(part.column(1))]
+            columns = [part.column(0), pa.array(np.array([fingerprint_of(h) for h in hashes], dtype=np.uint64).view(np.int64))]
             if likeness is not None:
-                sets = [near_copies.word_runs(t) for t in texts]
+                sets = [near_copies.word_runs(h) for h in hashes]
                 columns.append(pa.array([x.astype("<u4").tobytes() for x in sets], pa.binary()))
                 columns.append(pa.array([near_copies.bands_of(x) if len(x) else [] for x in sets], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fingerprint", "runs", "lists"][: len(columns)])
