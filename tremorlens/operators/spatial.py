@@ -13,7 +13,7 @@ from tremorlens.functions.geo import (
 )
 from tremorlens.plans.grid import box_keys, box_level, cell_edges, near_keys, near_probes, point_keys
 from tremorlens.plans.joins import BROADCAST_ROWS, derived_join, skew_join
-from tremorlens.session import cut_lineage
+from tremorlens.session import cut_lineage, written
 
 # Metres per degree on the 6371 km sphere, for grids that serve haversine distances.
 SPHERE_M_PER_DEG = 111194.0
@@ -31,14 +31,13 @@ def prepare_zones(zones: DataFrame, zone: str, wkt: str) -> DataFrame:
 
 def zone_hits(points: DataFrame, key: str, lon: str, lat: str, zones: DataFrame, zone: str, wkt: str) -> DataFrame:
     """``(key, zone)`` with the smallest containing zone; points outside all are absent."""
-    shapes = prepare_zones(zones, zone, wkt)
     box = F.col("_box")
     level = box_level(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    summary = shapes.agg(
-        F.collect_set(level).alias("levels"),
-        F.sum(F.aggregate("_rings", F.lit(0), lambda n, r: n + F.size(r))).alias("vertices"),
-    ).first()
-    levels = sorted(summary["levels"]) or [0]
+    # shapes are parsed once; how large they are, and on which levels, is seen while they are written
+    shapes, summary = written(
+        prepare_zones(zones, zone, wkt), levels=F.collect_set(level), vertices=F.sum(F.aggregate("_rings", F.lit(0), lambda n, r: n + F.size(r)))
+    )
+    levels = sorted(summary["levels"] or []) or [0]
     small_enough = (summary["vertices"] or 0) <= BROADCAST_VERTICES
     probes = point_keys(
         points.select(key, lon, lat).filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()), lon, lat, levels
