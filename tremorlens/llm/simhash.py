@@ -3,8 +3,8 @@
 Two fingerprints of eight bytes that differ in at most ``bits`` bits share at least 8 - bits
 positional bytes: that is the guaranteed minimum of matches.  Posting lists of single bytes are
 useless at scale (256 values), so lists are intersected in advance: one posting for each choice
-of minimum-many positions.  Two fingerprints meet in a list only if their tally of shared bytes
-reaches the minimum; there the pair is verified by counting differing bits.
+of minimum-many positions.  Inside a list the shared bytes of each pair are tallied; pairs that reach the
+minimum, and no others, are verified by counting differing bits.
 
 A list never gives out its pairs.  Its members are searched from a growing set of reached ones,
 so that a list of m members yields at most m - 1 links that join the same members.  Lists that
@@ -58,8 +58,12 @@ def fingerprints_of(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def near(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    """Verification of pairs: few enough differing bits.  Members of a list have reached the minimum of shared bytes already."""
-    return np.bitwise_count(left[:, None] ^ right[None, :]) <= bits
+    """Pairs that are linked: those whose tally of shared positional bytes reaches the minimum, verified by their differing bits."""
+    differ = left[:, None] ^ right[None, :]
+    tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
+    kept = tally >= 8 - bits
+    kept[kept] = np.bitwise_count(differ[kept]) <= bits
+    return kept
 
 
 def accompanied(members: np.ndarray, bits: int) -> np.ndarray:
