@@ -237,3 +237,23 @@ def test_sample_is_bounded(spark, make):
     docs, labels, toxic = labelled(make, spark, 300)
     picked = toxicity.sample_of(docs, labels, "doc_id", "text", 10).groupBy("toxic").count().collect()
     assert {r["toxic"]: r["count"] for r in picked} == {0: 10, 1: 10}
+
+
+@pytest.mark.parametrize("scan", ["pii", "secrets"])
+def test_cost_follows_the_matches_of_a_text(spark, scan):
+    """Twice as many matches in one text cost about twice as much, not four times."""
+    import time
+
+    keys, seconds = random.Random(8), []
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (500, 8000, 16000):  # the first one warms up
+        words = (f"write to user{i}@example.com now" if scan == "pii" else "".join(keys.choice(letters) for _ in range(32)) for i in range(n))
+        df = spark.createDataFrame([(1, " and ".join(words))], "doc_id long, text string")
+        began = time.perf_counter()
+        if scan == "pii":
+            assert pii.personal_data(df).select(F.size("spans")).first()[0] == n
+        else:
+            found = secret_scan.secrets(df).select(F.size("spans"), F.length(secret_scan.redacted(F.col("row.text"), F.col("spans")))).first()
+            assert found[0] > 0.9 * n and found[1] < 20 * n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] <= 2.5 * seconds[1] + 1

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>"
 #: Code points before a span in which context words count.
 CONTEXT = 48
+#: Matches of a kind that are gathered before they join the others of a text.
+BLOCK = 128
 #: Score of a span without context, and what context words add.
 CHECKED, UNCHECKED, NEARBY = 0.8, 0.6, 0.2
 
@@ -81,10 +83,19 @@ def _spans(kind: str, rank: int, gaps: Column, matches: Column) -> Column:
         tail = F.right(F.concat(state["tail"], x["gap"], x["match"]), F.lit(CONTEXT))
         return F.struct(end.alias("at"), tail.alias("tail"), F.when(VALID[kind](x["match"]), F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("found"))
+    def block(state, i):
+        """One block of matches: its spans are gathered apart, so that no list grows with the text."""
+        mine = [F.slice(x, i * BLOCK + 1, F.lit(BLOCK)) for x in (gaps, matches)]
+        pairs = F.arrays_zip(mine[0].alias("gap"), mine[1].alias("match"))
+        within = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), none.alias("found"))
+        # of the last block's gaps one is left over, behind the last match
+        done = F.aggregate(F.filter(pairs, lambda x: x["match"].isNotNull()), within, step)
+        return F.aggregate(F.array(done), state, lambda s, d: F.struct(d["at"].alias("at"), d["tail"].alias("tail"), F.array_append(s["found"], d["found"]).alias("found")))
+
     none = F.array().cast(SPAN)
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(none)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(matches) > 0, F.aggregate(numbers, start, block, lambda s: F.flatten(s["found"]))).otherwise(none)
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
