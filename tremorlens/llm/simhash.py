@@ -195,12 +195,17 @@ def near_duplicates(
 
     def work(batches):
         for part in slices(batches):
-            hashes = [shingle_hashes(t, shingle) for t in texts_of(part.column(1))]
-            columns = [part.column(0), pa.array(np.array([fingerprint_of(h) for h in hashes], dtype=np.uint64).view(np.int64))]
+            prints, sets, lists = np.zeros(part.num_rows, dtype=np.uint64), [], []
+            for k, t in enumerate(texts_of(part.column(1))):
+                hashes = shingle_hashes(t, shingle)  # of one text at a time
+                prints[k] = fingerprint_of(hashes)
+                if likeness is not None:
+                    runs = near_copies.word_runs(hashes)
+                    sets.append(runs.astype("<u4").tobytes())
+                    lists.append(near_copies.bands_of(runs) if len(runs) else [])
+            columns = [part.column(0), pa.array(prints.view(np.int64))]
             if likeness is not None:
-                sets = [near_copies.word_runs(h) for h in hashes]
-                columns.append(pa.array([x.astype("<u4").tobytes() for x in sets], pa.binary()))
-                columns.append(pa.array([near_copies.bands_of(x) if len(x) else [] for x in sets], pa.list_(pa.int64())))
+                columns += [pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fingerprint", "runs", "lists"][: len(columns)])
 
     schema = f"id {kind}, fingerprint long" + (", runs binary, lists array<long>" if likeness is not None else "")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlens.llm.common import slices, texts_of
+from tremorlens.llm.common import SLICE_BYTES, slices, texts_of
 
 #: n-gram lengths, hash buckets (as bits), and labelled rows of each label that the classifier is fitted on at most.
 SIZES, BITS, SAMPLE = (3, 4, 5), 18, 1500
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """Fit the classifier: features in tasks, the fit on the driver over the bounded sample's bucket numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, SLICE_BYTES // 8):  # all n-grams of a text, not only those with a weight
             row, bucket = features(texts_of(part.column(0)))
             cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "buckets"])
