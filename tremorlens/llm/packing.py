@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlens.llm.bpe import json_encoder, runs
-from tremorlens.llm.common import landed, slices, texts_of
+from tremorlens.llm.common import SLICE_BYTES, landed, slices, texts_of
 
 SEQUENCE = 2048
 #: Tokens of one service.
@@ -49,7 +49,7 @@ def coded_parts(docs: DataFrame, path: str, id_column: str, text: str, source: s
 
         encoder, task, slots, sent = json_encoder(path), TaskContext.get().partitionId(), {}, []
         last = END_ID.to_bytes(4, "little")
-        for part in slices(batches):
+        for part in slices(batches, 1, SLICE_BYTES // 2):
             ids, begin = encoder.encode(texts_of(part.column(1)))
             n = np.diff(begin) + 1
             slot = np.zeros(len(n), dtype=np.int64)

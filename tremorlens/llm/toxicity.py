@@ -147,7 +147,7 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "te
         table = np.zeros(1 << BITS)
         table[np.frombuffer(packed[0], dtype="<i4")] = np.frombuffer(packed[1], dtype="<f8")
         keep = table != 0
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, SLICE_BYTES // 4):  # a letter is several n-grams
             row, bucket = features(texts_of(part.column(0)), keep)
             total = np.bincount(row, weights=table[bucket], minlength=part.num_rows) + bias
             value = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
