@@ -75,6 +75,6 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep
         level = upper
     found = level[0].select(*(F.col(c).alias(f"of_{c}") for c in SAME), "keep_id", "group_size")
     equal = [marked[c] == found[f"of_{c}"] for c in SAME]
-    return marked.join(found, equal[0] & equal[1] & equal[2]).select(
+    return marked.join(found.hint("merge"), equal[0] & equal[1] & equal[2]).select(
         F.col("id").alias(id_column), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
