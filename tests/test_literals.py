@@ -151,6 +151,15 @@ def test_salted_join_equals_broadcast(spark):
         assert a == b
 
 
+def test_salted_side_is_never_broadcast(spark):
+    """Its copies per bucket are not in the size that Spark estimates from the file."""
+    from tremorlens.plans.joins import skew_join
+
+    big, small = spark.range(1000).withColumn("k", F.col("id") % 50), spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in skew_join(big, small, ["k"], how, rows=10)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_zero_only_on_closed_days(spark):
     rows = spark.createDataFrame([("2026-08-10",), ("2026-08-17",)], "d string")
     out = {str(r["day"]): r["n"] for r in citizen.daily_reports(rows, F.col("d").cast("date"), "2026-08-10", "2026-08-20").collect()}
